@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from airq.plans import layers, nested, observations, spatial  # noqa: F401
+from airq.plans import (layers, modelling, nested, observations, readside,  # noqa: F401
+                        spatial, tables)
 from airq.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -84,7 +84,7 @@ WITH c AS (SELECT r.range AS row, c.range AS col FROM range(9) r, range(9) c),
 s AS (SELECT CAST(floor((latitude - 28.4::DOUBLE) / 0.05::DOUBLE) AS BIGINT) AS row,
    CAST(floor((longitude - 77.0::DOUBLE) / 0.05::DOUBLE) AS BIGINT) AS col, pm25 FROM stations)
 SELECT lpad(CAST(col AS VARCHAR), 3, '0') || '_' || lpad(CAST(row AS VARCHAR), 3, '0') AS grid_id,
-  ROUND(77.0::DOUBLE + col * 0.05::DOUBLE + 0.025::DOUBLE, 6) AS cx, count(pm25) AS stations, ROUND(avg(pm25), 6) AS pm25
+  ROUND(77.0::DOUBLE + col * 0.05::DOUBLE + 0.025::DOUBLE, 6) AS cx, count(pm25) AS stations, ROUND(avg(pm25), 8) AS pm25
 FROM c LEFT JOIN s USING (row, col) GROUP BY 1, 2
 """)
 def stations_per_cell(spark, sf_dir):
@@ -94,7 +94,7 @@ def stations_per_cell(spark, sf_dir):
         F.count("pm25").alias("stations"), F.avg("pm25").alias("pm25"))
     return G.make_grid(spark, grid).join(placed, ["row", "col"], "left").select(
         "grid_id", r6("cx").alias("cx"), F.coalesce("stations", F.lit(0)).alias("stations"),
-        r6("pm25").alias("pm25"))
+        r6("pm25", 8).alias("pm25"))
 
 
 @query("parent_cells", parts=["pixels"], sql="""

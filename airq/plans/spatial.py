@@ -131,7 +131,7 @@ def nearest_three_stations(spark, sf_dir):
 
 
 @query("station_neighbours", parts=["stations"], sql="""
-SELECT a.station_id, count(b.station_id) AS neighbours, ROUND(coalesce(sum(b.pm25), 0.0::DOUBLE), 6) AS nbr_sum
+SELECT a.station_id, count(b.station_id) AS neighbours, ROUND(coalesce(sum(b.pm25), 0.0::DOUBLE), 8) AS nbr_sum
 FROM stations a LEFT JOIN stations b ON a.station_id <> b.station_id
   AND sqrt((a.longitude - b.longitude) ** 2 + (a.latitude - b.latitude) ** 2) <= 0.03::DOUBLE GROUP BY 1
 """)
@@ -140,7 +140,7 @@ def station_neighbours(spark, sf_dir):
     stations = domain.stations(spark, sf_dir)
     out = A.neighbour_sums_within(stations, "station_id", ["longitude", "latitude"], "pm25", 0.03)
     near = F.when(F.col("nbr_count") > 0, F.col("nbr_sum")).otherwise(0.0)
-    return out.select("station_id", F.col("nbr_count").alias("neighbours"), r6(near).alias("nbr_sum"))
+    return out.select("station_id", F.col("nbr_count").alias("neighbours"), r6(near, 8).alias("nbr_sum"))
 
 
 @query("neighbour_threshold", parts=["stations"], sql="""

@@ -129,7 +129,7 @@ FROM clean GROUP BY 1, 2
 """, "clean")
 part("stations", """
 SELECT station_id, arg_min(latitude, ordinal) AS latitude, arg_min(longitude, ordinal) AS longitude,
-  avg(pm25_ug_m3) AS pm25
+  avg(pm25_ug_m3) AS pm25, max(pm25_ug_m3) AS peak
 FROM clean GROUP BY 1
 """, "clean")
 part("cell_days", """

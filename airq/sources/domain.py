@@ -78,7 +78,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(spark, sf_dir).groupBy("station_id").agg(
         F.min_by("latitude", "ordinal").alias("latitude"),
         F.min_by("longitude", "ordinal").alias("longitude"),
-        F.avg("pm25_ug_m3").alias("pm25"))
+        F.avg("pm25_ug_m3").alias("pm25"), F.max("pm25_ug_m3").alias("peak"))
 
 
 def cell_days(spark: SparkSession, sf_dir: str) -> DataFrame:
