@@ -61,12 +61,13 @@ def build_training_table(daily: DataFrame, layers: DataFrame | None = None,
                          road_tiles: DataFrame | None = None, scope: str = "global") -> DataFrame:
     """Station-days in the fixed 38-column order; unavailable features are NULL.
 
-    ``layers`` is unique in (station_id, date) and brings any of the gridded
-    features and NDVI provenance. Road density falls back to tile counts.
+    Gridded features and NDVI provenance may be columns of ``daily`` already, or
+    come from ``layers``, which is unique in (station_id, date). Road density
+    falls back to tile counts.
     """
+    known = {f.name for f in TRAINING_SCHEMA} - {TARGET}
     base = daily.select(
-        F.col("station_id").cast("string"), "country", F.col("latitude").cast("double"),
-        F.col("longitude").cast("double"), F.col("date").cast("date"),
+        *[c for c in daily.columns if c in known],
         F.col("pm25_daily").cast("double").alias(TARGET))
     if layers is not None:
         base = base.join(layers, ["station_id", "date"], "left")

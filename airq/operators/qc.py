@@ -94,13 +94,14 @@ def attrition(checked: DataFrame, rules: list[str]) -> DataFrame:
     )
 
 
-def mad_outlier_flag(df: DataFrame, value: str, k: float = 5.0,
-                     flag: str = "outlier_flag") -> DataFrame:
+def mad_outlier_flag(df: DataFrame, value: str, k: float = 5.0, flag: str = "outlier_flag",
+                     stats: tuple[float | None, float | None] | None = None) -> DataFrame:
     """Flag |x - median| > k * 1.4826 * MAD over the whole frame.
 
-    A zero MAD flags nothing. Rows are flagged, never removed.
+    A zero MAD flags nothing. Rows are flagged, never removed. ``stats`` takes
+    the result of :func:`median_and_mad` where it is known already.
     """
-    centre, mad = median_and_mad(df, value)
+    centre, mad = stats or median_and_mad(df, value)
     if not mad:
         return df.withColumn(flag, F.lit(False))
     far = F.abs(F.col(value) - F.lit(centre)) > F.lit(mad * k)

@@ -14,7 +14,16 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICES = 256
+from airq.session import materialize
+
+
+def _slice_count(df: DataFrame) -> int:
+    """A power of two of at least the shuffle width, between 64 and 4096."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = 64
+    while slices < min(width, 4096):
+        slices *= 2
+    return slices
 
 
 def _slice_of(edges: Column, value: Column, slices: int) -> Column:
@@ -27,7 +36,7 @@ def _slice_of(edges: Column, value: Column, slices: int) -> Column:
 
 
 def distinct_value_ranks(df: DataFrame, value: str, by: list[str] | None = None,
-                         slices: int = SLICES) -> DataFrame:
+                         slices: int | None = None) -> DataFrame:
     """One row per distinct (group, value) with its exact position.
 
     Columns: the group columns, ``value``, ``n`` (rows with that value),
@@ -41,14 +50,14 @@ def distinct_value_ranks(df: DataFrame, value: str, by: list[str] | None = None,
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("n"))
     )
-    fractions = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    # The row count rides along so that this reads the very exchange of `counted`.
-    edges = counted.agg(F.struct(
-        F.percentile_approx("_v", fractions, F.lit(slices * 20)).alias("cuts"),
-        F.sum("n").alias("rows")).alias("e"))
+    # Read three times below; the counts are written once instead of derived thrice.
+    counted = materialize(counted, "value-counts")
+    slices = slices or _slice_count(df)
+    fractions = F.expr("array(" + ", ".join(f"{i / slices!r}D" for i in range(1, slices)) + ")")
+    edges = counted.agg(F.percentile_approx("_v", fractions, F.lit(slices * 20)).alias("cuts"))
     sliced = (
         counted.withColumn("_edges", edges.scalar())
-        .withColumn("_slice", _slice_of(F.col("_edges.cuts"), F.col("_v"), slices))
+        .withColumn("_slice", _slice_of(F.col("_edges"), F.col("_v"), slices))
         .drop("_edges")
     )
     group = [F.col(c) for c in by] or [F.lit(0)]

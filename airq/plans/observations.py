@@ -138,7 +138,7 @@ FROM clean, m, d GROUP BY 1
 def outlier_flags(spark, sf_dir):
     clean = materialize(domain.clean(spark, sf_dir).select("source", "pm25_ug_m3"), "clean")
     centre, mad = qc.median_and_mad(clean, "pm25_ug_m3")
-    flagged = qc.mad_outlier_flag(clean, "pm25_ug_m3", 5.0)
+    flagged = qc.mad_outlier_flag(clean, "pm25_ug_m3", 5.0, stats=(centre, mad))
     return flagged.groupBy("source").agg(
         F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("outlier_flag"), 1)).alias("outliers"),
         r6(F.lit(centre)).alias("median"), r6(F.lit(mad)).alias("mad"))

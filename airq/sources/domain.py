@@ -115,12 +115,9 @@ def features_1km(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 38-column training table of station-days with their cell's features."""
-    days = daily(spark, sf_dir)
-    placed = assign_cell(days.select("station_id", "date", "longitude", "latitude"),
-                         STATION_GRID, "longitude", "latitude")
-    layers = placed.join(features_1km(spark, sf_dir), ["cell_row", "cell_col", "date"]).drop(
-        "cell_row", "cell_col", "grid_id", "longitude", "latitude")
-    return build_training_table(days, layers)
+    placed = assign_cell(daily(spark, sf_dir), STATION_GRID, "longitude", "latitude")
+    return build_training_table(
+        placed.join(features_1km(spark, sf_dir), ["cell_row", "cell_col", "date"], "left"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
