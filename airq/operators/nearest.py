@@ -14,6 +14,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airq.functions.geo import haversine_km
+from airq.session import materialize
 
 
 def _bucket(dims: list[str], size: Column) -> list[Column]:
@@ -42,7 +43,8 @@ def k_nearest(points: DataFrame, sites: DataFrame, dims: list[str], k: int, poin
     level_list = F.array(*[F.lit(i) for i in range(top + 1)])
 
     # At one exact position no more than `need` sites can be among the nearest.
-    thin = _cap_position(sites, dims, site_id, need)
+    # They are read twice below and are few next to the points, so they are written.
+    thin = materialize(_cap_position(sites, dims, site_id, need), "sites")
     pyramid = thin.withColumn("_level", F.explode(level_list)).select(
         site_id, *dims, "_level", *_bucket(dims, size))
 
@@ -108,6 +110,7 @@ def with_unit_vector(df: DataFrame, lon: str, lat: str) -> DataFrame:
 def nearest_station(cells: DataFrame, stations: DataFrame, cell_id: str, station_id: str,
                     lon: str = "longitude", lat: str = "latitude") -> DataFrame:
     """Nearest station of every cell with its haversine distance in km."""
+    stations = materialize(stations.select(station_id, lon, lat), "stations")
     cell = with_unit_vector(cells.select(cell_id, lon, lat)
                             .where(F.col(lon).isNotNull() & F.col(lat).isNotNull()), lon, lat)
     site = with_unit_vector(stations.select(station_id, lon, lat)
@@ -151,7 +154,7 @@ def idw(cells: DataFrame, stations: DataFrame, cell_id: str, value: str,
     sites = stations.groupBy(lon, lat).agg(
         F.sum(value).alias("_sum"), F.count(value).alias("_n"), F.min_by(value, "station_id")
         .alias("_first")).where(F.col("_n") > 0)
-    sites = sites.withColumn("_site", F.struct(lon, lat))
+    sites = materialize(sites.withColumn("_site", F.struct(lon, lat)), "positions")
     dims = [lon, lat]
     pairs = within_radius(cells.select(cell_id, lon, lat), sites, dims, radius_deg).where(
         F.col("distance") < radius_deg)

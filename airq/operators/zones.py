@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from airq.functions.aqi import CATEGORIES, category_rank
 from airq.operators.ranks import distinct_value_ranks
-from airq.session import ensure_checkpoint_dir
+from airq.session import materialize, materialize_counting
 
 
 def hotspot_mask(cells: DataFrame, min_category: str = "VERY_POOR",
@@ -36,21 +36,20 @@ def label_zones(hot: DataFrame, width: int, by: list[str] | None = None,
     above a cell of the other (an equi-join). Labels then spread by minimum over
     links, roots are hooked and pointers are jumped, so the number of rounds
     grows with the logarithm of the zone diameter. Every round is written to
-    the checkpoint folder, which cuts the lineage and survives lost executors.
+    the shared folder, which cuts the lineage and survives lost executors.
     """
     by = by or []
-    spark = hot.sparkSession
-    ensure_checkpoint_dir(spark)
     at = F.col("row") * F.lit(width) + F.col("run_col")
-    cells = _runs(hot, by).withColumn("_node", at).checkpoint()
+    cells = materialize(_runs(hot, by).withColumn("_node", at), "zone-cells")
     below = cells.select(*by, (F.col("row") + 1).alias("row"), "col", F.col("_node").alias("_up"))
     links = cells.join(below, [*by, "row", "col"]).select(*by, "_up", "_node").distinct()
-    links = links.select(*by, F.explode(F.array(
+    links = materialize(links.select(*by, F.explode(F.array(
         F.struct(F.col("_up").alias("a"), F.col("_node").alias("b")),
         F.struct(F.col("_node").alias("a"), F.col("_up").alias("b")))).alias("l")
-    ).select(*by, "l.a", "l.b").checkpoint()
-    labels = links.select(*by, F.col("a").alias("node")).distinct().withColumn(
-        "label", F.col("node")).checkpoint()
+    ).select(*by, "l.a", "l.b"), "zone-links")
+    # Starting from the smallest neighbour saves the first round.
+    labels = links.groupBy(*by, F.col("a").alias("node")).agg(
+        F.least(F.col("a"), F.min("b")).alias("label"))
     for _ in range(max_rounds):
         labels, changed = _round(labels, links, by)
         if not changed:
@@ -77,9 +76,9 @@ def _round(labels: DataFrame, links: DataFrame, by: list[str]) -> tuple[DataFram
     jump = hooked.select(*by, F.col("node").alias("next"), F.col("next").alias("far"))
     jumped = hooked.join(jump, [*by, "next"], "left").select(
         *by, "node", F.col("label").alias("old"),
-        F.least("next", F.coalesce("far", "next")).alias("label")).checkpoint()
-    changed = not jumped.where(F.col("label") != F.col("old")).isEmpty()
-    return jumped.drop("old"), changed
+        F.least("next", F.coalesce("far", "next")).alias("label"))
+    written, changed = materialize_counting(jumped, "zone-labels", F.col("label") != F.col("old"))
+    return written.drop("old"), changed > 0
 
 
 def hotspot_zones(labelled: DataFrame, cell_area_km2: float, by: list[str] | None = None) -> DataFrame:

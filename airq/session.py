@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Engine settings every operator assumes. Shuffle parallelism and memory are
 # deployment choices and are deliberately not fixed here.
@@ -18,6 +18,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }
+# Only possible when the session is created: no call-site capture per expression.
+STARTUP_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def build_session(app_name: str = "airq", master: str | None = None,
@@ -26,7 +28,7 @@ def build_session(app_name: str = "airq", master: str | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**ENGINE_CONF, **(conf or {})}.items():
+    for key, value in {**ENGINE_CONF, **STARTUP_CONF, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -54,13 +56,6 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Give the context a reliable checkpoint folder if it has none yet."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-
-
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one intermediate table."""
     return f"{shared_dir(spark).rstrip('/')}/airq-{name}-{uuid.uuid4().hex}"
@@ -69,8 +64,16 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several passes will read to the shared folder.
 
-    The copy cuts the lineage, is columnar, and survives lost executors.
+    The copy cuts the lineage, is columnar, and survives lost executors. Unlike
+    ``checkpoint()`` it computes its input once.
     """
     path = new_shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_counting(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """Materialize and, in the same job, count the rows that meet a condition."""
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.when(condition, 1)).alias("n"))
+    return materialize(watched, name), int(seen.get["n"])

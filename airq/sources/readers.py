@@ -26,8 +26,11 @@ WEATHER_ALIASES = {
     "u_wind": ["u10", "10m_u_component_of_wind", "u_component_of_wind_10m", "u_wind"],
     "v_wind": ["v10", "10m_v_component_of_wind", "v_component_of_wind_10m", "v_wind"],
 }
-SYNONYM_ORDER = {"openaq": {"station_id": ["location"], "timestamp": ["datetime"],
-                            "PM2.5": ["value"]}}
+# Names of the second network's export; a location names the station.
+OPENAQ_ALIASES = {
+    "station_id": ["location", "city"], "timestamp": ["datetime"], "PM2.5": ["value"],
+    "latitude": ["latitude", "lat"], "longitude": ["longitude", "lon"],
+}
 
 
 def bare_name(name: str) -> str:
@@ -95,13 +98,13 @@ def read_station_csv(spark: SparkSession, path: str | list[str], encoding: str =
 
 
 def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(encoding, separator) of a source, judged by its header line and first bytes."""
-    line = spark.read.option("encoding", "UTF-8").text(path).first()
-    text = line[0] if line else ""
-    bad = not (spark.read.option("encoding", "UTF-8").text(path)
-               .where(F.col("value").contains("�")).isEmpty())
-    sep = max([",", ";", "\t", "|"], key=text.count)
-    return ("ISO-8859-1" if bad else "UTF-8"), sep
+    """(encoding, separator) of a source, judged by its lines and its header."""
+    lines = spark.read.text(path)
+    first = lines.first()
+    header = first[0] if first else ""
+    broken = not lines.where(~F.is_valid_utf8("value")).isEmpty()
+    sep = max([",", ";", "\t", "|"], key=header.count)
+    return ("ISO-8859-1" if broken else "UTF-8"), sep
 
 
 def normalize_weather(df: DataFrame, time_column_type: str = "timestamp") -> DataFrame:
