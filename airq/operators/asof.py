@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from airq.session import materialize
+
 
 def _best_per_day(composites: DataFrame, composite_date: str, by: list[str],
                   first_day: Column, last_day: Column) -> DataFrame:
@@ -21,7 +23,9 @@ def _best_per_day(composites: DataFrame, composite_date: str, by: list[str],
 
 def _attach(targets: DataFrame, target_date: str, best: DataFrame, by: list[str],
             matched: str, offset: str, how: str) -> DataFrame:
-    best = best.withColumnRenamed("_c", matched)
+    # Written first: with its size known, a small day table is broadcast and the
+    # large side stays where it is.
+    best = materialize(best.withColumnRenamed("_c", matched), "days")
     out = targets.withColumn("_day", F.col(target_date)).join(best, [*by, "_day"], how)
     return out.withColumn(offset, F.datediff("_day", matched)).drop("_day")
 

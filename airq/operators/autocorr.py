@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airq.operators.nearest import k_nearest, within_radius
-from airq.operators.ranks import benjamini_hochberg, exact_quantiles
+from airq.operators.ranks import benjamini_hochberg, exact_quantiles, slice_count
+from airq.session import materialize
 
 MIN_CELLS = 30
 PERMUTATIONS = 999
@@ -108,13 +109,16 @@ def permutation_p(cells: DataFrame, value: str, method: str, permutations: int =
     position k receives the value of the cell of rank k. Replicates are worked
     off in chunks, so that intermediate data is bounded by chunk * cells.
     """
-    ensure = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("x"))
-    numbered = number_rows(ensure, ["row", "col"])
+    known = materialize(cells.where(F.col(value).isNotNull()).select(
+        "row", "col", F.col(value).alias("x")), "tested-cells")
+    numbered = number_rows(known, ["row", "col"])
     numbered = numbered.withColumn("_m", numbered.agg(
         F.struct(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")
                  ).alias("s")).scalar())
-    stat = local_moran(ensure, "x") if method == "lisa" else getis_ord(ensure, "x")
-    observed = stat.select("row", "col", F.col("moran_i" if method == "lisa" else "gi").alias("o"))
+    numbered = materialize(numbered, "numbered-cells")
+    stat = local_moran(known, "x") if method == "lisa" else getis_ord(known, "x")
+    observed = materialize(stat.select(
+        "row", "col", F.col("moran_i" if method == "lisa" else "gi").alias("o")), "observed")
     exceed = None
     for start in range(0, permutations, chunk):
         reps = F.sequence(F.lit(start), F.lit(min(start + chunk, permutations) - 1))
@@ -126,12 +130,13 @@ def permutation_p(cells: DataFrame, value: str, method: str, permutations: int =
         ((F.coalesce("hits", F.lit(0)) + 1) / F.lit(permutations + 1)).alias("p_value"))
 
 
-def number_rows(df: DataFrame, order: list[str], slices: int = 64) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """Add ``pos`` = 0..n-1 in a fixed order, without a single-task sort.
 
-    Rows are hashed into slices; slice sizes are summed over at most ``slices``
+    Rows are hashed into slices; slice sizes are summed over at most 4096
     rows and the position inside a slice is added.
     """
+    slices = slice_count(df)
     sliced = df.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(slices)))
     sizes = sliced.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
     before = sizes.select("_s", (F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_s"))
@@ -145,7 +150,7 @@ def _exceedances(numbered: DataFrame, observed: DataFrame, reps: Column, method:
                  seed: int) -> DataFrame:
     """Per cell the number of replicates whose statistic is at least as extreme."""
     each = numbered.withColumn("rep", F.explode(reps))
-    slices = 64
+    slices = slice_count(numbered)
     key = F.xxhash64(F.lit(seed), "rep", "pos")
     each = each.withColumn("_h", key).withColumn("_s", F.pmod(F.shiftrightunsigned("_h", 7), F.lit(slices)))
     sizes = each.groupBy("rep", "_s").agg(F.count(F.lit(1)).alias("_c"))

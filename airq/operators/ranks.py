@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from airq.session import materialize
 
 
-def _slice_count(df: DataFrame) -> int:
+def slice_count(df: DataFrame) -> int:
     """A power of two of at least the shuffle width, between 64 and 4096."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = 64
@@ -52,7 +52,7 @@ def distinct_value_ranks(df: DataFrame, value: str, by: list[str] | None = None,
     )
     # Read three times below; the counts are written once instead of derived thrice.
     counted = materialize(counted, "value-counts")
-    slices = slices or _slice_count(df)
+    slices = slices or slice_count(df)
     fractions = F.expr("array(" + ", ".join(f"{i / slices!r}D" for i in range(1, slices)) + ")")
     edges = counted.agg(F.percentile_approx("_v", fractions, F.lit(slices * 20)).alias("cuts"))
     sliced = (

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from airq.functions.masks import qa_label
 from airq.operators.grid import Grid
 from airq.operators.ranks import exact_quantiles
+from airq.session import materialize
 
 
 def place_pixels(pixels: DataFrame, meta: DataFrame) -> DataFrame:
@@ -116,7 +117,8 @@ def interpolate_bilinear(points: DataFrame, field: DataFrame, grid: Grid, x: str
     one = F.lit(1.0)
     blend = (F.col("_v0") * (one - u) * (one - v) + F.col("_v1") * u * (one - v)
              + F.col("_v2") * (one - u) * v + F.col("_v3") * u * v)
-    joined = placed.join(_corner_table(field, value), ["_r0", "_c0"], "left")
+    corners = materialize(_corner_table(field, value), "corners")
+    joined = placed.join(corners, ["_r0", "_c0"], "left")
     return joined.withColumn(out, blend).drop(
         "_r0", "_c0", "_fx", "_fy", "_v0", "_v1", "_v2", "_v3")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from airq.functions.aqi import CATEGORIES, category_rank
 from airq.operators.ranks import distinct_value_ranks
-from airq.session import materialize, materialize_counting
+from airq.session import discard, materialize, materialize_counting
 
 
 def hotspot_mask(cells: DataFrame, min_category: str = "VERY_POOR",
@@ -51,7 +51,8 @@ def label_zones(hot: DataFrame, width: int, by: list[str] | None = None,
     labels = links.groupBy(*by, F.col("a").alias("node")).agg(
         F.least(F.col("a"), F.min("b")).alias("label"))
     for _ in range(max_rounds):
-        labels, changed = _round(labels, links, by)
+        before, (labels, changed) = labels, _round(labels, links, by)
+        discard(before)
         if not changed:
             break
     else:
@@ -63,9 +64,10 @@ def label_zones(hot: DataFrame, width: int, by: list[str] | None = None,
 
 def _round(labels: DataFrame, links: DataFrame, by: list[str]) -> tuple[DataFrame, bool]:
     """One round of minimum spreading, hooking of roots and pointer jumping."""
-    seen = links.join(labels.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, "a").agg(
+    known = labels.select(*by, "node", "label")
+    seen = links.join(known.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, "a").agg(
         F.min("label").alias("low")).withColumnRenamed("a", "node")
-    pulled = labels.join(seen, [*by, "node"]).select(
+    pulled = known.join(seen, [*by, "node"]).select(
         *by, "node", "label", F.least("label", "low").alias("next"))
     # Hook: the root of a label takes the smallest label any member has seen.
     hooks = pulled.groupBy(*by, "label").agg(F.min("next").alias("hook")).where(
@@ -78,7 +80,7 @@ def _round(labels: DataFrame, links: DataFrame, by: list[str]) -> tuple[DataFram
         *by, "node", F.col("label").alias("old"),
         F.least("next", F.coalesce("far", "next")).alias("label"))
     written, changed = materialize_counting(jumped, "zone-labels", F.col("label") != F.col("old"))
-    return written.drop("old"), changed > 0
+    return written, changed > 0
 
 
 def hotspot_zones(labelled: DataFrame, cell_area_km2: float, by: list[str] | None = None) -> DataFrame:

@@ -61,15 +61,22 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/airq-{name}-{uuid.uuid4().hex}"
 
 
+# Tables this process wrote to the shared folder and may delete again.
+_WRITTEN: dict[int, str] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several passes will read to the shared folder.
 
     The copy cuts the lineage, is columnar, and survives lost executors. Unlike
-    ``checkpoint()`` it computes its input once.
+    ``checkpoint()`` it computes its input once. Its size is known to the
+    optimizer, which therefore broadcasts it in a join exactly when it is small.
     """
     path = new_shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(written._jdf)] = path
+    return written
 
 
 def materialize_counting(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
@@ -77,3 +84,21 @@ def materialize_counting(df: DataFrame, name: str, condition: Column) -> tuple[D
     seen = Observation()
     watched = df.observe(seen, F.count(F.when(condition, 1)).alias("n"))
     return materialize(watched, name), int(seen.get["n"])
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by :func:`materialize`; other frames are left alone."""
+    path = _WRITTEN.pop(id(df._jdf), None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table this process still holds; call when results are stored."""
+    for key in list(_WRITTEN):
+        _delete(spark, _WRITTEN.pop(key))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
