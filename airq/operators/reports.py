@@ -298,3 +298,28 @@ def inference_report(predictions: DataFrame, value: str = "predicted_PM25") -> D
 
 def prediction_status_counts(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("prediction_status").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+def require_predictions(predictions: DataFrame, value: str = "predicted_PM25") -> None:
+    """Refuse a prediction table in which no cell has a value."""
+    if predictions.where(F.col(value).isNotNull()).isEmpty():
+        raise ValueError("no cell has a prediction; nothing may be published")
+
+
+def final_checks(cells: DataFrame, zones: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    """Consistency of the published products, as violation counts.
+
+    ``cells`` has row, col, pm25, aqi and aqi_category; ``zones`` has the
+    bounding rows and columns. The area has ``n_rows`` by ``n_cols`` cells.
+    """
+    has_value = F.col("pm25").isNotNull()
+    in_area = (F.col("row") >= 0) & (F.col("row") < n_rows) & (F.col("col") >= 0) & (F.col("col") < n_cols)
+    cell = violation_report({
+        "every_index_has_a_concentration": F.col("aqi").isNull() | has_value,
+        "every_category_has_an_index": F.col("aqi_category").isNull() | F.col("aqi").isNotNull(),
+        "index_in_range": F.col("aqi").isNull() | F.col("aqi").between(0, 500),
+        "cells_in_area": in_area}, cells)
+    zone = violation_report({"zones_in_area": (
+        (F.col("min_row") >= 0) & (F.col("max_row") < n_rows)
+        & (F.col("min_col") >= 0) & (F.col("max_col") < n_cols))}, zones)
+    return cell.unionByName(zone)

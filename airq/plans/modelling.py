@@ -52,7 +52,16 @@ def country_splits(spark, sf_dir):
     ).withColumn("overlapping_groups", bad.scalar())
 
 
-@query("balanced_station_folds")
+@query("balanced_station_folds", parts=["training"], sql="""
+WITH RECURSIVE c AS (SELECT station_id, count(*) AS n FROM training GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY n DESC, station_id) AS i FROM c),
+g(i, loads, fold, n) AS (
+  SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], -1::INT, 0::BIGINT
+  UNION ALL
+  SELECT o.i, list_transform(g.loads, lambda x, k: CASE WHEN k = list_position(g.loads, list_min(g.loads)) THEN x + o.n ELSE x END),
+    CAST(list_position(g.loads, list_min(g.loads)) - 1 AS INT), o.n FROM g JOIN o ON o.i = g.i + 1)
+SELECT fold, CAST(sum(n) AS BIGINT) AS rows, count(*) AS stations FROM g WHERE i > 0 GROUP BY 1
+""")
 def balanced_station_folds(spark, sf_dir):
     """Stations dealt to five folds, largest first into the lightest fold."""
     rows = domain.training(spark, sf_dir).select("station_id", "date")

