@@ -71,7 +71,10 @@ def _with_moments(cells: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def local_moran(cells: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Add ``z``, ``moran_i`` and ``quadrant``; cells without neighbours get I = 0."""
+    """Add ``z``, ``moran_i`` and ``quadrant``; cells without neighbours get I = 0.
+
+    Reads ``cells`` several times: pass a written table.
+    """
     by = by or []
     scaled = _with_moments(cells.where(F.col(value).isNotNull()), value, by).withColumn(
         "z", (F.col(value) - F.col("_mean")) / (F.col("_sd") + F.lit(1e-10))).drop(
@@ -89,6 +92,7 @@ def getis_ord(cells: DataFrame, value: str, by: list[str] | None = None,
     """Add ``gi``: standardised neighbour sum; a constant field gives 0.
 
     ``include_self`` adds the cell to its own neighbourhood (the starred form).
+    Reads ``cells`` several times: pass a written table.
     """
     by = by or []
     out = neighbour_sums(_with_moments(cells.where(F.col(value).isNotNull()), value, by), value, by)
@@ -195,7 +199,8 @@ def hotspot_analysis(cells: DataFrame, value: str, method: str = "lisa", alpha:
     """Classify cells as HOTSPOT / COLDSPOT / NOT_SIGNIFICANT after FDR control."""
     if method not in ("lisa", "getis_ord"):
         raise ValueError(f"unknown method {method!r}")
-    tested = permutation_p(cells, value, method, permutations, seed)
+    # Written, because the cut is found in one pass and applied in another.
+    tested = materialize(permutation_p(cells, value, method, permutations, seed), "tested")
     tested = benjamini_hochberg(tested, "p_value", alpha)
     return tested.withColumn("cluster_type", (
         F.when(F.col("significant") & (F.col("statistic") > 0), "HOTSPOT")

@@ -9,6 +9,7 @@ from airq.functions.units import kelvin_to_celsius
 from airq.operators import asof, features as FT, grid as G, raster as R, roads as RD, weather as WX
 from airq.operators.grid import Grid
 from airq.plans.registry import day, query, r6, rounded
+from airq.session import materialize
 from airq.sources import domain
 from airq.sources.readers import lines_in_box
 
@@ -326,7 +327,8 @@ SELECT layer, count(*) AS total_pixels, count(value) AS valid_pixels, count(*) -
   ROUND(quantile_cont(value, 0.5), 6) AS median FROM masked GROUP BY 1
 """)
 def layer_stats(spark, sf_dir):
-    return rounded(R.layer_stats(_masked(spark, sf_dir)), "min", "max", "mean", "std",
+    layers = materialize(_masked(spark, sf_dir).select("layer", "value"), "masked")
+    return rounded(R.layer_stats(layers), "min", "max", "mean", "std",
                    "coverage_percent", "median")
 
 
@@ -407,7 +409,7 @@ WITH c AS (SELECT row, col, CASE WHEN col + 0.5::DOUBLE > 10 AND col + 0.5::DOUB
 SELECT row, col, coalesce(value, -9999.0::DOUBLE) AS value FROM c
 """)
 def clip_and_rasterize(spark, sf_dir):
-    px = domain.pixels(spark, sf_dir)
+    px = domain.written_pixels(spark, sf_dir)
     x = F.col("col") + 0.5
     clipped = R.clip(px, (x > 10) & (x < 50)).where(F.col("value").isNotNull())
     return R.rasterize(clipped, px, "value", -9999.0)

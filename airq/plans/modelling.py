@@ -122,7 +122,7 @@ def aggregate_metrics(spark, sf_dir):
 
 
 def _train(spark, sf_dir):
-    return materialize(domain.training(spark, sf_dir), "training")
+    return domain.written_training(spark, sf_dir)
 
 
 @query("grouped_cross_validation")
@@ -249,7 +249,7 @@ LEFT JOIN (SELECT row // 2 AS parent_row, col // 2 AS parent_col, avg(price) / 1
 
 
 def _children(spark, sf_dir):
-    px = assign_parent(domain.pixels(spark, sf_dir), 2)
+    px = assign_parent(domain.written_pixels(spark, sf_dir), 2)
     parents = px.where(F.col("qa") < 5).groupBy("parent_row", "parent_col").agg(
         (F.avg("price") / 1000.0).alias("parent_pm25"))
     return px.join(parents, ["parent_row", "parent_col"], "left").select(

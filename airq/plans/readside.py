@@ -11,6 +11,7 @@ from airq.operators.dedupe import latest
 from airq.operators.grid import Grid, make_tiles
 from airq.plans.registry import day, query, r6, rounded
 from airq.plans.sql_parts import aqi_sql, category_sql, part
+from airq.session import materialize
 from airq.sources import domain
 from airq.streaming.daily import clean_stream, daily_stream, run_to_table
 
@@ -86,7 +87,8 @@ SELECT p.id, ROUND(s.pm25, 2) AS pm25, CAST(s.aqi AS BIGINT) AS pm25_derived_aqi
 FROM points p LEFT JOIN served s ON s.row = floor(y) AND s.col = floor(x) LEFT JOIN b ON b.id = p.id
 """)
 def location_profile(spark, sf_dir):
-    return SV.location_profile(_points(spark, sf_dir), _served(spark, sf_dir), PIXEL_GRID, "x", "y").select(
+    layer = materialize(_served(spark, sf_dir), "served")
+    return SV.location_profile(_points(spark, sf_dir), layer, PIXEL_GRID, "x", "y").select(
         "id", "pm25", "pm25_derived_aqi", "aqi_category", "aod", "aod_status", "aod_lookup", "distance_pixels")
 
 

@@ -10,6 +10,7 @@ from airq.operators.grid import Grid
 from airq.operators.ranks import benjamini_hochberg
 from airq.plans.registry import query, r6, rounded
 from airq.plans.sql_parts import aqi_sql, category_sql, part
+from airq.session import materialize
 from airq.sources import domain, sinks
 
 FINE = Grid(77.0, 28.4, 0.02, 0.02, 21, 21, 77.42, 28.82)
@@ -72,7 +73,7 @@ SELECT (SELECT count(*) FROM hot) AS hotspot_cell_count, (SELECT count(DISTINCT
   ROUND(avg(aqi), 6) AS mean_aqi, CAST(max(aqi) AS BIGINT) AS max_aqi FROM hot
 """)
 def hotspot_statistics(spark, sf_dir):
-    hot = _hot(spark, sf_dir)
+    hot = materialize(_hot(spark, sf_dir), "hot")
     zones = Z.hotspot_zones(Z.label_zones(hot, domain.PIXEL_COLS), 0.25)
     return rounded(Z.hotspot_statistics(hot, zones, "pm25", "aqi"), "hotspot_area_km2", "mean_pm25",
                    "max_pm25", "mean_aqi")
@@ -100,8 +101,9 @@ UNION ALL SELECT 'cells_in_area', count(*) FILTER (row >= 100), count(*) FILTER
 """)
 def final_checks(spark, sf_dir):
     """Cells are held against a small area on purpose, so one check fails."""
-    cells = _aqi_cells(spark, sf_dir)
-    zones = Z.hotspot_zones(Z.label_zones(_hot(spark, sf_dir).where("row < 100"), domain.PIXEL_COLS), 0.25)
+    cells = materialize(_aqi_cells(spark, sf_dir), "index-cells")
+    hot = Z.hotspot_mask(cells).where("row < 100")
+    zones = Z.hotspot_zones(Z.label_zones(hot, domain.PIXEL_COLS), 0.25)
     return RP.final_checks(cells, zones, 100, domain.PIXEL_COLS)
 
 
@@ -195,9 +197,9 @@ LEFT JOIN blocks b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND NO
 
 
 def _blocks(spark, sf_dir):
-    return domain.pixels(spark, sf_dir).groupBy(
+    return materialize(domain.pixels(spark, sf_dir).groupBy(
         F.floor(F.col("row") / 4).alias("row"), F.floor(F.col("col") / 4).alias("col")).agg(
-        F.avg("value").alias("v"))
+        F.avg("value").alias("v")), "blocks")
 
 
 @query("local_moran", parts=["around"], sql="""
@@ -219,8 +221,9 @@ SELECT row, col, ROUND(CASE WHEN sd * sqrt((n * w - w * w) / (n - 1)::DOUBLE) <
   ROUND((s + v - mu * (w + 1)) / (sd * sqrt((n * (w + 1) - (w + 1) * (w + 1)) / (n - 1)::DOUBLE)), 5) AS gi_star FROM around, m
 """)
 def getis_ord(spark, sf_dir):
-    plain = A.getis_ord(_blocks(spark, sf_dir), "v").select("row", "col", "v", F.col("gi").alias("g"))
-    star = A.getis_ord(_blocks(spark, sf_dir), "v", include_self=True).select("row", "col", F.col("gi").alias("gs"))
+    blocks = _blocks(spark, sf_dir)
+    plain = A.getis_ord(blocks, "v").select("row", "col", "v", F.col("gi").alias("g"))
+    star = A.getis_ord(blocks, "v", include_self=True).select("row", "col", F.col("gi").alias("gs"))
     return plain.join(star, ["row", "col"]).select(
         "row", "col", F.round("g", 5).alias("gi"), F.round("gs", 5).alias("gi_star"))
 
@@ -237,7 +240,7 @@ SELECT row, col, ROUND(p, 6) AS p_value, coalesce(p <= cut, FALSE) AS significan
 """)
 def significant_blocks(spark, sf_dir):
     """Analytic p-values of the standardised statistic under FDR control."""
-    tested = A.analytic_p(A.getis_ord(_blocks(spark, sf_dir), "v"), "gi")
+    tested = materialize(A.analytic_p(A.getis_ord(_blocks(spark, sf_dir), "v"), "gi"), "tested")
     out = benjamini_hochberg(tested, "p_value", alpha=0.2)
     return out.select("row", "col", r6("p_value").alias("p_value"), "significant")
 

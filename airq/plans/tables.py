@@ -182,7 +182,7 @@ SELECT count(*) AS rows, count("PM2.5") AS n_target_valid, count(*) FILTER (comp
   CASE WHEN count(*) FILTER (complete_case) >= 20 THEN 'sufficient' ELSE 'insufficient' END AS completeness_flag FROM training
 """)
 def target_report(spark, sf_dir):
-    out = RP.target_report(domain.training(spark, sf_dir))
+    out = RP.target_report(domain.written_training(spark, sf_dir))
     return rounded(out, "complete_case_ratio", "mean", "min", "max", "std", "p25", "median", "p75").withColumns(
         {c: F.date_format(c, "yyyy-MM-dd") for c in ("first_date", "last_date")})
 
@@ -247,7 +247,7 @@ _ALL = [TARGET, *_CORR]
     f"ROUND(corr(r{i}, r{j}), 4) AS spearman, count(*) AS n FROM k"
     for i in range(len(_ALL)) for j in range(i + 1, len(_ALL))))
 def correlation_pairs(spark, sf_dir):
-    rows = materialize(domain.training(spark, sf_dir), "training")
+    rows = domain.written_training(spark, sf_dir)
     out = RP.correlation_pairs(rows, _ALL, ["station_id", "date"])
     return rounded(out, "pearson", "spearman", digits=4)
 
@@ -327,7 +327,7 @@ UNION ALL SELECT 'synthetic_contamination', 0, 'NONE'
 UNION ALL SELECT 'scope_contamination', count(*) FILTER (longitude BETWEEN 77.0 AND 77.4 AND latitude BETWEEN 28.4 AND 28.8), 'FAIL' FROM training
 """)
 def leakage_suite(spark, sf_dir):
-    return L.leakage_suite(domain.training(spark, sf_dir))
+    return L.leakage_suite(domain.written_training(spark, sf_dir))
 
 
 @query("scope_contamination", parts=["obs"], sql="""
@@ -391,7 +391,7 @@ g AS (
 WITH {_GATE} SELECT c AS "check", gating, ROUND(v, 6) AS measured, t AS threshold, p AS passed FROM g
 """)
 def readiness_checks(spark, sf_dir):
-    return rounded(RE.readiness_checks(domain.training(spark, sf_dir)).drop("reason"), "measured")
+    return rounded(RE.readiness_checks(domain.written_training(spark, sf_dir)).drop("reason"), "measured")
 
 
 @query("readiness_verdict", parts=["training"], sql=f"""
@@ -402,7 +402,7 @@ SELECT CASE WHEN min(p) THEN 'YES' ELSE 'NO' END AS model_training_ready,
   coalesce(string_agg(failed, '; ' ORDER BY failed), '') AS failed_checks FROM h
 """)
 def readiness_verdict(spark, sf_dir):
-    return rounded(RE.readiness_verdict(RE.readiness_checks(domain.training(spark, sf_dir))), "score", "score_all")
+    return rounded(RE.readiness_verdict(RE.readiness_checks(domain.written_training(spark, sf_dir))), "score", "score_all")
 
 
 # ------------------------------------------------------------------ uncertainty
@@ -410,7 +410,7 @@ def readiness_verdict(spark, sf_dir):
 
 def _residual_frame(spark, sf_dir):
     """Prediction stand-in: the mean of the station's country."""
-    t = domain.training(spark, sf_dir).select("country", f"`{TARGET}`")
+    t = materialize(domain.training(spark, sf_dir).select("country", f"`{TARGET}`"), "targets")
     means = t.groupBy("country").agg(F.avg(f"`{TARGET}`").alias("predicted"))
     return t.join(means, "country")
 

@@ -15,6 +15,7 @@ from airq.operators.daily import daily_mean
 from airq.operators.features import build_training_table
 from airq.operators.grid import Grid, assign_cell
 from airq.operators.qc import observation_qc, survivors
+from airq.session import materialize
 
 STATION_GRID = Grid(77.0, 28.4, 0.05, 0.05, 9, 9, 77.45, 28.85)
 ROAD_GRID = Grid.covering((0.0, 0.0, 39500.0, 39500.0), 1000.0)
@@ -134,6 +135,16 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p.l_extendedprice").alias("price"), F.to_date("p.l_shipdate").alias("obs_date"))
 
 
+def written_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixel table as a stored product, for work that reads it repeatedly."""
+    return materialize(pixels(spark, sf_dir), "pixels")
+
+
+def written_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training table as a stored product, for reports in several passes."""
+    return materialize(training(spark, sf_dir), "training")
+
+
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weather long table on a 5 x 5 field of positions."""
     li = table(spark, sf_dir, "lineitem")
