@@ -173,3 +173,30 @@ def binary_rows(matrix: np.ndarray) -> pa.Array:
     width = matrix.shape[1] * matrix.itemsize
     offsets = np.arange(len(matrix) + 1, dtype=np.int32) * width
     return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(matrix))])
+
+
+# -- keys that can be null, and joins that leave large texts where they are -------------------------------------------
+
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame, key: str = "doc_id", value: str = "text") -> DataFrame:
+    """:func:`one_per_id` with the smallest bigint in place of a null key, so that it joins like any other."""
+    return one_per_id(docs, key, value).withColumn(key, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
+
+
+def unkeyed(key: str = "doc_id") -> Column:
+    return F.nullif(F.col(key), F.lit(NO_ID)).alias(key)
+
+
+def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose key is in the stored table ``ids``.
+
+    Small tables are broadcast by their known size. For others Spark's runtime filter keeps most other texts out of the
+    shuffle; the filter has a fixed size, and what it lets through by chance goes in the join.
+    """
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "10g")
+    return docs.join(ids.where(F.col(key) >= F.lit(NO_ID)), key, "left_semi")

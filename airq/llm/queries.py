@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airq.llm.common import table
+from airq.llm import sql
+from airq.llm.chat_format import Template, format_chats, read_back
+from airq.llm.common import store, table
+from airq.llm.decontaminate import contamination
 from airq.llm.line_dedup import dedup_lines
 from airq.llm.near_dedup import near_duplicates
+from airq.llm.packing import pack
+from airq.llm.substring_dedup import remove_repeats
+from airq.llm.warc_zstd import read_archives, resolved, train_dictionary, write_archives
+
+#: Where the public vocabularies lie, on the driver and on every executor.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    formatted = format_chats(chats.unionByName(control))
+    back = read_back(formatted.select("conv_id", "segments", "formatted", "valid"), Template(), "valid", "formatted")
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                       F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +38,30 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), 20, lambda text: F.sha2(text, 256)).withColumnRenamed("kept", "kept_sha256")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op8_near_dedup)}
-ORACLES: dict[str, str] = {}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archives, _ = store(write_archives(pages, train_dictionary(pages)), "archives")
+    return resolved(read_archives(archives)).where("problem is null").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_decontaminate, op4_substring_dedup, op5_packing, op8_near_dedup, op9_warc)}
+ORACLES = {"op1_chat_format": sql.CHAT_FORMAT, "op3_decontaminate": sql.DECONTAMINATE, "op4_substring_dedup": sql.SUBSTRING_DEDUP,
+           "op8_near_dedup": sql.NEAR_DEDUP, "op9_warc": sql.WARC}
