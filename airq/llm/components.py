@@ -17,7 +17,8 @@ def _step(links: DataFrame, large: bool) -> DataFrame:
         least = links.groupBy("u").agg(F.min("v").alias("m"))
         moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    moved = moved.where("u <> v")
+    return moved if large else moved.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airq.llm.common import BASE, BYTE_CODES, distinct_sets, mix, one_per_id, slices, store, text_bytes
+from airq.llm.common import BASE, BYTE_CODES, distinct_sets, keyed, mix, only, slices, store, text_bytes, unkeyed
 from airq.llm.linking import Banding, components_of, signatures
 
 #: Misses a pair of similarity 0.8 with a chance of 0.002.
@@ -64,29 +64,20 @@ def _describe(size: int):
     return task
 
 
-def _confirm(lines: DataFrame, size: int, percent: int):
+def _sets(lines: DataFrame, size: int):
+    """Full sets of some lines as ascending hashes."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in slices(batches, "line_u") for part in slices(iter([b]), "line_v")):
-            sets = []
-            for c in ("line_u", "line_v"):
-                values, runs = char_shingles(batch.column(c), size)
-                sets.append(distinct_sets(values, np.repeat(np.arange(batch.num_rows), np.diff(runs)), batch.num_rows))
-            owner = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(runs)) for _, runs in sets])
-            order = np.argsort(owner, kind="stable")
-            _, runs = distinct_sets(np.concatenate([sets[0][0], sets[1][0]])[order], owner[order], batch.num_rows)
-            union = np.diff(runs)
-            both = np.diff(sets[0][1]) + np.diff(sets[1][1]) - union
-            yield batch.select(["u", "v"]).take(pa.array(np.flatnonzero((100 * both >= percent * union) & (union > 0))))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs, _ = store(pairs, "line-survivors")
-        wanted, _ = store(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "line-wanted")
-        texts, _ = store(lines.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "line-texts")
-        sides = pairs
-        for side in ("u", "v"):
-            sides = sides.join(texts.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}")), side)
-        return sides.select("u", "v", "line_u", "line_v").mapInArrow(task, "u long, v long")
-    return confirm
+        met: set[int] = set()
+        for batch in slices(batches, "line"):
+            ids = batch.column("id").to_pylist()
+            new = pa.array([i for i, x in enumerate(ids) if x not in met and not met.add(x)], pa.int32())
+            batch = batch.take(new)
+            values, runs = char_shingles(batch.column("line"), size)
+            values, runs = distinct_sets(values, np.repeat(np.arange(batch.num_rows), np.diff(runs)), batch.num_rows)
+            members = [values[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(members, pa.binary())], ["id", "members"])
+
+    return lambda ids: only(lines, ids, "id").mapInArrow(task, "id long, members binary").dropDuplicates(["id"])
 
 
 def dedup_lines(docs: DataFrame, size: int = 8, percent: int = 80) -> DataFrame:
@@ -100,24 +91,24 @@ def dedup_lines(docs: DataFrame, size: int = 8, percent: int = 80) -> DataFrame:
     Null and empty texts have one blank line and keep their text. Repeated doc_ids count as one document (see
     :func:`airq.llm.common.one_per_id`); a null doc_id comes first. Further columns are not read.
     """
-    docs = one_per_id(docs)
+    docs = keyed(docs)
     trimmed = F.regexp_replace("raw", r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw")).withColumn("line", trimmed) \
         .where("line <> ''").select("doc_id", "at", F.xxhash64("line").alias("id"), "line")
     places, _ = store(lines.mapInArrow(_describe(size), "doc_id long, at int, id long, size long, sig binary"), "lines")
     items = places.where("sig is not null").select("id", "size", "sig")
-    found, _ = components_of(items, BANDING, _confirm(lines.select("id", "line"), size, percent), percent / 100)
+    found = components_of(items, BANDING, _sets(lines.select("id", "line"), size), percent)
     nodes = places.groupBy("id").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     places = places.select("doc_id", "at", "id")
     named = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named, _ = store(named, "line-nodes")
     kept = named.groupBy("component").agg(F.min("first").alias("keep"))
     gone = places.join(named.select("id", "component"), "id").join(kept, "component") \
-        .where(~F.struct("doc_id", "at").eqNullSafe(F.col("keep"))).groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
+        .where(F.struct("doc_id", "at") != F.col("keep")).groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
     gone, _ = store(gone, "lines-gone")
-    rows = docs.join(gone.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    rows = docs.join(gone, "doc_id", "left")
     parts = F.split("text", "\n", -1)
     left = F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains("gone", i), None).otherwise(x)), lambda x: x.isNotNull())
-    return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+    return rows.select(unkeyed(), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
                        F.coalesce(F.size(parts), F.lit(1)).cast("long").alias("n_lines"),
                        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -1,10 +1,11 @@
 """Links and components of similar sets from MinHash signatures, without forming all pairs of a bucket.
 
-Candidates share a band. Two rounds compare each member of a bucket with one centre (the first round takes the same
-centres in all bands as far as it can, the second takes another centre in each band). Then components are known for
-nearly all, and the last round compares, within the buckets that still hold several components, every member outside the
-largest one with all members, in blocks. After it no pair of a bucket from different components is unchecked, so the
-components are those of all banded pairs, though a group of n copies costs about n comparisons.
+Candidates share a band. Each member of a bucket is first compared with two centres, one that the bands have in common
+as far as they can and one of the bucket's own. Then components are known for nearly all, and the last round compares,
+within the buckets that still hold several components, every member outside the largest one with all members. It does so
+in blocks that hold the full sets, so no pair is a row of a table, and it stops at the first link to a component. After
+it no pair of a bucket from different components is unchecked: the components are those of all banded pairs, though a
+group of n similar sets costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from airq.llm.common import binary_rows, mix, reduce_runs, store
+from airq.llm.common import binary_rows, mix, reduce_runs, slices, store
 from airq.llm.components import components
 
 #: Signature entries compared at a time.
@@ -26,7 +26,8 @@ BATCH = 16
 #: Members of one side of a block in the last round.
 BLOCK = 256
 
-Confirm = Callable[[DataFrame], DataFrame]
+#: Gives (id, members) of a stored table of ids: the full set as ascending 64-bit values, as binary.
+Sets = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def _pruned(pairs: DataFrame, items: DataFrame, similarity: float, least: list[int]) -> DataFrame:
+def _pruned(pairs: DataFrame, items: DataFrame, percent: int, least: list[int]) -> DataFrame:
     """Of candidate pairs (u, v), those that sizes and signatures leave possible."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,44 +97,77 @@ def _pruned(pairs: DataFrame, items: DataFrame, similarity: float, least: list[i
     a = items.select(F.col("id").alias("u"), F.col("size").alias("size_u"), F.col("sig").alias("sig_u"))
     b = items.select(F.col("id").alias("v"), F.col("size").alias("size_v"), F.col("sig").alias("sig_v"))
     near = pairs.join(a, "u").join(b, "v").where(
-        F.least("size_u", "size_v") >= F.lit(similarity - 1e-9) * F.greatest("size_u", "size_v"))
+        100 * F.least("size_u", "size_v") >= percent * F.greatest("size_u", "size_v"))
     return near.select("u", "v", "sig_u", "sig_v").mapInArrow(task, "u long, v long")
 
 
-def _blocks(left: DataFrame, right: DataFrame, similarity: float, least: list[int]) -> DataFrame:
-    """Survivors among all pairs left x right of the same block whose labels differ."""
-    def compare(block: dict[str, np.ndarray]) -> np.ndarray:
-        one, other = np.flatnonzero(block["is_left"]), np.flatnonzero(~block["is_left"])
-        i, j = np.repeat(one, len(other)), np.tile(other, len(one))
-        big, small = np.maximum(block["size"][i], block["size"][j]), np.minimum(block["size"][i], block["size"][j])
-        ok = (block["label"][i] != block["label"][j]) & (small >= (similarity - 1e-9) * big)
-        i, j = i[ok], j[ok]
-        keep = surviving(block["sig"][i], block["sig"][j], least)
-        i, j = block["id"][i[keep]], block["id"][j[keep]]
-        return np.stack([np.maximum(i, j), np.minimum(i, j)], 1)
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs, those with 100 * intersection >= percent * union."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in slices(batches, "set_u") for part in slices(iter([b]), "set_v")):
+            one, other = (column.to_pylist() for column in (batch.column("set_u"), batch.column("set_v")))
+            keep = [i for i, (x, y) in enumerate(zip(one, other)) if _similar(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], percent)[0]]
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    for side in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("members").alias(f"set_{side}")), side)
+    return pairs.select("u", "v", "set_u", "set_v").mapInArrow(task, "u long, v long")
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets are linked with one set; all ascending, none empty."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    both = np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return 100 * both >= percent * (len(one) + sizes - both)
+
+
+def _blocks(left: DataFrame, right: DataFrame, least: list[int], percent: int) -> DataFrame:
+    """Confirmed links (u, v, lu, lv) among all pairs left x right of a block whose labels differ.
+
+    One link for each left member and label at most; the other pairs of the two would tell nothing new.
+    """
+    def compare(block: dict[str, np.ndarray]) -> list[tuple[int, int, int, int]]:
+        found = []
+        other = np.flatnonzero(~block["is_left"])
+        for i in np.flatnonzero(block["is_left"]):
+            size, sizes = block["size"][i], block["size"][other]
+            j = other[(block["label"][other] != block["label"][i]) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))]
+            sig = block["sig"]
+            j = j[surviving(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], least)]
+            # The likeliest partners first, a few at a time, until each label has a link.
+            j = j[np.argsort(-(sig[j] == sig[i]).sum(1), kind="stable")]
+            while len(j):
+                some, j = j[:32], j[32:]
+                linked = some[_similar(block["members"][i], [block["members"][k] for k in some], percent)]
+                found += [(block["id"][i], block["id"][k], block["label"][i], block["label"][k]) for k in linked]
+                j = j[~np.isin(block["label"][j], block["label"][linked])]
+        return found
 
     names = ["bucket", "lb", "rb", "id", "label", "size", "is_left"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
-        for last, batch in _with_end(batches):
+        for last, batch in _with_end(part for b in batches for part in slices(iter([b]), "members")):
             if batch is not None:
                 new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names} | {"sig": _matrix(batch.column("sig"))}
+                new["members"] = np.empty(batch.num_rows, object)
+                new["members"][:] = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
                 held = new if held is None else {n: np.concatenate([held[n], new[n]]) for n in new}
             if held is None:
                 continue
-            n = len(held["id"])
             key = np.stack([held["bucket"], held["lb"], held["rb"]])
-            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [n]])
+            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [key.shape[1]]])
             whole = cuts if last else cuts[:-1]
-            found = [compare({k: x[p:q] for k, x in held.items()}) for p, q in zip(whole[:-1], whole[1:])]
+            rows = {x for p, q in zip(whole[:-1], whole[1:]) for x in compare({k: x[p:q] for k, x in held.items()})}
             held = {k: x[whole[-1]:] for k, x in held.items()}
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            links = np.array(sorted(rows), np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, i]) for i in range(4)], ["u", "v", "lu", "lv"])
 
     rows = left.withColumn("is_left", F.lit(True)).unionByName(right.withColumn("is_left", F.lit(False)))
-    dealt = rows.select(*names, "sig").repartition("bucket", "lb", "rb").sortWithinPartitions("bucket", "lb", "rb")
-    return dealt.mapInArrow(task, "u long, v long").distinct()
+    dealt = rows.select(*names, "sig", "members").repartition("bucket", "lb", "rb").sortWithinPartitions("bucket", "lb", "rb")
+    return dealt.mapInArrow(task, "u long, v long, lu long, lv long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
@@ -147,40 +181,40 @@ def _labelled(rows: DataFrame, labels: DataFrame, key: str = "id", name: str = "
     return rows.join(found, key, "left").withColumn(name, F.coalesce(name, key))
 
 
-def components_of(items: DataFrame, banding: Banding, confirm: Confirm, similarity: float = 0.8,
-                  miss: float = 1e-4) -> tuple[DataFrame, DataFrame]:
-    """(id, component) of the linked items, and the confirmed links (u, v) that made them.
+def components_of(items: DataFrame, banding: Banding, sets: Sets, percent: int = 80, miss: float = 1e-4) -> DataFrame:
+    """(id, component) of the linked items.
 
-    ``items`` is (id bigint, size bigint, sig binary) of different sets; equal rows may repeat. ``confirm`` takes
-    candidate pairs (u, v) and returns those that full sets confirm. A pair at the limit is missed by the bands with a
-    chance of (1 - similarity^rows)^bands and by the sequential test with one of ``miss``.
+    ``items`` is (id bigint, size bigint, sig binary) of different sets that are not empty; equal rows may repeat.
+    ``sets`` reads the full sets of some ids. A pair at the limit is missed by the bands with a chance of
+    (1 - similarity^rows)^bands and by the sequential test with one of ``miss``.
     """
-    least = least_matches(similarity, miss, banding.entries)
+    least = least_matches(percent / 100, miss, banding.entries)
     one = Window.partitionBy("bucket")
     members = items.select("id", F.explode(banding.buckets()).alias("bucket")).select(
         "bucket", "id", F.min("id").over(one).alias("a"), F.max("id").over(one).alias("b")).where("a <> b")
     members, _ = store(members.select("bucket", "id").distinct(), "members")
     items, _ = store(items.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "banded")
-    links, labels = [], None
-    for scramble in (F.lit(0x1B873593), F.col("bucket")):
-        # The member whose id, scrambled, is smallest is the centre; scrambling by exclusive or can be undone.
-        centre = members.groupBy("bucket").agg(F.min(F.col("id").bitwiseXOR(scramble)).alias("c")).select(
-            "bucket", F.col("c").bitwiseXOR(scramble).alias("centre"))
-        pairs = members.join(centre, "bucket").where("id <> centre").select(
-            F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")).distinct()
-        if labels is not None:
-            pairs = _labelled(_labelled(pairs, labels, "u", "lu"), labels, "v", "lv").where("lu <> lv").select("u", "v")
-        found, seen = store(confirm(_pruned(pairs, items, similarity, least)), "confirmed", {"n": F.count(F.lit(1))})
-        links.append(found)
-        if labels is None or seen["n"]:
-            labels = components(reduce(DataFrame.unionByName, links))
+    # The member whose id, scrambled, is smallest is a centre; scrambling by exclusive or can be undone.
+    scrambles = [F.lit(0x1B873593), F.col("bucket")]
+    centres = members.groupBy("bucket").agg(F.array(*[F.min(F.col("id").bitwiseXOR(x)).bitwiseXOR(x) for x in scrambles]).alias("centres"))
+    pairs = members.join(centres, "bucket").select("id", F.explode("centres").alias("centre")).where("id <> centre").select(
+        F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")).distinct()
+    pairs, _ = store(_pruned(pairs, items, percent, least), "survivors")
+    ids, _ = store(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ids")
+    links, _ = store(_confirmed(pairs, store(sets(ids), "sets")[0], percent), "confirmed")
+    labels = components(links)
+
     mixed, _ = store(_labelled(members, labels), "labelled")
     each = mixed.groupBy("bucket", "label").count()
     main = each.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"),
                                       F.count(F.lit(1)).alias("labels")).where("labels > 1 and n > 2").select(
         "bucket", F.col("m.label").alias("main"), F.ceil((F.col("n") - F.col("m.count")) / BLOCK).cast("int").alias("nl"),
         F.ceil(F.col("n") / BLOCK).cast("int").alias("nr"))
-    rows = mixed.join(main, "bucket").join(items.select("id", "size", "sig"), "id")
+    mixed, seen = store(mixed.join(main, "bucket"), "mixed", {"n": F.count(F.lit(1))})
+    if not seen["n"]:
+        return labels
+    ids, _ = store(mixed.select("id").distinct(), "ids")
+    rows = mixed.join(items.join(sets(ids), "id"), "id")
 
     def block(n: str) -> Column:
         return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -188,9 +222,14 @@ def components_of(items: DataFrame, banding: Banding, confirm: Confirm, similari
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
+    rows, _ = store(rows, "blocks")
     left = rows.where("label <> main").withColumn("lb", block("nl")).withColumn("rb", every("nr"))
     right = rows.withColumn("rb", block("nr")).withColumn("lb", every("nl"))
-    found, seen = store(confirm(_blocks(left, right, similarity, least)), "confirmed", {"n": F.count(F.lit(1))})
-    links.append(found)
-    every_link = reduce(DataFrame.unionByName, links)
-    return (components(every_link) if seen["n"] else labels), every_link
+    more, seen = store(_blocks(left, right, least, percent), "confirmed", {"n": F.count(F.lit(1))})
+    if not seen["n"]:
+        return labels
+    joined = components(more.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    lone = more.select(F.col("u").alias("id"), F.col("lu").alias("component")).union(more.select("v", "lv"))
+    every_label = labels.unionByName(lone).distinct().withColumnRenamed("component", "old")
+    joined = joined.withColumnRenamed("id", "old")
+    return every_label.join(joined, "old", "left").select("id", F.coalesce("component", "old").alias("component")).distinct()

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airq.llm.common import (distinct_sets, grams, mix, one_per_id, reduce_runs, slices, store, text_bytes, words)
+from airq.llm.common import (distinct_sets, grams, mix, keyed, only, reduce_runs, slices, store, text_bytes, unkeyed,
+                             words)
 from airq.llm.linking import Banding, components_of, signatures
 
 SHAPE = "doc_id long, size long, k1 long, k2 long, sig binary"
@@ -49,28 +50,15 @@ def _describe(shingle: int):
     return task
 
 
-def _confirm(docs: DataFrame, shingle: int, percent: int):
-    """Links among pairs (u, v) of document ids: 100 * intersection >= percent * union of the full sets."""
+def _sets(docs: DataFrame, shingle: int):
+    """Full sets of some documents as ascending hashes."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in slices(batches, "text_u") for part in slices(iter([b]), "text_v")):
-            sets = [shingle_sets(batch.column(c), shingle) for c in ("text_u", "text_v")]
-            owner = [np.repeat(np.arange(batch.num_rows), np.diff(runs)) for _, runs in sets]
-            values, runs = distinct_sets(*(np.concatenate(x)[(o := np.argsort(np.concatenate(owner), kind="stable"))]
-                                           for x in ([sets[0][0], sets[1][0]], owner)), batch.num_rows)
-            union = np.diff(runs)
-            both = np.diff(sets[0][1]) + np.diff(sets[1][1]) - union
-            keep = np.flatnonzero((100 * both >= percent * union) & (union > 0))
-            yield batch.select(["u", "v"]).take(pa.array(keep))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs, _ = store(pairs, "survivors")
-        wanted, _ = store(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "wanted")
-        texts = docs.join(wanted, "doc_id", "left_semi")
-        sides = pairs
-        for side in ("u", "v"):
-            sides = sides.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
-        return sides.select("u", "v", "text_u", "text_v").mapInArrow(task, "u long, v long")
-    return confirm
+        for batch in slices(batches, "text"):
+            values, runs = shingle_sets(batch.column("text"), shingle)
+            members = [values[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(members, pa.binary())], ["id", "members"])
+
+    return lambda ids: only(docs.withColumnRenamed("doc_id", "id"), ids, "id").mapInArrow(task, "id long, members binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:
@@ -81,20 +69,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     doc_id reachable, and that document is kept. Equal sets are one class first and only its smallest id is compared.
 
     Nulls and empty texts have no shingles, link with nothing and are kept. Repeated doc_ids count as one document (see
-    :func:`airq.llm.common.one_per_id`), a null doc_id as one too. It is never compared: its component_id is null, and
-    it is kept. Further columns are not read.
+    :func:`airq.llm.common.one_per_id`), a null doc_id as one too; it comes first, and the component_id of what is linked
+    with it is null. Further columns are not read.
     """
-    docs = one_per_id(docs)
+    docs = keyed(docs)
     described, _ = store(docs.mapInArrow(_describe(shingle), SHAPE), "sets")
     keys = ["size", "k1", "k2"]
-    member = described.where("size > 0 and doc_id is not null").select("doc_id", *keys)
+    member = described.where("size > 0").select("doc_id", *keys)
     classes, _ = store(member.join(member.groupBy(*keys).agg(F.min("doc_id").alias("first")), keys).select("doc_id", "first"), "classes")
     items, _ = store(described.join(classes.where("doc_id = first").select("doc_id"), "doc_id", "left_semi")
                      .select(F.col("doc_id").alias("id"), "size", "sig"), "items")
-    found, _ = components_of(items, BANDING, _confirm(docs, shingle, percent), percent / 100, miss)
+    found = components_of(items, BANDING, _sets(docs, shingle), percent, miss)
     named = classes.join(found.withColumnRenamed("id", "first"), "first", "left").select(
         F.col("doc_id").alias("id"), F.coalesce("component", "first").alias("component"))
     rows = described.select("doc_id", "size").join(named, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"),
-                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept")) \
+        .select(unkeyed(), "n_shingles", unkeyed("component_id"), "kept")

@@ -10,10 +10,13 @@ from airq.llm import sql
 from airq.llm.chat_format import Template, format_chats, read_back
 from airq.llm.common import store, table
 from airq.llm.decontaminate import contamination
+from airq.llm.fertility import fertility_rules
 from airq.llm.line_dedup import dedup_lines
 from airq.llm.near_dedup import near_duplicates
+from airq.llm.ordinal_quality import grade_quality
 from airq.llm.packing import pack
 from airq.llm.substring_dedup import remove_repeats
+from airq.llm.toxicity import score_toxicity
 from airq.llm.warc_zstd import read_archives, resolved, train_dictionary, write_archives
 
 #: Where the public vocabularies lie, on the driver and on every executor.
@@ -51,6 +54,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    # Three grades: poor, good but toxic, good.
+    grade = F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))
+    return grade_quality(table(spark, sf_dir, "documents"), labels.select("doc_id", grade.alias("grade")), top=2)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -62,6 +76,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_decontaminate, op4_substring_dedup, op5_packing, op8_near_dedup, op9_warc)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility_rules(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_decontaminate, op4_substring_dedup, op5_packing,
+                                 op6_quality_classifier, op7_toxicity, op8_near_dedup, op9_warc, op10_quality_rules)}
 ORACLES = {"op1_chat_format": sql.CHAT_FORMAT, "op3_decontaminate": sql.DECONTAMINATE, "op4_substring_dedup": sql.SUBSTRING_DEDUP,
            "op8_near_dedup": sql.NEAR_DEDUP, "op9_warc": sql.WARC}

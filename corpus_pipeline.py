@@ -2,35 +2,66 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airq.llm.common import store, table
+from airq.llm.common import NO_ID, store, table
+from airq.llm.decontaminate import contamination
 from airq.llm.line_dedup import dedup_lines
 from airq.llm.near_dedup import near_duplicates
+from airq.llm.packing import pack
+from airq.llm.toxicity import score_toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not among ``gone`` (doc_id), which may hold a null id."""
+    gone, _ = store(gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone")), "gone")
+    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == gone["gone"], "left_anti")
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score does not reject."""
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scored.where("predicted = 1"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with one line of each group of similar lines, the first one."""
-    cleaned = dedup_lines(docs).select(F.col("doc_id").alias("of"), F.col("text").alias("cleaned"), "n_removed")
-    rows = docs.join(cleaned, docs["doc_id"].eqNullSafe(F.col("of")))
-    text = F.when(F.col("n_removed") > 0, F.col("cleaned")).otherwise(F.col("text"))
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("cleaned").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
+    """Documents with one line of each group of similar lines, the first one; repeated doc_ids become one row."""
+    cleaned = dedup_lines(docs).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("of"), F.col("text").alias("cleaned"))
+    cleaned, _ = store(cleaned, "cleaned")
+    rows = docs.join(cleaned, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("of"), "left")
+    changed = F.col("of").isNotNull()
+    return rows.select(*[
+        F.when(changed, F.col("cleaned")).otherwise(F.col("text")).alias(c) if c == "text" else
+        F.when(changed, F.char_length("cleaned").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else docs[c]
+        for c in docs.columns])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, near_duplicates(docs).where("not kept"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    return pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 #: SQL cannot say the stages that learn or pack.
 ORACLE_SQL = None
-STAGES: list[tuple[str, Stage]] = [("line_dedup", without_repeated_lines), ("near_dedup", without_near_copies)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic), ("line_dedup", without_repeated_lines), ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
