@@ -34,10 +34,9 @@ def neighbour_sums(cells: DataFrame, value: str, by: list[str] | None = None) ->
     return cells.join(sums, [*by, "row", "col"], "left").fillna({"nbr_sum": 0.0, "nbr_count": 0})
 
 
-def queen_threshold(cells: DataFrame, cell_id: str, dims: list[str], base: float,
-                    levels: int) -> DataFrame:
+def queen_threshold(cells: DataFrame, cell_id: str, dims: list[str], base: float) -> DataFrame:
     """1.5 times the median distance to the nearest other cell, one row."""
-    nearest = k_nearest(cells, cells, dims, 1, cell_id, cell_id, base, levels, exclude_same_id=True)
+    nearest = k_nearest(cells, cells, dims, 1, cell_id, cell_id, base, exclude_same_id=True)
     return exact_quantiles(nearest, "distance", {"m": 0.5}).select(
         (F.col("m") * 1.5).alias("threshold"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import DataFrame, functions as F
+from airq.session import materialize
 
 MIN_ROWS_FOR_R2 = 3
 MAX_STATIONS_FOR_LOGO = 8
@@ -12,44 +12,78 @@ FOLD_LIMIT = 5
 VALIDATED_R2 = 0.5
 
 
-def _fold_table(counts: list[tuple[str, int]], strategy: str, k: int) -> list[tuple[str, int]]:
-    if strategy == "leave_one_group_out":
-        return [(g, i) for i, g in enumerate(sorted(g for g, _ in counts))]
-    # Largest group first, each into the lightest fold so far.
-    heap = [(0, fold) for fold in range(min(k, len(counts)))]
+def _deal(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """Largest group first, each into the lightest fold so far, for (size, number of groups).
+
+    Returns (size, first rank, end rank, cycle): among the groups of a size, rank
+    r of a stretch goes to ``cycle[(r - first) % len(cycle)]``. While groups of
+    one size are dealt, the folds that lie less than a size above the lightest
+    take turns, and other folds join one by one, so a size has at most as many
+    stretches as there are folds.
+    """
+    loads = [0] * folds
     out = []
-    for group, n in sorted(counts, key=lambda c: (-c[1], c[0])):
-        size, fold = heapq.heappop(heap)
-        out.append((group, fold))
-        heapq.heappush(heap, (size + n, fold))
+    for size, groups in sorted(sizes, reverse=True):
+        begin = 0
+        while begin < groups:
+            order = sorted(range(folds), key=lambda f: (loads[f], f))
+            low = loads[order[0]]
+            turn = [f for f in order if loads[f] < low + size or f == order[0]]
+            later = [loads[f] - low for f in order if f not in turn]
+            rounds = max(1, min(later) // size) if later else groups
+            end = min(groups, begin + rounds * len(turn))
+            out.append((size, begin, end, turn))
+            for i, f in enumerate(turn):
+                loads[f] += size * ((end - begin - i + len(turn) - 1) // len(turn))
+            begin = end
     return out
 
 
+def _ranked(sizes: DataFrame, group: str) -> DataFrame:
+    """Groups with ``rank`` over all of them by name, nulls first, and ``among`` those of their size.
+
+    Range partitions are numbered on their own and moved by what lies before them.
+    """
+    def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        keys = [F.col(c).asc_nulls_first() for c in [*by, group]]
+        dealt = materialize(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "groups")
+        place = Window.partitionBy("_part", *by).orderBy(F.col(group).asc_nulls_first())
+        held = dealt.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_c"))
+        before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        start = held.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+        return dealt.withColumn("_at", F.row_number().over(place)).join(start, ["_part", *by]).withColumn(
+            name, (F.col("_at") + F.col("_before") - 1).cast("bigint")).drop("_part", "_at", "_before")
+
+    return numbered(numbered(sizes, [], "rank"), ["n"], "among")
+
+
 def choose_strategy(n_groups: int, strategy: str = "auto") -> str:
     if strategy != "auto":
         return strategy
     return "leave_one_group_out" if n_groups <= MAX_STATIONS_FOR_LOGO else "group_kfold"
 
 
-def assign_folds(df: DataFrame, group: str, strategy: str = "auto", k: int = FOLD_LIMIT,
-                 max_groups: int = 200_000) -> DataFrame:
-    """Add the test ``fold`` of each row.
+def assign_folds(df: DataFrame, group: str, strategy: str = "auto", k: int = FOLD_LIMIT) -> DataFrame:
+    """Add the test ``fold`` of each row; one rule at every size.
 
-    Only group sizes reach the driver, and their number is checked first. More
-    groups than ``max_groups`` are dealt out by rank of a stable hash instead,
-    which needs no list at all.
+    ``leave_one_group_out`` numbers the groups by name. ``group_kfold`` deals
+    them, largest first and equal ones by name, into the lightest of k folds.
+    Only the distinct sizes and their numbers reach the driver, no list of
+    groups. Rows without a group are a group of their own, first by name.
+    ``auto`` leaves each group out where there are eight or fewer.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    head = sizes.limit(max_groups + 1).collect()
-    if len(head) > max_groups:
-        if choose_strategy(len(head), strategy) == "leave_one_group_out":
-            raise ValueError("too many groups to leave each one out")
-        return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
-    counts = [(r[group], r["n"]) for r in head if r[group] is not None]
-    table = _fold_table(counts, choose_strategy(len(counts), strategy), k)
-    kind = df.schema[group].dataType.simpleString()
-    folds = df.sparkSession.createDataFrame(table, f"`{group}` {kind}, fold int")
-    return df.join(folds, group)
+    sizes = materialize(_ranked(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group), "fold-groups")
+    histogram = [(r["n"], r["c"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()]
+    groups = sum(c for _, c in histogram)
+    if choose_strategy(groups, strategy) == "leave_one_group_out":
+        folds = sizes.select(F.col(group).alias("_g"), F.col("rank").cast("int").alias("fold"))
+    else:
+        rows = _deal(histogram, max(1, min(k, groups)))
+        table = df.sparkSession.createDataFrame(rows, "n bigint, _first bigint, _end bigint, _cycle array<int>")
+        turn = ((F.col("among") - F.col("_first")) % F.size("_cycle")).cast("int")
+        folds = sizes.join(table, "n").where((F.col("among") >= F.col("_first")) & (F.col("among") < F.col("_end"))).select(
+            F.col(group).alias("_g"), F.get("_cycle", turn).alias("fold"))
+    return df.join(folds, df[group].eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def fold_index(df: DataFrame, group: str) -> DataFrame:

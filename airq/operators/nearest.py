@@ -4,12 +4,14 @@ A pyramid of bucket sizes replaces a spatial index. For every query position
 the smallest level is found at which the 3x3 (3x3x3) block of buckets around it
 holds at least k sites; two levels up, the same block is guaranteed to contain
 the k nearest ones. One equi-join on (level, bucket) then gives exact results
-for near and far positions alike, without forming all pairs.
+for near and far positions alike, without forming all pairs. The data decide
+the levels: the coarsest spans all positions, the finest splits the densest place.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,24 +29,45 @@ def _around(n: int) -> Column:
                      for offset in itertools.product((-1, 0, 1), repeat=n)])
 
 
+def _levels(points: DataFrame, sites: DataFrame, dims: list[str], base: float, need: int) -> tuple[float, int]:
+    """The finest bucket size and the number of levels above it.
+
+    Halving from ``base`` goes on until no bucket holds more than about ``need``
+    sites, or is as small as coordinates can tell apart; doubling until a bucket
+    is as wide as all positions together.
+    """
+    ends = points.select(*dims).unionByName(sites.select(*dims)).agg(*[
+        f(d).alias(f"{name}{i}") for i, d in enumerate(dims) for name, f in (("a", F.min), ("b", F.max))]).first()
+    spans = [(ends[f"b{i}"] or 0.0) - (ends[f"a{i}"] or 0.0) for i in range(len(dims))]
+    widest = max([abs(ends[f"{x}{i}"] or 0.0) for i in range(len(dims)) for x in "ab"] + [base])
+    finest = max(-30, math.ceil(math.log2(widest * 2.0 ** -40 / base)))
+    size = F.lit(base) * F.pow(F.lit(2.0), F.col("_level"))
+    crowd = sites.select(*dims).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(finest)))).groupBy(
+        "_level", *_bucket(dims, size)).agg(F.count(F.lit(1)).alias("_n")).groupBy("_level").agg(F.max("_n").alias("_n"))
+    most = {r["_level"]: r["_n"] for r in crowd.collect()}
+    low = next((level for level in range(0, finest, -1) if most.get(level, 0) <= 2 * need), finest)
+    smallest = base * 2.0 ** low
+    return smallest, max(2, math.ceil(math.log2(max(*spans, smallest) / smallest)) + 1)
+
+
 def k_nearest(points: DataFrame, sites: DataFrame, dims: list[str], k: int, point_id: str,
-              site_id: str, base: float, levels: int, exclude_same_id: bool = False) -> DataFrame:
+              site_id: str, base: float, exclude_same_id: bool = False) -> DataFrame:
     """The k nearest sites of every point: (point_id, site_id, distance, rank).
 
     ``points`` and ``sites`` have the coordinate columns ``dims``. Bucket sizes
-    are ``base * 2**level``; the top level must span the whole extent. Ties are
+    are ``base`` times powers of two, as many as the data need. Ties are
     broken by site id. Fewer than k sites in total return all of them.
     """
     need = k + (1 if exclude_same_id else 0)
     n = len(dims)
     buckets = [f"_b{i}" for i in range(n)]
+    # At one exact position no more than `need` sites can be among the nearest.
+    # They are read more than once below and are few next to the points, so they are written.
+    thin = materialize(_cap_position(sites, dims, site_id, need), "sites")
+    base, levels = _levels(points, thin, dims, base, need)
     top = levels + 1
     size = F.lit(base) * F.pow(F.lit(2.0), F.col("_level"))
     level_list = F.array(*[F.lit(i) for i in range(top + 1)])
-
-    # At one exact position no more than `need` sites can be among the nearest.
-    # They are read twice below and are few next to the points, so they are written.
-    thin = materialize(_cap_position(sites, dims, site_id, need), "sites")
     pyramid = thin.withColumn("_level", F.explode(level_list)).select(
         site_id, *dims, "_level", *_bucket(dims, size))
 
@@ -115,9 +138,9 @@ def nearest_station(cells: DataFrame, stations: DataFrame, cell_id: str, station
                             .where(F.col(lon).isNotNull() & F.col(lat).isNotNull()), lon, lat)
     site = with_unit_vector(stations.select(station_id, lon, lat)
                             .where(F.col(lon).isNotNull() & F.col(lat).isNotNull()), lon, lat)
-    # Base bucket 2**-9 of the earth radius, about 12 km; the top spans the sphere.
+    # The search begins with buckets of 2**-9 of the earth radius, about 12 km.
     best = k_nearest(cell, site, ["_ux", "_uy", "_uz"], 1, cell_id, station_id,
-                     base=2.0 ** -9, levels=11)
+                     base=2.0 ** -9)
     where = stations.select(station_id, F.col(lon).alias("_slon"), F.col(lat).alias("_slat"))
     return (best.join(cells.select(cell_id, lon, lat), cell_id).join(where, station_id)
             .select(cell_id, station_id, haversine_km(
@@ -145,7 +168,7 @@ def within_radius(points: DataFrame, sites: DataFrame, dims: list[str], radius:
 
 def idw(cells: DataFrame, stations: DataFrame, cell_id: str, value: str,
         lon: str = "longitude", lat: str = "latitude", power: float = 2.0,
-        radius_deg: float = 0.5, extent: float = 512.0) -> DataFrame:
+        radius_deg: float = 0.5) -> DataFrame:
     """Inverse-distance weighting in degrees.
 
     Within 1e-6 of a station its value is taken; with no station inside the
@@ -162,11 +185,8 @@ def idw(cells: DataFrame, stations: DataFrame, cell_id: str, value: str,
     near = pairs.groupBy(cell_id).agg(
         (F.sum(weight * F.col("s__sum")) / F.sum(weight * F.col("s__n"))).alias("_weighted"),
         F.min("distance").alias("_closest"), F.min_by("s__first", "distance").alias("_at"))
-    levels = 2
-    while 0.01 * 2 ** levels < extent:
-        levels += 1
     lonely = cells.select(cell_id, lon, lat).join(near.select(cell_id), cell_id, "left_anti")
-    far = k_nearest(lonely, sites, dims, 1, cell_id, "_site", base=0.01, levels=levels)
+    far = k_nearest(lonely, sites, dims, 1, cell_id, "_site", base=0.01)
     far = far.join(sites.select("_site", F.col("_first").alias("_far")), "_site").select(
         cell_id, "_far")
     exact = F.col("_closest") < 1e-6

@@ -95,16 +95,34 @@ def zones_geojson(spark, sf_dir):
         (F.col("max_row") + 1) * side, ["hotspot_id", "area_km2", "n_cells"])
 
 
-@query("final_checks", parts=["hot"], sql="""
-SELECT unnest(['every_index_has_a_concentration', 'every_category_has_an_index', 'index_in_range', 'zones_in_area']) AS "check", 0::BIGINT AS violations, TRUE AS passed
-UNION ALL SELECT 'cells_in_area', count(*) FILTER (row >= 100), count(*) FILTER (row >= 100) = 0 FROM pixels
+_AREA_COLS = 60
+
+
+@query("final_checks", parts=["hot"], sql=f"""
+{_ZONES},
+z AS (SELECT max(row) AS bottom, max(col) AS side FROM zoned GROUP BY zone),
+area AS (SELECT max(o_orderkey) // 64 + 1 AS n_rows FROM orders),
+cell AS (SELECT row, col, CASE WHEN (row + col) % 101 <> 0 THEN value END AS pm25, {category_sql('aqi')} AS category,
+    CASE WHEN (row + 2 * col) % 103 <> 0 THEN aqi + CASE WHEN (row + 3 * col) % 107 = 0 THEN 1000 ELSE 0 END END AS aqi
+  FROM (SELECT row, col, value, round_even({aqi_sql('(value * 5.0::DOUBLE)')}, 0) AS aqi FROM pixels) a),
+c AS (
+  SELECT 'every_index_has_a_concentration' AS "check", count(*) FILTER (aqi IS NOT NULL AND pm25 IS NULL) AS violations FROM cell
+  UNION ALL SELECT 'every_category_has_an_index', count(*) FILTER (category IS NOT NULL AND aqi IS NULL) FROM cell
+  UNION ALL SELECT 'index_in_range', count(*) FILTER (aqi NOT BETWEEN 0 AND 500) FROM cell
+  UNION ALL SELECT 'cells_in_area', count(*) FILTER (row >= n_rows OR col >= {_AREA_COLS}) FROM cell, area
+  UNION ALL SELECT 'zones_in_area', count(*) FILTER (bottom >= n_rows OR side >= {_AREA_COLS}) FROM z, area)
+SELECT "check", violations, violations = 0 AS passed FROM c
 """)
 def final_checks(spark, sf_dir):
-    """Cells are held against a small area on purpose, so one check fails."""
+    """All cells and zones; gaps and wrong values are planted, and the area is declared too narrow."""
     cells = materialize(_aqi_cells(spark, sf_dir), "index-cells")
-    hot = Z.hotspot_mask(cells).where("row < 100")
-    zones = Z.hotspot_zones(Z.label_zones(hot, domain.PIXEL_COLS), 0.25)
-    return RP.final_checks(cells, zones, 100, domain.PIXEL_COLS)
+    zones = Z.hotspot_zones(Z.label_zones(Z.hotspot_mask(cells), domain.PIXEL_COLS), 0.25)
+    row, col = F.col("row"), F.col("col")
+    planted = cells.withColumns({
+        "pm25": F.when((row + col) % 101 != 0, F.col("pm25")),
+        "aqi": F.when((row + 2 * col) % 103 != 0, F.col("aqi") + F.when((row + 3 * col) % 107 == 0, 1000).otherwise(0))})
+    last = domain.table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("k")).first()["k"]
+    return RP.final_checks(planted, zones, last // domain.PIXEL_COLS + 1, _AREA_COLS)
 
 
 # -------------------------------------------------- nearest stations and IDW
@@ -141,12 +159,12 @@ def nearest_station(spark, sf_dir):
 @query("nearest_three_stations", parts=["stations", "fine"], sql="""
 WITH d AS (SELECT grid_id, station_id, sqrt((f.longitude - s.longitude) ** 2 + (f.latitude - s.latitude) ** 2) AS dist FROM fine f, stations s),
 n AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY dist, station_id) AS rank FROM d)
-SELECT grid_id, CAST(rank AS INT) AS rank, ROUND(dist, 6) AS distance FROM n WHERE rank <= 3
+SELECT grid_id, CAST(rank AS INT) AS rank, station_id, ROUND(dist, 6) AS distance FROM n WHERE rank <= 3
 """)
 def nearest_three_stations(spark, sf_dir):
     cells, stations = _cells(spark, sf_dir), domain.stations(spark, sf_dir)
-    out = N.k_nearest(cells, stations, ["longitude", "latitude"], 3, "grid_id", "station_id", 0.02, 10)
-    return out.select("grid_id", "rank", r6("distance").alias("distance"))
+    out = N.k_nearest(cells, stations, ["longitude", "latitude"], 3, "grid_id", "station_id", 0.02)
+    return out.select("grid_id", "rank", "station_id", r6("distance").alias("distance"))
 
 
 @query("station_neighbours", parts=["stations"], sql="""
@@ -170,7 +188,7 @@ SELECT ROUND(quantile_cont(m, 0.5) * 1.5::DOUBLE, 6) AS threshold FROM d
 def neighbour_threshold(spark, sf_dir):
     """1.5 times the median distance between a station and its nearest other one."""
     return rounded(A.queen_threshold(domain.stations(spark, sf_dir), "station_id",
-                                     ["longitude", "latitude"], 0.01, 12), "threshold")
+                                     ["longitude", "latitude"], 0.01), "threshold")
 
 
 @query("idw_surface", parts=["stations", "fine"], sql="""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -43,14 +45,16 @@ def apply_engine_conf(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder is chosen, once per session.
+    A cluster must name it in ``spark.checkpoint.dir``. Only with a local master
+    a temporary folder is chosen where that is unset, once per session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     made = spark.conf.get("airq.shared.dir", None)
     if not made:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         made = tempfile.mkdtemp(prefix="airq-")
         spark.conf.set("airq.shared.dir", made)
     return made
@@ -61,8 +65,8 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/airq-{name}-{uuid.uuid4().hex}"
 
 
-# Tables this process wrote to the shared folder and may delete again.
-_WRITTEN: dict[int, str] = {}
+# Paths of the tables this process wrote to the shared folder and may delete again.
+_WRITTEN: set[str] = set()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -75,7 +79,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_shared_path(df.sparkSession, name)
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
-    _WRITTEN[id(written._jdf)] = path
+    # The frame itself names its table; a frame derived from it does not.
+    written._airq_path = path
+    _WRITTEN.add(path)
     return written
 
 
@@ -88,15 +94,22 @@ def materialize_counting(df: DataFrame, name: str, condition: Column) -> tuple[D
 
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize`; other frames are left alone."""
-    path = _WRITTEN.pop(id(df._jdf), None)
-    if path:
+    path = df.__dict__.get("_airq_path")
+    if path in _WRITTEN:
+        _WRITTEN.discard(path)
         _delete(df.sparkSession, path)
 
 
-def discard_all(spark: SparkSession) -> None:
-    """Delete every table this process still holds; call when results are stored."""
-    for key in list(_WRITTEN):
-        _delete(spark, _WRITTEN.pop(key))
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete, on leaving, the tables that were materialized inside; store the results before."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN - before:
+            _WRITTEN.discard(path)
+            _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -79,7 +79,7 @@ def test_k_nearest_brute_force(spark, k):
     s = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(sites)], "sid int, x double, y double")
     p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "pid int, x double, y double")
     got = {}
-    for r in N.k_nearest(p, s, ["x", "y"], k, "pid", "sid", 0.05, 12).collect():
+    for r in N.k_nearest(p, s, ["x", "y"], k, "pid", "sid", 0.05).collect():
         got.setdefault(r.pid, []).append((r["rank"], r.sid))
     for i, point in enumerate(pts):
         d = np.hypot(*(sites - point).T)
@@ -90,11 +90,26 @@ def test_k_nearest_brute_force(spark, k):
 def test_k_nearest_with_few_sites(spark):
     s = spark.createDataFrame([("a", 0.0, 0.0), ("b", 5.0, 5.0)], "id string, x double, y double")
     points = s.withColumnRenamed("id", "pid")
-    assert N.k_nearest(points, s, ["x", "y"], 8, "pid", "id", 0.1, 10).count() == 4
-    others = N.k_nearest(s, s, ["x", "y"], 8, "id", "id", 0.1, 10, exclude_same_id=True)
+    assert N.k_nearest(points, s, ["x", "y"], 8, "pid", "id", 0.1).count() == 4
+    others = N.k_nearest(s, s, ["x", "y"], 8, "id", "id", 0.1, exclude_same_id=True)
     assert others.count() == 2
 
 
+def test_k_nearest_far_away_and_in_a_dense_place(spark):
+    far = spark.createDataFrame([("s", 120.0, 1.0)], "sid string, x double, y double")
+    one = spark.createDataFrame([("p", 0.0, 0.0)], "pid string, x double, y double")
+    assert N.k_nearest(one, far, ["x", "y"], 1, "pid", "sid", 0.02).count() == 1
+    rng = np.random.default_rng(5)
+    dense = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 0.01, (1500, 2)))]
+    s = spark.createDataFrame(dense, "sid int, x double, y double")
+    p = spark.createDataFrame([(i, x + 1e-5, y) for i, x, y in dense], "pid int, x double, y double")
+    base, levels = N._levels(p, s, ["x", "y"], 0.02, 1)
+    assert base < 0.001 and base * 2 ** (levels + 1) >= 0.01
+    got = {r.pid: r.sid for r in N.k_nearest(p, s, ["x", "y"], 1, "pid", "sid", 0.02).collect()}
+    xy = np.array([d[1:] for d in dense])
+    assert got == {i: int(np.argmin(np.hypot(*(xy - (x + 1e-5, y)).T))) for i, x, y in dense}
+
+
 def test_nearest_station_across_the_date_line(spark):
     c = spark.createDataFrame([("c1", 179.9, 10.0), ("c2", 0.0, 89.9)], "grid_id string, longitude double, latitude double")
     s = spark.createDataFrame([("s1", -179.9, 10.0), ("s2", 170.0, 10.0), ("s3", 180.0, 88.0)],

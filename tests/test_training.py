@@ -100,11 +100,30 @@ def test_folds(spark, ready):
     assert splits.count() == 10000 and FO.split_overlap(splits, "station_id").count() == 0
     bad = splits.unionByName(splits.where("split = 'test'").withColumn("split", F.lit("train")).limit(1))
     assert FO.split_overlap(bad, "station_id").count() == 1
-    hashed = FO.assign_folds(ready, "station_id", "group_kfold", max_groups=3)
-    assert FO.split_overlap(FO.split_rows(hashed.select("station_id", "date", "fold"), 5), "station_id").count() == 0
+    dealt = FO.assign_folds(few, "station_id", "group_kfold", 2)
+    assert FO.split_overlap(FO.split_rows(dealt.select("station_id", "date", "fold"), 2), "station_id").count() == 0
     assert FO.choose_strategy(40, "leave_one_group_out") == "leave_one_group_out"
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_folds_are_dealt_as_by_a_heap(spark, seed):
+    import heapq
+    import random
+    rng = random.Random(seed)
+    groups = [(f"g{i:03d}", rng.choice([1, 1, 1, 2, 3, 7, 40])) for i in range(60)] + [("big", 200), (None, 3)]
+    rows = spark.createDataFrame([(g, i) for g, n in groups for i in range(n)], "g string, i int")
+    heap, want = [(0, f) for f in range(5)], {}
+    for g, n in sorted(groups, key=lambda x: (-x[1], x[0] or "")):
+        size, fold = heapq.heappop(heap)
+        want[g] = fold
+        heapq.heappush(heap, (size + n, fold))
+    got = FO.assign_folds(rows, "g", "group_kfold")
+    assert got.count() == rows.count()
+    assert {r.g: r.fold for r in got.select("g", "fold").distinct().collect()} == want
+    alone = FO.assign_folds(rows, "g", "leave_one_group_out").select("g", "fold").distinct().collect()
+    assert [r.g for r in sorted(alone, key=lambda r: r.fold)] == sorted(dict(groups), key=lambda g: g or "")
+
+
 def test_fold_metrics(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0), (0, 2.0, 2.0), (0, 3.0, 2.0), (1, 1.0, 1.0), (1, 2.0, 5.0)],
                                "fold int, observed_PM25 double, predicted_PM25 double").withColumn("model", F.lit("m"))
