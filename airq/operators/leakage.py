@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from airq.functions.geo import SCOPES, in_bbox
+from airq.operators.folds import split_overlap
 from airq.operators.reports import duplicate_keys
-from airq.schemas import FEATURES
+from airq.schemas import FEATURES, TARGET
 
 # Marker texts of test data and of features derived from the target.
 SYNTHETIC_MARKERS = ["synthetic", "synth_", "sample_", "_test", "test_data"]
@@ -44,15 +45,37 @@ def leaked_features(features: list[str] | None = None) -> list[str]:
     return [f for f in (features or FEATURES) if any(t in f.lower() for t in TARGET_TOKENS)]
 
 
+def copies_of_target(df: DataFrame, features: list[str], target: str = TARGET) -> DataFrame:
+    """Number of features that equal the target wherever both are present, one number."""
+    t = F.col(f"`{target}`")
+    held = [f for f in features if f in df.columns and f != target]
+    if not held:
+        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("n"))
+    values = [F.col(f"`{f}`").cast("double") for f in held]
+    row = df.agg(*[F.struct(F.count(F.when(v.isNotNull() & t.isNotNull(), 1)).alias("n"),
+                            F.count(F.when(v == t, 1)).alias("same")).alias(f"c{i}") for i, v in enumerate(values)])
+    copied = [F.when((F.col(f"c{i}.n") > 0) & (F.col(f"c{i}.n") == F.col(f"c{i}.same")), 1).otherwise(0) for i in range(len(held))]
+    return row.select(sum(copied, F.lit(0)).cast("bigint").alias("n"))
+
+
 def leakage_suite(df: DataFrame, scope: str = "global", features: list[str] | None = None,
-                  origin_scope: str | None = None) -> DataFrame:
-    """(check, violations, status) of all checks."""
+                  origin_scope: str | None = None, splits: DataFrame | None = None,
+                  group: str = "station_id") -> DataFrame:
+    """(check, violations, status) of all checks.
+
+    ``splits`` (fold, group, split) lets the group check run; without it that
+    check counts nothing and is N/A. A row without a date cannot be shown to
+    come before what it predicts, so it is a violation.
+    """
     leaked = len(leaked_features(features))
     marks = synthetic_marker_scan(df, ["station_id", "country", "city"]).agg(
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"))
+    overlap = F.lit(None).cast("bigint") if splits is None else split_overlap(splits, group).agg(
+        F.count(F.lit(1)).alias("n")).scalar()
     row = df.agg(F.count(F.when(F.col("date").isNull(), 1)).alias("bad_dates")).withColumns({
         "dups": duplicate_keys(df, ["station_id", "date"]).scalar(),
-        "marks": marks.scalar(),
+        "marks": marks.scalar(), "overlap": overlap,
+        "copies": copies_of_target(df, features or FEATURES).scalar(),
         "inside": scope_contamination(df, scope, origin_scope=origin_scope).scalar()})
 
     def check(name, violations, status):
@@ -65,9 +88,10 @@ def leakage_suite(df: DataFrame, scope: str = "global", features: list[str] | No
     items = F.array(
         check("target_leakage", F.lit(leaked), F.lit("FAIL" if leaked else "PASS")),
         check("duplicate_station_date", F.col("dups"), fails(F.col("dups"))),
-        check("future_information", F.col("bad_dates"), F.lit("PASS")),
-        check("same_group_in_train_and_test", F.lit(0), F.lit("N/A")),
-        check("features_from_target", F.lit(0), F.lit("PASS")),
+        check("future_information", F.col("bad_dates"), fails(F.col("bad_dates"))),
+        check("same_group_in_train_and_test", F.col("overlap"),
+              F.when(F.col("overlap").isNull(), "N/A").otherwise(fails(F.col("overlap")))),
+        check("features_from_target", F.col("copies"), fails(F.col("copies"))),
         check("synthetic_contamination", F.col("marks"),
               F.when(F.col("marks") > 0, "PRESENT").otherwise("NONE")),
         check("scope_contamination", F.col("inside"),

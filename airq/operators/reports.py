@@ -270,21 +270,25 @@ def violation_report(checks: dict[str, Column], df: DataFrame) -> DataFrame:
         "passed", F.col("violations") == 0)
 
 
-def alignment_checks(features: DataFrame, children: DataFrame, stations: DataFrame) -> DataFrame:
-    """Uniqueness, parents and no look-ahead, as violation counts."""
+def alignment_checks(features: DataFrame, children: DataFrame, stations: DataFrame, parents: DataFrame) -> DataFrame:
+    """Uniqueness, parents and no look-ahead, as violation counts.
+
+    ``parents`` (row, col) are the cells that exist; a child whose parent is not among them is a violation.
+    """
     keys = duplicate_keys(features, ["grid_id", "date"]).select(
         F.lit("no_duplicate_grid_date").alias("check"), F.col("duplicates").alias("violations"))
     station = duplicate_keys(stations, ["station_id", "date"]).select(
         F.lit("no_duplicate_station_date").alias("check"), F.col("duplicates").alias("violations"))
-    parents = violation_report({"all_target_cells_have_parent": F.col("parent_row").isNotNull()
-                                & F.col("parent_col").isNotNull()}, children)
+    there = parents.select(F.col("row").alias("parent_row"), F.col("col").alias("parent_col"))
+    orphans = children.join(there, ["parent_row", "parent_col"], "left_anti").agg(
+        F.lit("all_target_cells_have_parent").alias("check"), F.count(F.lit(1)).alias("violations"))
     future = violation_report({
         "no_future_ndvi": F.coalesce(F.col("ndvi_offset_days") >= 0, F.lit(True)),
         "no_future_viirs": F.coalesce(F.col("viirs_offset_days") >= 0, F.lit(True)),
         "missing_is_null_not_nodata": F.coalesce(F.col("value") != -9999.0, F.lit(True)),
     }, features)
-    return (keys.unionByName(station).withColumn("passed", F.col("violations") == 0)
-            .unionByName(parents).unionByName(future))
+    return (keys.unionByName(station).unionByName(orphans).withColumn("passed", F.col("violations") == 0)
+            .unionByName(future))
 
 
 def inference_report(predictions: DataFrame, value: str = "predicted_PM25") -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airq.operators import features as FT, leakage as L, nearest as N, readiness as RE
+from airq.operators import features as FT, folds as FO, leakage as L, nearest as N, readiness as RE
 from airq.operators import reports as RP, uncertainty as U
-from airq.operators.grid import assign_cell, make_grid
+from airq.operators.grid import assign_cell, assign_parent, make_grid
 from airq.plans.registry import day, query, r6, rounded
 from airq.plans.sql_parts import part
 from airq.schemas import FEATURES, GRIDDED_FEATURES, TARGET
@@ -296,38 +296,63 @@ def alignment_coverage(spark, sf_dir):
 
 
 @query("alignment_checks", parts=["daily", "cell_days", "pixels"], sql="""
-SELECT 'no_duplicate_grid_date' AS "check", 0::BIGINT AS violations, TRUE AS passed
-UNION ALL SELECT 'no_duplicate_station_date', CAST(coalesce(sum(n - 1), 0) AS BIGINT), coalesce(sum(n - 1), 0) = 0 FROM (SELECT count(*) AS n FROM daily GROUP BY station_id, date) x
-UNION ALL SELECT 'all_target_cells_have_parent', 0, TRUE
-UNION ALL SELECT 'no_future_ndvi', 0, TRUE
-UNION ALL SELECT 'no_future_viirs', count(*) FILTER (dayofmonth(date) % 3 = 0), count(*) FILTER (dayofmonth(date) % 3 = 0) = 0 FROM cell_days
-UNION ALL SELECT 'missing_is_null_not_nodata', 0, TRUE
+WITH f AS (SELECT *, dayofmonth(date) AS d FROM cell_days UNION ALL SELECT *, dayofmonth(date) FROM cell_days WHERE dayofmonth(date) = 9),
+c AS (
+  SELECT 'no_duplicate_grid_date' AS "check", CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM f GROUP BY cell_row, cell_col, date) x
+  UNION ALL SELECT 'no_duplicate_station_date', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM daily GROUP BY station_id, date) x
+  UNION ALL SELECT 'all_target_cells_have_parent', count(*) FILTER ((row // 2 + col // 2) % 37 = 0) FROM pixels
+  UNION ALL SELECT 'no_future_ndvi', count(*) FILTER (d % 16 = 0) FROM f
+  UNION ALL SELECT 'no_future_viirs', count(*) FILTER (d % 3 = 0) FROM f
+  UNION ALL SELECT 'missing_is_null_not_nodata', count(*) FILTER (d = 4) FROM f)
+SELECT "check", violations, violations = 0 AS passed FROM c
 """)
 def alignment_checks(spark, sf_dir):
-    """Look-ahead is planted in one source, so that check must fail."""
+    """Repeated cells, missing parents, look-ahead and nodata are planted; station days are clean."""
     d = F.dayofmonth("date")
-    feats = domain.cell_days(spark, sf_dir).select(
+    days = domain.cell_days(spark, sf_dir)
+    feats = days.unionByName(days.where(d == 9)).select(
         F.concat_ws("_", "cell_row", "cell_col").alias("grid_id"), "date",
-        (d % 16).alias("ndvi_offset_days"), F.when(d % 3 == 0, -1).otherwise(1).alias("viirs_offset_days"),
-        F.col("NDVI").alias("value"))
-    children = domain.pixels(spark, sf_dir)
-    from airq.operators.grid import assign_parent
-    return RP.alignment_checks(feats, assign_parent(children, 2), domain.daily(spark, sf_dir))
+        F.when(d % 16 == 0, -1).otherwise(d).alias("ndvi_offset_days"), F.when(d % 3 == 0, -1).otherwise(1).alias("viirs_offset_days"),
+        F.when(d == 4, -9999.0).otherwise(F.col("NDVI")).alias("value"))
+    children = assign_parent(domain.pixels(spark, sf_dir), 2)
+    parents = children.select(F.col("parent_row").alias("row"), F.col("parent_col").alias("col")).distinct().where(
+        (F.col("row") + F.col("col")) % 37 != 0)
+    return RP.alignment_checks(feats, children, domain.daily(spark, sf_dir), parents)
 
 
 # ----------------------------------------------------------------- leakage, gate
 
-@query("leakage_suite", parts=["training"], sql="""
-SELECT 'target_leakage' AS "check", 0::BIGINT AS violations, 'PASS' AS status
-UNION ALL SELECT 'duplicate_station_date', 0, 'PASS'
-UNION ALL SELECT 'future_information', count(*) FILTER (date IS NULL), 'PASS' FROM training
-UNION ALL SELECT 'same_group_in_train_and_test', 0, 'N/A'
-UNION ALL SELECT 'features_from_target', 0, 'PASS'
-UNION ALL SELECT 'synthetic_contamination', 0, 'NONE'
-UNION ALL SELECT 'scope_contamination', count(*) FILTER (longitude BETWEEN 77.0 AND 77.4 AND latitude BETWEEN 28.4 AND 28.8), 'FAIL' FROM training
+_LEAKY = [*FEATURES, "pm25_lag", "shadow"]
+
+
+@query("leakage_suite", parts=["training"], sql=f"""
+WITH p AS (
+  SELECT station_id, CASE WHEN dayofmonth(date) <> 13 THEN date END AS date, longitude, latitude, dayofmonth(date) AS d,
+    CASE WHEN dayofmonth(date) = 5 THEN 'Sample_' || country ELSE country END AS country
+  FROM (SELECT * FROM training UNION ALL SELECT * FROM training WHERE dayofmonth(date) = 7) t),
+c AS (
+  SELECT 'target_leakage' AS "check", count(*) FILTER (regexp_matches(lower(f), 'pm25|target|aqi|concentration')) AS violations
+    FROM (SELECT unnest({_LEAKY!r}) AS f) x
+  UNION ALL SELECT 'duplicate_station_date', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM p GROUP BY station_id, date) x
+  UNION ALL SELECT 'future_information', count(*) FILTER (date IS NULL) FROM p
+  UNION ALL SELECT 'same_group_in_train_and_test', count(*) FROM (
+    SELECT station_id, g.range FROM p, range(3) g GROUP BY 1, 2 HAVING bool_or(d % 3 = g.range) AND bool_or(d % 3 <> g.range)) x
+  UNION ALL SELECT 'features_from_target', 2::BIGINT FROM (SELECT count("PM2.5") AS n FROM training) x WHERE n > 0
+  UNION ALL SELECT 'synthetic_contamination', count(*) FILTER (country LIKE 'Sample_%') FROM p
+  UNION ALL SELECT 'scope_contamination', count(*) FILTER (longitude BETWEEN 77.0 AND 77.4 AND latitude BETWEEN 28.4 AND 28.8) FROM p)
+SELECT "check", violations, CASE WHEN "check" = 'synthetic_contamination' THEN CASE WHEN violations > 0 THEN 'PRESENT' ELSE 'NONE' END
+  WHEN violations > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM c
 """)
 def leakage_suite(spark, sf_dir):
-    return L.leakage_suite(domain.written_training(spark, sf_dir))
+    """A table in which every kind of leak is planted; the clean one is in the tests."""
+    t = domain.written_training(spark, sf_dir)
+    d = F.dayofmonth("date")
+    target = F.col(f"`{TARGET}`")
+    bad = t.unionByName(t.where(d == 7)).withColumns({"pm25_lag": target, "shadow": target, "_d": d}).withColumns({
+        "country": F.when(F.col("_d") == 5, F.concat(F.lit("Sample_"), "country")).otherwise(F.col("country")),
+        "date": F.when(F.col("_d") != 13, F.col("date"))})
+    splits = FO.split_rows(bad.select("station_id", (F.col("_d") % 3).alias("fold")), 3)
+    return L.leakage_suite(bad, features=_LEAKY, splits=splits)
 
 
 @query("scope_contamination", parts=["obs"], sql="""
