@@ -59,6 +59,12 @@ def one_per_id(docs: DataFrame, key: str = "doc_id", value: str = "text") -> Dat
     return rows.join(again, same, "left_anti").unionByName(merged)
 
 
+def least_hashed(rows: DataFrame, most: int, hashed: str = "h") -> DataFrame:
+    """About the ``most`` rows with the smallest hashes; only hashes reach the driver to find the last one."""
+    last = rows.select(hashed).orderBy(hashed).limit(most).agg(F.max(hashed)).first()[0]
+    return rows.where(F.col(hashed) <= F.lit(last)) if last is not None else rows.limit(0)
+
+
 # -- Arrow batches -----------------------------------------------------------------------------------------------------
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airq.llm.common import keyed, slices, unkeyed
+from airq.llm.common import keyed, least_hashed, slices, store, unkeyed
 from airq.llm.toxicity import held_out
 
 #: Hashed features, and graded documents (and the bytes of one) that are used at most.
@@ -120,8 +120,9 @@ def grade_quality(docs: DataFrame, ratings: DataFrame, top: int, level: int = 1,
     """
     docs = keyed(docs)
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, top)).groupBy("doc_id").agg(F.max("grade").alias("grade")).where(~held_out())
-    rows = docs.where(F.octet_length("text") <= LONGEST).join(rated, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "grade")
-    sample = rows.orderBy("h", "doc_id").limit(SAMPLE).collect()
+    rated, _ = store(rated.withColumn("h", F.xxhash64("doc_id")), "ratings")
+    ids, _ = store(least_hashed(rated, SAMPLE), "sample")
+    sample = docs.join(ids, "doc_id").where(F.octet_length("text") <= LONGEST).orderBy("h", "doc_id").select("text", "grade").collect()
     model = fit([r.text for r in sample], [int(r.grade) for r in sample], top)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

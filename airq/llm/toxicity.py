@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airq.llm.common import keyed, slices, unkeyed
+from airq.llm.common import keyed, least_hashed, slices, store, unkeyed
 
 #: Labelled documents used at most, toxic and ordinary ones, and the bytes of the longest one.
 TOXIC, ORDINARY, LONGEST = 2_400, 5_000, 16_384
@@ -134,10 +134,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of labelled rows that are not held out, those whose ids have the least hashes."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    rows = docs.where(F.octet_length("text") <= LONGEST).join(marked, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", "text")
-    taken = {label: [r.text for r in rows.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(most).collect()]
-             for label, most in ((1, TOXIC), (0, ORDINARY))}
-    return fit(taken[1], taken[0])
+    marked, _ = store(marked.withColumn("h", F.xxhash64("doc_id")), "labels")
+    chosen = [least_hashed(marked.where(F.col("toxic") == label), most) for label, most in ((1, TOXIC), (0, ORDINARY))]
+    ids, _ = store(chosen[0].unionByName(chosen[1]), "sample")
+    rows = docs.join(ids, "doc_id").where(F.octet_length("text") <= LONGEST).orderBy("h", "doc_id").select("toxic", "text").collect()
+    return fit([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -13,7 +13,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from airq.llm.common import NO_ID, keyed, store, unkeyed
+from airq.llm.common import NO_ID, keyed, least_hashed, store, unkeyed
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -32,7 +32,8 @@ RECORD = "page_id long, record_type string, uri string, refers_to long, payload_
 def train_dictionary(pages: DataFrame, sample: int = SAMPLE_PAGES) -> bytes:
     """A Zstandard dictionary from the payloads whose hashes are least; empty where there is too little to learn from."""
     rows = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select(F.xxhash64("html").alias("h"), F.col("html").alias("t"))
-    samples = [r.t.encode() for r in rows.orderBy("h", "t").limit(sample).collect()]
+    # Equal payloads have equal hashes and count once.
+    samples = [r.t.encode() for r in least_hashed(rows, sample).dropDuplicates(["h"]).orderBy("h").collect()]
     if sum(map(len, samples)) < 20 * DICTIONARY_BYTES or len(samples) < 20:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
