@@ -34,19 +34,57 @@ SCOPES = {
     "global": (-180.0, -90.0, 180.0, 90.0),
 }
 
-# Countries per world region.
-COUNTRIES_OF_REGION = {
-    "South Asia": ["India", "Pakistan", "Bangladesh", "Nepal", "Sri Lanka", "Afghanistan"],
-    "East Asia": ["China", "Japan", "South Korea", "Mongolia", "Taiwan", "Hong Kong"],
-    "Southeast Asia": ["Vietnam", "Thailand", "Indonesia", "Malaysia", "Philippines",
-                       "Singapore", "Myanmar", "Cambodia", "Laos"],
-    "North America": ["United States", "United States of America", "Canada", "Mexico"],
-    "South America": ["Brazil", "Argentina", "Colombia", "Chile", "Peru"],
-    "Europe": ["Germany", "France", "United Kingdom", "UK", "Italy", "Spain",
-               "Netherlands", "Poland", "Turkey", "Russia"],
-    "Middle East & North Africa": ["Egypt", "Saudi Arabia", "United Arab Emirates"],
-    "Sub-Saharan Africa": ["South Africa", "Nigeria", "Kenya", "Ghana"],
-    "Oceania": ["Australia", "New Zealand"],
+# World region of a country.
+REGION_OF_COUNTRY = {
+    "India": "South Asia",
+    "Pakistan": "South Asia",
+    "Bangladesh": "South Asia",
+    "Nepal": "South Asia",
+    "Sri Lanka": "South Asia",
+    "Afghanistan": "South Asia",
+    "China": "East Asia",
+    "Japan": "East Asia",
+    "South Korea": "East Asia",
+    "Mongolia": "East Asia",
+    "Taiwan": "East Asia",
+    "Hong Kong": "East Asia",
+    "Vietnam": "Southeast Asia",
+    "Thailand": "Southeast Asia",
+    "Indonesia": "Southeast Asia",
+    "Malaysia": "Southeast Asia",
+    "Philippines": "Southeast Asia",
+    "Singapore": "Southeast Asia",
+    "Myanmar": "Southeast Asia",
+    "Cambodia": "Southeast Asia",
+    "Laos": "Southeast Asia",
+    "United States": "North America",
+    "United States of America": "North America",
+    "Canada": "North America",
+    "Mexico": "North America",
+    "Brazil": "South America",
+    "Argentina": "South America",
+    "Colombia": "South America",
+    "Chile": "South America",
+    "Peru": "South America",
+    "Germany": "Europe",
+    "France": "Europe",
+    "United Kingdom": "Europe",
+    "UK": "Europe",
+    "Italy": "Europe",
+    "Spain": "Europe",
+    "Netherlands": "Europe",
+    "Poland": "Europe",
+    "Turkey": "Europe",
+    "Russia": "Europe",
+    "Egypt": "Middle East & North Africa",
+    "Saudi Arabia": "Middle East & North Africa",
+    "United Arab Emirates": "Middle East & North Africa",
+    "South Africa": "Sub-Saharan Africa",
+    "Nigeria": "Sub-Saharan Africa",
+    "Kenya": "Sub-Saharan Africa",
+    "Ghana": "Sub-Saharan Africa",
+    "Australia": "Oceania",
+    "New Zealand": "Oceania",
 }
 
 
@@ -163,8 +201,7 @@ def srtm_tile_corner(name: Column) -> tuple[Column, Column]:
 
 
 def region_of_country(country: Column) -> Column:
-    pairs = [F.lit(x) for region, names in COUNTRIES_OF_REGION.items()
-             for name in names for x in (name, region)]
+    pairs = [F.lit(x) for pair in REGION_OF_COUNTRY.items() for x in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), country), F.lit("Unclassified"))
 
 

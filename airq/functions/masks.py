@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from airq.functions.units import null_if_nodata
+
 # Scale factors, fill markers and valid ranges of the products.
 AOD_SCALE, AOD_MAX = 0.001, 3.0
 NDVI_SCALE, NDVI_FILL, NDVI_RAW_RANGE, NDVI_RANGE = 0.0001, -3000, (-2000, 10000), (-0.2, 1.0)
@@ -40,7 +42,7 @@ def mask_viirs(raw: Column, quality: Column, scale: float = 1.0) -> Column:
 
 
 def mask_dem(raw: Column) -> Column:
-    return F.when(raw != DEM_NODATA, raw.cast("double"))
+    return null_if_nodata(raw.cast("double"), DEM_NODATA)
 
 
 def dem_suspicious(elevation: Column) -> Column:

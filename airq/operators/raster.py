@@ -13,11 +13,12 @@ from airq.session import materialize
 def place_pixels(pixels: DataFrame, meta: DataFrame) -> DataFrame:
     """Pixel-centre coordinates from the layer's origin and spacing.
 
-    ``meta`` has one row per layer; its nodata marker becomes NULL.
+    ``meta`` has one row per layer; its nodata marker becomes NULL. Pixels of a
+    layer without a row keep their value and have no coordinates.
     """
     half = F.lit(0.5)
     value = F.col("value")
-    return pixels.join(meta, "layer").withColumns({
+    return pixels.join(meta, "layer", "left").withColumns({
         "x": F.col("x0") + (F.col("col") + half) * F.col("dx"),
         "y": F.col("y0") + (F.col("row") + half) * F.col("dy"),
         "value": F.when(~F.isnan(value) & ~value.eqNullSafe(F.col("nodata")), value),

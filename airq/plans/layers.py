@@ -187,16 +187,16 @@ def tiles_with_customers(spark, sf_dir):
 # ------------------------------------------------------------------ time joins
 
 _COMPOSITES = """
-comp AS (SELECT DISTINCT DATE '2000-02-18' + CAST(floor((CAST(o_orderdate AS DATE) - DATE '2000-02-18') / 16.0::DOUBLE) * 16 AS INT) AS c
-  FROM orders WHERE month(o_orderdate) <> 7),
+comp AS (SELECT DISTINCT CASE WHEN month(o_orderdate) <> 7 THEN
+    DATE '2000-02-18' + CAST(floor((CAST(o_orderdate AS DATE) - DATE '2000-02-18') / 16.0::DOUBLE) * 16 AS INT) END AS c FROM orders),
 ships AS (SELECT CAST(l_shipdate AS DATE) AS d, count(*) AS n FROM lineitem GROUP BY 1)
 """
 
 
 def _composites(spark, sf_dir):
-    """Distinct 16-day starts of order dates; July has none, which leaves a gap."""
-    o = domain.table(spark, sf_dir, "orders").where(F.month("o_orderdate") != 7)
-    return o.select(asof.composite_start(F.to_date("o_orderdate")).alias("composite")).distinct()
+    """Distinct 16-day starts of order dates; those of July are unknown, which leaves a gap."""
+    start = F.when(F.month("o_orderdate") != 7, asof.composite_start(F.to_date("o_orderdate")))
+    return domain.table(spark, sf_dir, "orders").select(start.alias("composite")).distinct()
 
 
 def _ships(spark, sf_dir):
@@ -271,10 +271,9 @@ def asof_by_region(spark, sf_dir):
     """Keyed as-of join: shipments against the latest first-of-month order of the region."""
     t = lambda name: domain.table(spark, sf_dir, name)
     nat = t("nation").select("n_nationkey", F.col("n_regionkey").cast("bigint").alias("region"))
-    comp = (t("orders").where(F.dayofmonth("o_orderdate") == 1)
-            .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    comp = (t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(nat, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select("region", F.to_date("o_orderdate").alias("composite")))
+            .select("region", F.when(F.dayofmonth("o_orderdate") == 1, F.to_date("o_orderdate")).alias("composite")))
     targets = (t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
                .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
                .select("region", F.to_date("l_shipdate").alias("date")))
@@ -416,12 +415,14 @@ def clip_and_rasterize(spark, sf_dir):
 
 
 @query("placed_pixels", parts=["pixels"], sql="""
-SELECT row, col, ROUND(500000.0::DOUBLE + (col + 0.5::DOUBLE) * 250.0::DOUBLE, 3) AS x,
-  ROUND(3000000.0::DOUBLE + (row + 0.5::DOUBLE) * -250.0::DOUBLE, 3) AS y, CASE WHEN value <> 7 THEN value END AS value FROM pixels
+SELECT row, col, CASE WHEN col < 60 THEN ROUND(500000.0::DOUBLE + (col + 0.5::DOUBLE) * 250.0::DOUBLE, 3) END AS x,
+  CASE WHEN col < 60 THEN ROUND(3000000.0::DOUBLE + (row + 0.5::DOUBLE) * -250.0::DOUBLE, 3) END AS y,
+  CASE WHEN col >= 60 OR value <> 7 THEN value END AS value FROM pixels
 """)
 def placed_pixels(spark, sf_dir):
-    """Pixel coordinates from a layer table; its nodata marker turns to NULL."""
-    px = domain.pixels(spark, sf_dir).select(F.lit("ndvi").alias("layer"), "row", "col", "value")
+    """Pixel coordinates from a layer table; nodata turns to NULL, and one layer is not in the table."""
+    layer = F.when(F.col("col") < 60, "ndvi").otherwise("unknown")
+    px = domain.pixels(spark, sf_dir).select(layer.alias("layer"), "row", "col", "value")
     meta = spark.createDataFrame(
         [("ndvi", 500000.0, 3000000.0, 250.0, -250.0, 7.0), ("dem", 0.0, 0.0, 30.0, -30.0, -32768.0)],
         "layer string, x0 double, y0 double, dx double, dy double, nodata double")
@@ -532,17 +533,18 @@ def weather_daily(spark, sf_dir):
 
 @query("kelvin_weather", parts=["weather"], sql="""
 SELECT row, count(*) AS rows, ROUND(avg(temperature_k - 273.15::DOUBLE), 6) AS mean_celsius,
-  ROUND(avg(CASE WHEN degrees(atan2(v_wind, u_wind)) <= -90 THEN -90.0::DOUBLE - degrees(atan2(v_wind, u_wind))
+  ROUND(avg(CASE WHEN NOT (abs(u_wind) > 1 OR abs(v_wind) > 1) THEN NULL WHEN degrees(atan2(v_wind, u_wind)) <= -90 THEN -90.0::DOUBLE - degrees(atan2(v_wind, u_wind))
     ELSE 270.0::DOUBLE - degrees(atan2(v_wind, u_wind)) END), 4) AS mean_direction
-FROM weather WHERE (abs(u_wind) > 1 OR abs(v_wind) > 1) GROUP BY 1
+FROM weather GROUP BY 1
 """)
 def kelvin_weather(spark, sf_dir):
     from airq.functions.met import wind_direction_from
     u, v = F.col("u_wind"), F.col("v_wind")
-    return domain.weather(spark, sf_dir).where((F.abs(u) > 1) | (F.abs(v) > 1)).groupBy("row").agg(
+    windy = (F.abs(u) > 1) | (F.abs(v) > 1)  # in calm air the direction means nothing
+    return domain.weather(spark, sf_dir).groupBy("row").agg(
         F.count(F.lit(1)).alias("rows"),
         r6(F.avg(kelvin_to_celsius(F.col("temperature_k"), F.lit("K")))).alias("mean_celsius"),
-        F.round(F.avg(wind_direction_from(u, v)), 4).alias("mean_direction"))
+        F.round(F.avg(F.when(windy, wind_direction_from(u, v))), 4).alias("mean_direction"))
 
 
 @query("weather_qc", parts=["weather"], sql="""

@@ -164,8 +164,10 @@ def scope_gate(spark, sf_dir):
 
 
 @query("cells_in_boxes", parts=["boxes", "stations"], sql=f"""
-SELECT id, ROUND(longitude, 6) AS longitude, ROUND(latitude, 6) AS latitude, ROUND(peak, 2) AS peak FROM boxes JOIN stations
+SELECT id, ROUND(longitude, 6) AS longitude, ROUND(latitude, 6) AS latitude, ROUND(peak, 2) AS peak, NULL::VARCHAR AS refused FROM boxes JOIN stations
   ON longitude BETWEEN west AND east AND latitude BETWEEN south AND north WHERE west < east AND south < north AND {_INSIDE}
+UNION ALL SELECT id, NULL, NULL, NULL, CASE WHEN west >= east OR south >= north THEN 'west<east and south<north required'
+  ELSE 'no validated model for this area' END FROM boxes WHERE west >= east OR south >= north OR NOT ({_INSIDE})
 """)
 def cells_in_boxes(spark, sf_dir):
     """All boxes asked for against all stations in one bucketed join."""

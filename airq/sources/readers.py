@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from airq.functions.geo import in_bbox
+from airq.functions.units import kelvin_to_celsius, null_if_nan
 from airq.schemas import OBSERVATION_SCHEMA, ROAD_TILE_SCHEMA
 
 # Accepted header names per field, first match wins.
@@ -80,9 +81,9 @@ def coerce_station_types(df: DataFrame, timezone: str = "Asia/Kolkata") -> DataF
     """Typed columns from all-text ones; what cannot be read is NULL."""
     return df.withColumns({
         "timestamp": coerce_timestamp(F.col("timestamp"), timezone),
-        "latitude": F.col("latitude").try_cast("double"),
-        "longitude": F.col("longitude").try_cast("double"),
-        "PM2.5": F.col("`PM2.5`").try_cast("double")})
+        "latitude": null_if_nan(F.col("latitude").try_cast("double")),
+        "longitude": null_if_nan(F.col("longitude").try_cast("double")),
+        "PM2.5": null_if_nan(F.col("`PM2.5`").try_cast("double"))})
 
 
 def read_station_csv(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8",
@@ -108,10 +109,15 @@ def sniff_csv(spark: SparkSession, path: str) -> tuple[str, str]:
 
 
 def normalize_weather(df: DataFrame, time_column_type: str = "timestamp") -> DataFrame:
-    """Weather long table with canonical names; other columns are dropped."""
+    """Weather long table with canonical names and NULL for NaN; other columns are dropped.
+
+    Where a column ``temperature_units`` says how, temperatures become Celsius.
+    """
     named = rename_resolved(df, WEATHER_ALIASES)
-    return named.select(F.col("time").cast(time_column_type), *[
-        F.col(c).cast("double") for c in WEATHER_ALIASES if c != "time"])
+    values = {c: null_if_nan(F.col(c).cast("double")) for c in WEATHER_ALIASES if c != "time"}
+    if "temperature_units" in df.columns:
+        values["temperature"] = kelvin_to_celsius(values["temperature"], F.col("temperature_units"))
+    return named.select(F.col("time").cast(time_column_type), *[v.alias(c) for c, v in values.items()])
 
 
 def ingest_tabular(spark: SparkSession, path: str, bounds: tuple[float, float, float, float],
@@ -121,7 +127,9 @@ def ingest_tabular(spark: SparkSession, path: str, bounds: tuple[float, float, f
     df = reader.format(fmt).load(path)
     if fmt == "csv":
         df = df.withColumns({c: F.col(c).try_cast("double") for c in ("longitude", "latitude")})
-    return df.where(in_bbox(F.col("longitude"), F.col("latitude"), bounds))
+    inside = df.where(in_bbox(F.col("longitude"), F.col("latitude"), bounds))
+    return inside.select(*[null_if_nan(F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`")
+                           for c, t in inside.dtypes])
 
 
 def ingest_vector(spark: SparkSession, path: str,

@@ -16,18 +16,24 @@ LATENESS = "2 days"
 
 
 def clean_stream(obs: DataFrame, lateness: str = LATENESS, max_pm25: float = MAX_PM25) -> DataFrame:
-    """Valid rows with a watermark, one per (station, timestamp) inside it."""
+    """One row per (station, timestamp) inside the watermark, if it is valid.
+
+    As in batch the first copy is judged and stands for the others; a stream
+    takes the copy that arrives first for the first.
+    """
     value = to_ug_m3(F.col("`PM2.5`"), F.col("units"))
     return (obs.where(F.col("timestamp").isNotNull())
             .withWatermark("timestamp", lateness)
+            .dropDuplicatesWithinWatermark(["station_id", "timestamp"])
             .withColumn("pm25_ug_m3", value)
             .where(F.col("latitude").between(-90.0, 90.0) & F.col("longitude").between(-180.0, 180.0)
-                   & F.col("pm25_ug_m3").between(0.0, max_pm25))
-            .dropDuplicatesWithinWatermark(["station_id", "timestamp"]))
+                   & F.col("pm25_ug_m3").between(0.0, max_pm25)))
 
 
 def daily_stream(clean: DataFrame, min_observations: int = 1) -> DataFrame:
-    """Mean and count per station and UTC day; a day is emitted once it is closed."""
+    """Mean and count per station and UTC day; a day is emitted once it is closed.
+
+    The days that the watermark has not passed when the input ends are not emitted."""
     days = clean.groupBy(F.window("timestamp", "1 day").alias("w"), "station_id").agg(
         F.avg("pm25_ug_m3").alias("pm25_daily"), F.count("pm25_ug_m3").alias("observation_count"))
     return days.where(F.col("observation_count") >= min_observations).select(

@@ -10,6 +10,7 @@ def test_stream_drops_bad_and_duplicate_rows(spark, tmp_path):
     rows = [("A", "2025-01-01 01:00:00", 10.0, "ug/m3", 28.0), ("A", "2025-01-01 01:00:00", 99.0, "ug/m3", 28.0),
             ("A", "2025-01-01 02:00:00", 0.02, "mg/m3", 28.0), ("A", "2025-01-01 03:00:00", -4.0, "ug/m3", 28.0),
             ("A", "2025-01-01 04:00:00", 5.0, "ppm", 28.0), ("A", "2025-01-01 05:00:00", 5.0, "ug/m3", 95.0),
+            ("A", "2025-01-01 06:00:00", -1.0, "ug/m3", 28.0), ("A", "2025-01-01 06:00:00", 7.0, "ug/m3", 28.0),
             ("A", "2025-01-09 00:00:00", 1.0, "ug/m3", 28.0)]
     df = spark.createDataFrame(rows, "station_id string, ts string, v double, units string, latitude double")
     df = df.select("station_id", F.lit("s").alias("source"), F.lit("IN").alias("country"), "latitude", F.lit(77.0).alias("longitude"),
