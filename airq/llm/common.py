@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of the tables that are open in a :func:`scratch` scope, in order.
+_STORED: list[str] = []
+
+
 def store(df: DataFrame, name: str, watch: dict[str, Column] | None = None) -> tuple[DataFrame, dict]:
     """Write a table to the shared folder and read it back; also the values of ``watch`` over its rows.
 
@@ -33,6 +38,7 @@ def store(df: DataFrame, name: str, watch: dict[str, Column] | None = None) -> t
     if watch:
         df = df.observe(seen, *[c.alias(k) for k, c in watch.items()])
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path), (dict(seen.get) if watch else {}) | {"path": path}
 
 
@@ -42,6 +48,22 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the tables stored inside on leaving, but for those whose paths are put on the list that this gives.
+
+    What is read after leaving must not depend on the others.
+    """
+    begin, kept = len(_STORED), []
+    try:
+        yield kept
+    finally:
+        for path in _STORED[begin:]:
+            if path not in kept:
+                remove(spark, path)
+        _STORED[begin:] = kept
+
+
 def one_per_id(docs: DataFrame, key: str = "doc_id", value: str = "text") -> DataFrame:
     """(key, value), one row per key: of rows with one key the greatest value stays (a null only where all are null).
 

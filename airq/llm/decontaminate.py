@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from airq.llm.common import keyed, only, store, unkeyed
+from airq.llm.common import keyed, only, scratch, store, unkeyed
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,11 +98,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     ``null``. Further columns are not read.
     """
     docs = keyed(docs)
-    items, _ = store(postings(_items(benchmark), "item_id"), "items")
-    terms, _ = store(items.select("term").distinct(), "terms")
-    index, _ = store(postings(docs, "doc_id").join(terms, "term", "left_semi"), "postings")
-    hits = phrase_matches(index, items, window, slop=slop)
-    of_doc = hits.groupBy("doc_id").agg(F.countDistinct("pos").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    with scratch(docs.sparkSession) as kept:
+        items, _ = store(postings(_items(benchmark), "item_id"), "items")
+        terms, _ = store(items.select("term").distinct(), "terms")
+        index, _ = store(postings(docs, "doc_id").join(terms, "term", "left_semi"), "postings")
+        hits = phrase_matches(index, items, window, slop=slop)
+        of_doc, seen = store(hits.groupBy("doc_id").agg(
+            F.countDistinct("pos").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")), "hits")
+        kept.append(seen["path"])
     rows = docs.select("doc_id", count_words(_parts()).alias("n_words")).join(of_doc, "doc_id", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     found = F.coalesce("items", F.array().cast("array<string>"))

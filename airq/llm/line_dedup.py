@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airq.llm.common import BASE, BYTE_CODES, distinct_sets, keyed, mix, only, slices, store, text_bytes, unkeyed
+from airq.llm.common import BASE, BYTE_CODES, distinct_sets, keyed, mix, only, scratch, slices, store, text_bytes, unkeyed
 from airq.llm.linking import Banding, components_of, signatures
 
 #: Misses a pair of similarity 0.8 with a chance of 0.002.
@@ -95,6 +95,19 @@ def dedup_lines(docs: DataFrame, size: int = 8, percent: int = 80) -> DataFrame:
     trimmed = F.regexp_replace("raw", r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw")).withColumn("line", trimmed) \
         .where("line <> ''").select("doc_id", "at", F.xxhash64("line").alias("id"), "line")
+    with scratch(docs.sparkSession) as kept:
+        gone, seen = store(_repeated(lines, size, percent), "lines-gone")
+        kept.append(seen["path"])
+    rows = docs.join(gone, "doc_id", "left")
+    parts = F.split("text", "\n", -1)
+    left = F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains("gone", i), None).otherwise(x)), lambda x: x.isNotNull())
+    return rows.select(unkeyed(), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+                       F.coalesce(F.size(parts), F.lit(1)).cast("long").alias("n_lines"),
+                       F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def _repeated(lines: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, gone): the numbers of the lines that another one stands for."""
     places, _ = store(lines.mapInArrow(_describe(size), "doc_id long, at int, id long, size long, sig binary"), "lines")
     items = places.where("sig is not null").select("id", "size", "sig")
     found = components_of(items, BANDING, _sets(lines.select("id", "line"), size), percent)
@@ -103,12 +116,5 @@ def dedup_lines(docs: DataFrame, size: int = 8, percent: int = 80) -> DataFrame:
     named = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named, _ = store(named, "line-nodes")
     kept = named.groupBy("component").agg(F.min("first").alias("keep"))
-    gone = places.join(named.select("id", "component"), "id").join(kept, "component") \
-        .where(F.struct("doc_id", "at") != F.col("keep")).groupBy("doc_id").agg(F.collect_list("at").alias("gone"))
-    gone, _ = store(gone, "lines-gone")
-    rows = docs.join(gone, "doc_id", "left")
-    parts = F.split("text", "\n", -1)
-    left = F.filter(F.transform(parts, lambda x, i: F.when(F.array_contains("gone", i), None).otherwise(x)), lambda x: x.isNotNull())
-    return rows.select(unkeyed(), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
-                       F.coalesce(F.size(parts), F.lit(1)).cast("long").alias("n_lines"),
-                       F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return places.join(named.select("id", "component"), "id").join(kept, "component").where(
+        F.struct("doc_id", "at") != F.col("keep")).groupBy("doc_id").agg(F.collect_list("at").alias("gone"))

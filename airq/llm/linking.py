@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from airq.llm.common import binary_rows, mix, reduce_runs, slices, store
+from airq.llm.common import binary_rows, mix, reduce_runs, scratch, slices, store
 from airq.llm.components import components
 
 #: Signature entries compared at a time.
@@ -188,6 +188,13 @@ def components_of(items: DataFrame, banding: Banding, sets: Sets, percent: int =
     ``sets`` reads the full sets of some ids. A pair at the limit is missed by the bands with a chance of
     (1 - similarity^rows)^bands and by the sequential test with one of ``miss``.
     """
+    with scratch(items.sparkSession) as kept:
+        labels, seen = store(_components_of(items, banding, sets, percent, miss), "components")
+        kept.append(seen["path"])
+    return labels
+
+
+def _components_of(items: DataFrame, banding: Banding, sets: Sets, percent: int, miss: float) -> DataFrame:
     least = least_matches(percent / 100, miss, banding.entries)
     one = Window.partitionBy("bucket")
     members = items.select("id", F.explode(banding.buckets()).alias("bucket")).select(

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from airq.llm.common import (distinct_sets, grams, mix, keyed, only, reduce_runs, slices, store, text_bytes, unkeyed,
+from airq.llm.common import (distinct_sets, grams, mix, keyed, only, reduce_runs, scratch, slices, store, text_bytes, unkeyed,
                              words)
 from airq.llm.linking import Banding, components_of, signatures
 
@@ -73,6 +73,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     with it is null. Further columns are not read.
     """
     docs = keyed(docs)
+    with scratch(docs.sparkSession) as kept:
+        result, seen = store(_linked(docs, shingle, percent, miss), "near-duplicates")
+        kept.append(seen["path"])
+    return result
+
+
+def _linked(docs: DataFrame, shingle: int, percent: int, miss: float) -> DataFrame:
     described, _ = store(docs.mapInArrow(_describe(shingle), SHAPE), "sets")
     keys = ["size", "k1", "k2"]
     member = described.where("size > 0").select("doc_id", *keys)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from airq.llm.common import SPACES, grams, keyed, only, slices, store, text_bytes, unkeyed, words
+from airq.llm.common import SPACES, grams, keyed, only, scratch, slices, store, text_bytes, unkeyed, words
 
 #: Words of a seed.
 SEED = 6
@@ -144,8 +144,11 @@ def remove_repeats(docs: DataFrame, span: int = 20, render: Callable[[Column], C
     a null doc_id comes first. Further columns are not read. Edges are told apart by 96 bits of hash.
     """
     docs = keyed(docs)
-    paths, copies = repeated_paths(docs, span)
-    grouped, _ = store(paths.groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges")).alias("paths")), "grouped-paths")
+    with scratch(docs.sparkSession) as kept:
+        paths, copies = repeated_paths(docs, span)
+        grouped, seen = store(paths.groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges")).alias("paths")), "grouped-paths")
+        copies, also = store(copies, "copies")
+        kept += [seen["path"], also["path"]]
     cut = only(docs, grouped.select("doc_id")).join(grouped, "doc_id").select("doc_id", "text", "paths").mapInArrow(
         _remove(span), "doc_id long, n_gone long, left string").select(F.col("doc_id").alias("of"), "n_gone", render(F.col("left")).alias("left"))
     whole = F.filter(F.split(F.coalesce("text", F.lit("")), SPACES), lambda w: w != "")
