@@ -26,8 +26,22 @@ BATCH = 16
 #: Members of one side of a block in the last round.
 BLOCK = 256
 
-#: Gives (id, members) of a stored table of ids: the full set as ascending 64-bit values, as binary.
-Sets = Callable[[DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class Sets:
+    """The full sets of some items.
+
+    ``read`` gives (id, members binary) of a stored table of ids, ``decode`` turns some of these into ascending 64-bit
+    values, none empty. What travels between the two is the smaller of the set and what it is made from.
+    """
+    read: Callable[[DataFrame], DataFrame]
+    decode: Callable[[list[bytes]], list[np.ndarray]]
+
+
+def decoded(members: list[bytes]) -> list[np.ndarray]:
+    """Sets that travel as their values."""
+    return [np.frombuffer(x, np.uint64) for x in members]
 
 
 @dataclass(frozen=True)
@@ -97,16 +111,16 @@ def _pruned(pairs: DataFrame, items: DataFrame, percent: int, least: list[int])
     a = items.select(F.col("id").alias("u"), F.col("size").alias("size_u"), F.col("sig").alias("sig_u"))
     b = items.select(F.col("id").alias("v"), F.col("size").alias("size_v"), F.col("sig").alias("sig_v"))
     near = pairs.join(a, "u").join(b, "v").where(
-        100 * F.least("size_u", "size_v") >= percent * F.greatest("size_u", "size_v"))
+        F.isnull("size_u") | F.isnull("size_v") | (100 * F.least("size_u", "size_v") >= percent * F.greatest("size_u", "size_v")))
     return near.select("u", "v", "sig_u", "sig_v").mapInArrow(task, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, decode: Callable, percent: int) -> DataFrame:
     """Of candidate pairs, those with 100 * intersection >= percent * union."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in slices(batches, "set_u") for part in slices(iter([b]), "set_v")):
-            one, other = (column.to_pylist() for column in (batch.column("set_u"), batch.column("set_v")))
-            keep = [i for i, (x, y) in enumerate(zip(one, other)) if _similar(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], percent)[0]]
+            one, other = (decode(batch.column(c).to_pylist()) for c in ("set_u", "set_v"))
+            keep = [i for i, (x, y) in enumerate(zip(one, other)) if _similar(x, [y], percent)[0]]
             yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
     for side in ("u", "v"):
@@ -123,7 +137,7 @@ def _similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndar
     return 100 * both >= percent * (len(one) + sizes - both)
 
 
-def _blocks(left: DataFrame, right: DataFrame, least: list[int], percent: int) -> DataFrame:
+def _blocks(left: DataFrame, right: DataFrame, decode: Callable, least: list[int], percent: int) -> DataFrame:
     """Confirmed links (u, v, lu, lv) among all pairs left x right of a block whose labels differ.
 
     One link for each left member and label at most; the other pairs of the two would tell nothing new.
@@ -132,7 +146,7 @@ def _blocks(left: DataFrame, right: DataFrame, least: list[int], percent: int) -
         found = []
         other = np.flatnonzero(~block["is_left"])
         for i in np.flatnonzero(block["is_left"]):
-            size, sizes = block["size"][i], block["size"][other]
+            size, sizes = len(block["members"][i]), block["size"][other]
             j = other[(block["label"][other] != block["label"][i]) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))]
             sig = block["sig"]
             j = j[surviving(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], least)]
@@ -145,7 +159,7 @@ def _blocks(left: DataFrame, right: DataFrame, least: list[int], percent: int) -
                 j = j[~np.isin(block["label"][j], block["label"][linked])]
         return found
 
-    names = ["bucket", "lb", "rb", "id", "label", "size", "is_left"]
+    names = ["bucket", "lb", "rb", "id", "label", "is_left"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -153,7 +167,8 @@ def _blocks(left: DataFrame, right: DataFrame, least: list[int], percent: int) -
             if batch is not None:
                 new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names} | {"sig": _matrix(batch.column("sig"))}
                 new["members"] = np.empty(batch.num_rows, object)
-                new["members"][:] = [np.frombuffer(x, np.uint64) for x in batch.column("members").to_pylist()]
+                new["members"][:] = decode(batch.column("members").to_pylist())
+                new["size"] = np.array([len(x) for x in new["members"]], np.int64)
                 held = new if held is None else {n: np.concatenate([held[n], new[n]]) for n in new}
             if held is None:
                 continue
@@ -184,8 +199,8 @@ def _labelled(rows: DataFrame, labels: DataFrame, key: str = "id", name: str = "
 def components_of(items: DataFrame, banding: Banding, sets: Sets, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """(id, component) of the linked items.
 
-    ``items`` is (id bigint, size bigint, sig binary) of different sets that are not empty; equal rows may repeat.
-    ``sets`` reads the full sets of some ids. A pair at the limit is missed by the bands with a chance of
+    ``items`` is (id bigint, size bigint, sig binary) of different sets that are not empty, a null size is not known;
+    equal rows may repeat. A pair at the limit is missed by the bands with a chance of
     (1 - similarity^rows)^bands and by the sequential test with one of ``miss``.
     """
     with scratch(items.sparkSession) as kept:
@@ -208,7 +223,7 @@ def _components_of(items: DataFrame, banding: Banding, sets: Sets, percent: int,
         F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")).distinct()
     pairs, _ = store(_pruned(pairs, items, percent, least), "survivors")
     ids, _ = store(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "ids")
-    links, _ = store(_confirmed(pairs, store(sets(ids), "sets")[0], percent), "confirmed")
+    links, _ = store(_confirmed(pairs, store(sets.read(ids), "sets")[0], sets.decode, percent), "confirmed")
     labels = components(links)
 
     mixed, _ = store(_labelled(members, labels), "labelled")
@@ -221,7 +236,7 @@ def _components_of(items: DataFrame, banding: Banding, sets: Sets, percent: int,
     if not seen["n"]:
         return labels
     ids, _ = store(mixed.select("id").distinct(), "ids")
-    rows = mixed.join(items.join(sets(ids), "id"), "id")
+    rows = mixed.join(items.join(sets.read(ids), "id"), "id")
 
     def block(n: str) -> Column:
         return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -232,7 +247,7 @@ def _components_of(items: DataFrame, banding: Banding, sets: Sets, percent: int,
     rows, _ = store(rows, "blocks")
     left = rows.where("label <> main").withColumn("lb", block("nl")).withColumn("rb", every("nr"))
     right = rows.withColumn("rb", block("nr")).withColumn("lb", every("nl"))
-    more, seen = store(_blocks(left, right, least, percent), "confirmed", {"n": F.count(F.lit(1))})
+    more, seen = store(_blocks(left, right, sets.decode, least, percent), "confirmed", {"n": F.count(F.lit(1))})
     if not seen["n"]:
         return labels
     joined = components(more.select(F.col("lu").alias("u"), F.col("lv").alias("v")))

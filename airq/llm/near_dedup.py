@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from airq.llm.common import (distinct_sets, grams, mix, keyed, only, reduce_runs, scratch, slices, store, text_bytes, unkeyed,
                              words)
-from airq.llm.linking import Banding, components_of, signatures
+from airq.llm.linking import Banding, Sets, components_of, decoded, signatures
 
 SHAPE = "doc_id long, size long, k1 long, k2 long, sig binary"
 #: Misses a pair of similarity 0.8 with a chance of 5e-5.
@@ -58,7 +58,10 @@ def _sets(docs: DataFrame, shingle: int):
             members = [values[a:b].tobytes() for a, b in zip(runs[:-1], runs[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(members, pa.binary())], ["id", "members"])
 
-    return lambda ids: only(docs.withColumnRenamed("doc_id", "id"), ids, "id").mapInArrow(task, "id long, members binary")
+    def read(ids: DataFrame) -> DataFrame:
+        return only(docs.withColumnRenamed("doc_id", "id"), ids, "id").mapInArrow(task, "id long, members binary")
+
+    return Sets(read, decoded)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-4) -> DataFrame:

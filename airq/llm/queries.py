@@ -37,8 +37,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(table(spark, sf_dir, "documents"), render=lambda text: F.sha2(F.coalesce(text, F.lit("")), 256)).select(
+        "doc_id", "n_lines", "n_removed", F.col("text").alias("kept_sha256"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def lines(texts: dict, size: int) -> dict:
     places: dict = {}
     for k in sorted(texts):
         for i, raw in enumerate((texts[k] or "").split("\n")):
-            line = raw.strip("".join(map(chr, range(33))))
+            line = raw.strip(" \t\n\x0b\x0c\r")
             if line:
                 places.setdefault(line, []).append((k, i))
     names = {places[x][0]: x for x in places}
