@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airq.functions.status import ready_for_training
+from airq.functions.status import FRESHNESS_WINDOW_S, ready_for_training
 from airq.operators import source_status as S
 from airq.plans.registry import query, r6, stamp
-from airq.sources import domain, nested, sinks
+from airq.sources import domain, nested
 
+#: When the log is read, some days after the last order of the tables.
+_READ_AT = "2001-08-25 00:00:00"
 BOUNDS = (-150.0, -60.0, 160.0, 75.0)
 
 
@@ -111,10 +113,22 @@ def overall_source_status(spark, sf_dir):
     return S.overall_status(_status(spark, sf_dir))
 
 
-@query("freshness_report")
+@query("freshness_report", sql=f"""
+WITH a AS (
+  SELECT CASE o_orderkey % 3 WHEN 0 THEN 'pm25' WHEN 1 THEN 'weather' ELSE 'osm' END AS source,
+    CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(o_orderkey % 86400 AS INT)) AS modified,
+    CASE WHEN o_orderkey % 3 = 1 THEN 0::BIGINT ELSE o_orderkey * 10 END AS length FROM orders),
+n AS (SELECT source, max(modified) AS modified, max(length) FILTER (modified = m) AS size_bytes
+  FROM (SELECT *, max(modified) OVER (PARTITION BY source) AS m FROM a) x GROUP BY 1),
+t AS (SELECT *, epoch_us(TIMESTAMP '{_READ_AT}' - modified) / 1e6 AS age,
+    CASE source {' '.join(f"WHEN '{k}' THEN {FRESHNESS_WINDOW_S[k]}" for k in ('pm25', 'weather', 'osm'))} END::BIGINT AS window_s FROM n)
+SELECT source, size_bytes > 0 AS present, size_bytes > 0 AND age <= window_s AS fresh, ROUND(age, 1) AS age_s, window_s, size_bytes FROM t
+""")
 def freshness_report(spark, sf_dir):
-    """Age of the table files themselves; file times are not visible to SQL."""
-    files = sinks.artifact_files(spark, sf_dir, "pm25", "*.parquet").withColumn(
-        "source", F.when(F.col("path").contains("events"), "pm25")
-        .when(F.col("path").contains("lineitem"), "weather").otherwise("osm"))
-    return S.freshness_report(files, F.lit("2030-01-01 00:00:00").cast("timestamp"))
+    """Orders as an acquisition log: one source has no data in its newest file."""
+    key = F.col("o_orderkey")
+    log = domain.table(spark, sf_dir, "orders").select(
+        F.when(key % 3 == 0, "pm25").when(key % 3 == 1, "weather").otherwise("osm").alias("source"),
+        F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + key % 86400).alias("modified"),
+        F.when(key % 3 == 1, F.lit(0).cast("bigint")).otherwise(key * 10).alias("length"))
+    return S.freshness_report(log, F.lit(_READ_AT).cast("timestamp"))
