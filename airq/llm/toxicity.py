@@ -86,19 +86,18 @@ def features(gain: np.ndarray) -> np.ndarray:
     return np.array([gain[0], gain[:3].mean(), gain.mean(), *np.log1p(over), *(np.array(over) / len(gain)), np.log(len(gain))])
 
 
-def _own_words(mine: list[set], other: list[set]) -> set[bytes]:
-    """Words of documents of one class that the other hardly has; chance alone would not bring them together."""
-    a, b = (Counter(w for words in docs for w in words) for docs in (mine, other))
-    least = max(3, len(mine) // 200)
-    return {w for w, n in a.items() if n >= least and (n + 0.5) / len(mine) >= CONTRAST * (b[w] + 0.5) / len(other)}
+def _spread(texts: list[str]) -> Counter:
+    """In how many of the texts each word is."""
+    return Counter(w for t in texts for w in set(WORD.findall(t.encode().lower())))
 
 
-def _toxic_dictionary(toxic: list[str], ordinary: list[set]) -> bytes:
-    words = [WORD.findall(t.encode().lower()) for t in toxic]
-    own = _own_words([set(w) for w in words], ordinary)
-    samples = [s for w in words if len(s := b" ".join(x for x in w if x in own)) >= 8]
+def _toxic_dictionary(toxic: list[str], ordinary: Counter, texts: int) -> bytes:
+    """What a dictionary of words learns that toxic texts have and ``texts`` ordinary ones hardly have."""
+    mine, least = _spread(toxic), max(3, len(toxic) // 200)
+    own = {w for w, n in mine.items() if n >= least and (n + 0.5) / len(toxic) >= CONTRAST * (ordinary[w] + 0.5) / texts}
+    kept = (b" ".join(w for w in WORD.findall(t.encode().lower()) if w in own) for t in toxic)
     try:
-        return zstandard.train_dictionary(OWN, samples).as_bytes()
+        return zstandard.train_dictionary(OWN, [s for s in kept if len(s) >= 8]).as_bytes()
     except zstandard.ZstdError:  # too few samples to choose from
         return b" ".join(sorted(own))[:OWN]
 
@@ -112,9 +111,9 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     if min(len(toxic), len(ordinary)) < 8:
         return Model(b"", b"")
     half, rest = ordinary[::2], ordinary[1::2]
-    words = [set(WORD.findall(t.encode().lower())) for t in half]
+    words = _spread(half)
     shared = b"\n".join(t.encode().lower() for t in sorted(half, key=lambda t: (len(t), t)))[:SHARED]
-    packers = _packer(shared), _packer(_toxic_dictionary(toxic[::2], words) + shared)
+    packers = _packer(shared), _packer(_toxic_dictionary(toxic[::2], words, len(half)) + shared)
     x = np.array([features(gains(windows(t), *packers)) for t in [*toxic[1::2], *rest]])
     y = np.array([1.0] * len(toxic[1::2]) + [0.0] * len(rest))
     mean, scale = x.mean(0), x.std(0) + 1e-6
@@ -124,7 +123,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -60, 60)))
         w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
-    return Model(shared, _toxic_dictionary(toxic, words), mean, scale, w)
+    return Model(shared, _toxic_dictionary(toxic, words, len(half)), mean, scale, w)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
