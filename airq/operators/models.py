@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from airq.functions.status import all_present, clip_negative, prediction_status_coarse
 from airq.operators.folds import assign_folds
 from airq.schemas import TARGET
+from airq.session import materialize
 
 # Model parameters of the pipeline's two regressors.
 FOREST = {"numTrees": 200, "maxDepth": 6, "minInstancesPerNode": 2, "seed": 42}
@@ -48,23 +49,23 @@ def grouped_cv(df: DataFrame, features: list[str], group: str,
 
     No group is ever in train and test of one fold, because a fold is a set of
     whole groups. Returns model, fold, the kept columns, observed_PM25,
-    predicted_PM25 and residual.
+    predicted_PM25 and residual. The folded rows and the predictions of each
+    fold are stored tables, so a lost executor costs no fit.
     """
     keep = keep or [group, "date"]
     ready = assign_folds(df.where(all_present([target, *features])), group, strategy, k)
-    ready = with_vector(ready.withColumn("_label", F.col(f"`{target}`")), features).select(
-        *keep, "fold", "_label", "_features").persist()
+    ready = materialize(with_vector(ready.withColumn("_label", F.col(f"`{target}`")), features).select(
+        *keep, "fold", "_label", "_features"), "folded")
     folds = [r["fold"] for r in ready.select("fold").distinct().orderBy("fold").collect()]
     if len(folds) < 2:
-        ready.unpersist()
         raise ValueError("cross-validation needs at least two groups")
     out = None
     for fold in folds:
         train, test = ready.where(F.col("fold") != fold), ready.where(F.col("fold") == fold)
         for name, make in estimators.items():
-            part = make().fit(train.select("_label", "_features")).transform(test).select(
+            part = materialize(make().fit(train.select("_label", "_features")).transform(test).select(
                 F.lit(name).alias("model"), "fold", *keep, F.col("_label").alias("observed_PM25"),
-                F.col("_prediction").alias("predicted_PM25"))
+                F.col("_prediction").alias("predicted_PM25")), "predictions")
             out = part if out is None else out.unionByName(part)
     return out.withColumn("residual", F.col("observed_PM25") - F.col("predicted_PM25"))
 
