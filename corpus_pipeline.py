@@ -31,15 +31,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with one line of each group of similar lines, the first one; repeated doc_ids become one row."""
+    """Documents with one line of each group of similar lines, the first one.
+
+    Rows of a repeated doc_id whose lines go all get the text of the one document they count as.
+    """
     cleaned = dedup_lines(docs).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("of"), F.col("text").alias("cleaned"))
     cleaned, _ = store(cleaned, "cleaned")
-    rows = docs.join(cleaned, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("of"), "left")
-    changed = F.col("of").isNotNull()
-    return rows.select(*[
-        F.when(changed, F.col("cleaned")).otherwise(F.col("text")).alias(c) if c == "text" else
-        F.when(changed, F.char_length("cleaned").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else docs[c]
-        for c in docs.columns])
+    rows = docs.join(cleaned, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == cleaned["of"], "left")
+    changed = cleaned["of"].isNotNull()
+    new = {"text": cleaned["cleaned"], "n_chars": F.char_length(cleaned["cleaned"]).cast("long")}
+    return rows.select(*[F.when(changed, new[c]).otherwise(docs[c]).alias(c) if c in new else docs[c] for c in docs.columns])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,23 @@ def test_stages_match_brute_force(spark, docs, tmp_path):
         docs = out
 
 
+@pytest.mark.parametrize("index", range(4))
+def test_stages_take_odd_tables(spark, index):
+    """Clashing column names, repeated rows, nulls everywhere and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, of string, gone int, cleaned string, count long"
+    line = "a line of some length that stands in two documents"
+    rows = [(1, f"{line}\nx", "en", "s", 52, "o", 1, "c", 2), (2, line, None, None, None, None, None, None, None), (3, "unlike", "en", "s", 6, "o", 1, "c", 2),
+            (3, "unlike", "en", "s", 6, "o", 1, "c", 2), (None, None, None, None, None, None, None, None, None)]
+    name, stage = corpus_pipeline.STAGES[index]
+    got = stage(spark, spark.createDataFrame(rows, schema), SF).collect()
+    want = [tuple(r) for r in rows]
+    if name == "line_dedup":
+        want[1] = (2, "", None, None, 0, None, None, None, None)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    empty = stage(spark, spark.createDataFrame([], schema), SF)
+    assert empty.columns == [c.split()[0] for c in schema.split(", ")] and empty.count() == 0
+
+
 def test_run_is_registered(spark):
     assert entry.queries()["pipeline"](spark, SF).count() > 0
     assert ("pipeline" in entry.oracle_sql()) == (corpus_pipeline.ORACLE_SQL is not None)
