@@ -73,7 +73,7 @@ def test_stages_take_odd_tables(spark, index):
     """Clashing column names, repeated rows, nulls everywhere and no rows at all."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, of string, gone int, cleaned string, count long"
     line = "a line of some length that stands in two documents"
-    rows = [(1, f"{line}\nx", "en", "s", 52, "o", 1, "c", 2), (2, line, None, None, None, None, None, None, None), (3, "unlike", "en", "s", 6, "o", 1, "c", 2),
+    rows = [(1, f"{line}\nx y z w v u t", "en", "s", 64, "o", 1, "c", 2), (2, line, None, None, None, None, None, None, None), (3, "unlike", "en", "s", 6, "o", 1, "c", 2),
             (3, "unlike", "en", "s", 6, "o", 1, "c", 2), (None, None, None, None, None, None, None, None, None)]
     name, stage = corpus_pipeline.STAGES[index]
     got = stage(spark, spark.createDataFrame(rows, schema), SF).collect()
