@@ -164,15 +164,32 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     return span_hashes(data, starts, ends), starts, np.searchsorted(starts, offsets)
 
 
+def rolling(values: np.ndarray, size: int) -> np.ndarray:
+    """The polynomial of each ``size`` consecutive values; longer ones are put together from two of half the length."""
+    n = max(0, len(values) - size + 1)
+    if not n:
+        return np.zeros(0, np.uint64)
+    out, done, block, width = None, 0, values, 1
+    while size:
+        power = np.uint64(pow(BASE, width, 1 << 64))
+        if size & 1:
+            m = len(values) - done - width + 1
+            out = block if out is None else out[:m] * power + block[done:done + m]
+            done += width
+        size >>= 1
+        if size:
+            block = block[:len(block) - width] * power + block[width:]
+            width *= 2
+    return out[:n]
+
+
 def grams(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``size`` consecutive words and which of them lie within one text.
 
     Entry i begins at word i; both arrays are as long as there are such starts in the whole batch.
     """
-    n = max(0, len(hashes) - size + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(size):
-        out = out * np.uint64(BASE) + hashes[j:j + n]
+    out = rolling(hashes, size)
+    n = len(out)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     return mix(out), owner[:n] == owner[size - 1:size - 1 + n]
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airq.llm.common import BASE, BYTE_CODES, distinct_sets, keyed, mix, only, scratch, slices, store, text_bytes, unkeyed
+from airq.llm.common import BASE, BYTE_CODES, distinct_sets, keyed, mix, only, rolling, scratch, slices, store, text_bytes, unkeyed
 from airq.llm.linking import Banding, Sets, components_of, signatures
 
 #: Misses a pair of similarity 0.8 with a chance of 0.002.
@@ -29,16 +29,12 @@ def char_shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~inner[:-4])
     codes = BYTE_CODES[data]
     # A character's code folds its up to four bytes.
-    char, more = codes[starts], np.arange(len(starts))
+    char, more = codes[starts], np.searchsorted(starts, np.flatnonzero(data >= 0xC0))
     for j in (1, 2, 3):
         more = more[inner[starts[more] + j]]
         char[more] = char[more] * np.uint64(BASE) + codes[starts[more] + j]
     first = np.searchsorted(starts, offsets)
-    n = max(0, len(char) - size + 1)
-    value = np.zeros(n, np.uint64)
-    for j in range(size):
-        value *= np.uint64(BASE)
-        value += char[j:j + n]
+    value = rolling(char, size)
     counts = np.diff(first)
     whole = np.maximum(counts - size + 1, 0)
     before = np.cumsum(whole) - whole
@@ -46,9 +42,10 @@ def char_shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     values = mix(value[at])
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        weights = char * (np.arange(len(char), dtype=np.uint64) - np.repeat(first[:-1], counts).astype(np.uint64) + np.uint64(1))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(weights)])
-        values = np.insert(values, before[short], mix(total[first[short + 1]] - total[first[short]], 9))
+        length = counts[short]
+        nth = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        weights = char[np.repeat(first[short], length) + nth] * (nth + 1).astype(np.uint64)
+        values = np.insert(values, before[short], mix(np.add.reduceat(weights, np.cumsum(length) - length), 9))
     return values, np.concatenate([[0], np.cumsum(np.where(counts >= size, whole, counts > 0))])
 
 

@@ -63,8 +63,11 @@ def signatures(values: np.ndarray, runs: np.ndarray, entries: int) -> pa.Array:
     flip = mix(np.arange(entries, dtype=np.uint64), 11).astype(np.uint32)
     narrow = (values >> np.uint64(32)).astype(np.uint32)
     sig = np.empty((len(runs) - 1, entries), np.uint32)
+    held = np.empty_like(narrow)
     for i in range(entries):
-        sig[:, i] = reduce_runs(np.minimum, (narrow ^ flip[i]) * odd[i], runs, 0xFFFFFFFF)
+        np.bitwise_xor(narrow, flip[i], out=held)
+        np.multiply(held, odd[i], out=held)
+        sig[:, i] = reduce_runs(np.minimum, held, runs, 0xFFFFFFFF)
     return binary_rows((mix(sig.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16))
 
 
