@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airq.llm.common import BASE, BYTE_CODES, distinct_sets, keyed, mix, only, rolling, scratch, slices, store, text_bytes, unkeyed
+from airq.llm.common import BASE, BYTE_CODES, keyed, mix, only, rolling, scratch, slices, store, text_bytes, unkeyed
 from airq.llm.linking import Banding, Sets, components_of, signatures
 
 #: Misses a pair of similarity 0.8 with a chance of 0.002.
@@ -69,8 +69,7 @@ def _decoder(size: int) -> Callable[[list[bytes]], list[np.ndarray]]:
     """The sets of lines, which travel as their bytes."""
     def decode(lines: list[bytes]) -> list[np.ndarray]:
         values, runs = char_shingles(pa.array(lines, pa.binary()).cast(pa.string()), size)
-        values, runs = distinct_sets(values, np.repeat(np.arange(len(lines)), np.diff(runs)), len(lines))
-        return [values[a:b] for a, b in zip(runs[:-1], runs[1:])]
+        return [np.unique(values[a:b]) for a, b in zip(runs[:-1], runs[1:])]
     return decode
 
 
