@@ -1,7 +1,8 @@
 """Packing by lexical retrieval: a window is filled with unused documents that are close to its seed by BM25.
 
-Documents are dealt to shards of bounded size by a hash of their id. A shard has its own inverted index, and no shard
-knows of another, so shards are packed at the same time and a lost one is packed again alone.
+Document frequencies and lengths are counted over all documents. Documents are dealt to shards by their words: sketches
+of their BM25 weights go down a tree of principal directions, so a seed and its neighbours mostly share a shard. Each
+shard has its inverted index, so shards are packed at the same time and a lost one is packed again alone.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from airq.llm.common import keyed, unkeyed
+from airq.llm.common import keyed, mix, store, unkeyed
 
 #: Documents of a shard on average.
 SHARD = 2_048
-#: Terms of a seed that are looked up, those of most weight.
-QUERY_TERMS = 24
+#: Numbers of a sketch; one of so many documents gives its sketch to the tree, at most SKETCHES in all.
+SKETCH, ONE_OF, SKETCHES = 256, 64, 1 << 16
+#: A cut of the tree lies so near the middle of its sample, as a share.
+NEAR = 0.1
+#: Share of a shard's documents from which a term's weights are a dense row.
+OFTEN = 1 / 8
 K1, B = 1.2, 0.75
 #: Separates documents within a sequence.
 END = 0
@@ -71,45 +76,176 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+class Corpus:
+    """Weights by the statistics of all documents: how many hold each token id, their number and mean length."""
+
+    def __init__(self, held: np.ndarray, n: int, tokens: int):
+        self.idf = np.log1p((n - held + 0.5) / (held + 0.5))
+        self.mean = max(tokens / max(n, 1), 1)
+
+    def weights(self, terms: np.ndarray, often: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return self.idf[terms] * often * (K1 + 1) / (often + K1 * (1 - B + B * size / self.mean))
+
+
+def corpus_of(texts: list[np.ndarray]) -> Corpus:
+    flat = [np.unique(t) for t in texts]
+    return Corpus(np.bincount(np.concatenate(flat)) if flat else np.zeros(0), len(texts), sum(map(len, texts)))
+
+
+def _texts(frame: pd.DataFrame) -> list[np.ndarray]:
+    """The ids of documents' rests."""
+    return [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<u4") for x, n in zip(frame["rest"], frame["length"])]
+
+
+def corpus_statistics(pieces: DataFrame, n: int, tokens: int) -> Corpus:
+    """Counts of the rests' token ids; as many numbers as the vocabulary has entries reach the driver."""
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(0, np.int64)
+        for frame in frames:
+            found = [np.unique(t) for t in _texts(frame)]
+            more = np.bincount(np.concatenate(found)) if found else held[:0]
+            held, more = (held, more) if len(held) >= len(more) else (more, held)
+            held[:len(more)] += more
+        terms = np.flatnonzero(held)
+        yield pd.DataFrame({"term": terms, "held": held[terms]})
+
+    rows = pieces.where("rest is not null").select("length", "rest").mapInPandas(task, "term long, held long")
+    rows = rows.groupBy("term").agg(F.sum("held").alias("held")).toPandas()
+    held = np.zeros(int(rows["term"].max()) + 1 if len(rows) else 0)
+    held[rows["term"].to_numpy(np.int64)] = rows["held"]
+    return Corpus(held, n, tokens)
+
+
+def sketches(texts: list[np.ndarray], ids: np.ndarray, corpus: Corpus, signs: np.ndarray) -> np.ndarray:
+    """Unit vectors of random sums of the weights, and a last number by the id that parts equal ones."""
+    out = np.zeros((len(texts), SKETCH + 1), np.float32)
+    for i, text in enumerate(texts):
+        terms, often = np.unique(text, return_counts=True)
+        out[i, :-1] = corpus.weights(terms, often, len(text)).astype(np.float32) @ signs[terms]
+    out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9)
+    out[:, -1] = mix(ids.astype(np.int64).view(np.uint64), 0xDEA1) / np.float64(1 << 64)
+    return out
+
+
+def _signs(terms: int) -> np.ndarray:
+    return (np.random.default_rng(5).integers(0, 2, (terms, SKETCH), np.int8) * 2 - 1).astype(np.float32)
+
+
+def tree(sample: np.ndarray, leaves: int) -> list[tuple]:
+    """Nodes (direction, cut, leaves on the left, left child, right child), cut along principal directions.
+
+    The cut is the widest gap near the middle; leaves are shared out by what lies on both sides.
+    """
+    nodes: list[tuple] = []
+
+    def grow(rows: np.ndarray, leaves: int) -> int | None:
+        if leaves == 1:
+            return None
+        at, left = len(nodes), leaves // 2
+        nodes.append(())
+        direction = np.zeros(SKETCH + 1, np.float32)
+        if len(rows) > 1:
+            centred = rows[:, :-1] - rows[:, :-1].mean(axis=0)
+            direction[:-1] = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        direction[-1] = 1e-3
+        along = rows @ direction
+        cut = np.quantile(along, left / leaves) if len(rows) else 0.0
+        line = np.sort(along)[int(len(rows) * (0.5 - NEAR)):int(len(rows) * (0.5 + NEAR)) + 1]
+        if leaves % 2 == 0 and len(line) > 2:
+            widest = np.argmax(np.diff(line))
+            cut = (line[widest] + line[widest + 1]) / 2
+            left = min(max(round(leaves * float((along < cut).mean())), 1), leaves - 1)
+        low = along < cut
+        nodes[at] = (direction, cut, left, grow(rows[low], left), grow(rows[~low], leaves - left))
+        return at
+
+    grow(sample, leaves)
+    return nodes
+
+
+def leaf_of(nodes: list[tuple], rows: np.ndarray) -> np.ndarray:
+    out, open_ = np.zeros(len(rows), np.int32), [(0 if nodes else None, np.arange(len(rows)), 0)]
+    while open_:
+        at, some, first = open_.pop()
+        if at is None or not len(some):
+            out[some] = first
+            continue
+        direction, cut, left, one, other = nodes[at]
+        low = rows[some] @ direction < cut
+        open_ += [(one, some[low], first), (other, some[~low], first + left)]
+    return out
+
+
+def dealt(pieces: DataFrame, shards: int, corpus: Corpus, n: int) -> DataFrame:
+    """``pieces`` with the shard of each rest; finished windows are dealt by a hash."""
+    by_hash = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    if shards == 1:
+        return pieces.withColumn("shard", by_hash)
+    vocabulary = len(corpus.idf)
+
+    def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signs = _signs(vocabulary)
+        for frame in frames:
+            yield pd.DataFrame({"sketch": [x.tobytes() for x in sketches(_texts(frame), frame["doc_id"].to_numpy(), corpus, signs)]})
+
+    rate = max(1, min(max(ONE_OF, n // SKETCHES), n // (32 * shards)))
+    open_ = pieces.where("rest is not null")
+    chosen = open_.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rate)) == 0).select("doc_id", "length", "rest")
+    sample = chosen.mapInPandas(sketched, "sketch binary").toPandas()["sketch"]
+    sample = np.frombuffer(b"".join(map(bytes, sample)), np.float32).reshape(-1, SKETCH + 1)
+    nodes = tree(sample[np.lexsort(sample.T)], shards)
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signs = _signs(vocabulary)
+        for frame in frames:
+            frame["shard"] = leaf_of(nodes, sketches(_texts(frame), frame["doc_id"].to_numpy(), corpus, signs))
+            yield frame
+
+    return open_.mapInPandas(task, f"{TOKENS}, shard int").unionByName(pieces.where("rest is null").withColumn("shard", by_hash))
+
+
 class Index:
-    """BM25 postings of one shard's documents; used ones are masked."""
+    """BM25 postings of one shard's documents, weighed by the whole corpus; used ones are masked."""
 
-    def __init__(self, texts: list[np.ndarray]):
-        self.terms, self.counts = zip(*[np.unique(t, return_counts=True) for t in texts]) if texts else ((), ())
+    def __init__(self, texts: list[np.ndarray], corpus: Corpus | None = None):
+        corpus, n = corpus or corpus_of(texts), len(texts)
+        self.terms, counts = zip(*[np.unique(t, return_counts=True) for t in texts]) if n else ((), ())
         sizes = np.array([len(t) for t in texts], float)
-        n = len(texts)
         flat = np.concatenate(self.terms) if n else np.empty(0, np.uint32)
         owner = np.repeat(np.arange(n), [len(t) for t in self.terms])
-        often = np.concatenate(self.counts) if n else np.empty(0)
+        weight = corpus.weights(flat, np.concatenate(counts) if n else np.empty(0), sizes[owner])
         order = np.argsort(flat, kind="stable")
-        self.vocabulary, begin, held = np.unique(flat[order], return_index=True, return_counts=True)
-        self.begin, self.end = begin, begin + held
-        idf = np.log1p((n - held + 0.5) / (held + 0.5))
-        weight = often * (K1 + 1) / (often + K1 * (1 - B + B * sizes[owner] / max(sizes.mean() if n else 1, 1)))
-        self.idf, self.owner = idf, owner[order]
-        self.weight = weight[order] * np.repeat(idf, held)
+        self.vocabulary, self.begin, self.held = np.unique(flat[order], return_index=True, return_counts=True)
+        self.owner, self.weight = owner[order], weight[order]
+        often = self.held > max(1, n * OFTEN)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), n), np.float32)
+        row = np.repeat(self.row, self.held)
+        self.dense[row[row >= 0], self.owner[row >= 0]] = self.weight[row >= 0]
         self.unused = np.ones(n, bool)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a term of the seed, best first, equals in order."""
+        """Unused documents that share a term of the seed, best first by all its terms, equals in order."""
         at = np.searchsorted(self.vocabulary, self.terms[seed])
-        best = at[np.argsort(-self.idf[at] * np.minimum(self.counts[seed], 3), kind="stable")[:QUERY_TERMS]]
-        score = np.zeros(len(self.unused))
-        for t in best:
-            if self.end[t] - self.begin[t] > 1:
-                score[self.owner[self.begin[t]:self.end[t]]] += self.weight[self.begin[t]:self.end[t]]
+        rows = self.row[at]
+        score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(float)
+        rare = at[(rows < 0) & (self.held[at] > 1)]
+        if len(rare):
+            held = self.held[rare]
+            where = np.repeat(self.begin[rare] - np.cumsum(held) + held, held) + np.arange(held.sum())
+            score += np.bincount(self.owner[where], self.weight[where], len(score))
         found = np.flatnonzero((score > 0) & self.unused)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def fill(texts: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
+def fill(texts: list[np.ndarray], window: int, corpus: Corpus | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, begin, length).
 
     The first unused document is a seed. Its best unused neighbours follow until the window is full; the last is cut
     there, and what is left of it begins the next sequence and seeds it. Without a neighbour the next unused document
-    follows, so only the last sequence of a shard is short.
+    follows, so only the last sequence of a shard is short. Without ``corpus`` the texts are all there is.
     """
-    index, nxt, rest = Index(texts), 0, None
+    index, nxt, rest = Index(texts, corpus), 0, None
     while True:
         if rest is None:
             while nxt < len(texts) and not index.unused[nxt]:
@@ -152,20 +288,23 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, shard: int = SHARD
 
     Null and empty texts are the one id 0. Repeated doc_ids count as one document (see
     :func:`airq.llm.common.one_per_id`), a null doc_id as one too. An empty table has no pieces. Further columns are
-    not read. A shard holds ``shard`` documents on average, each with less than a window of ids.
+    not read. A shard holds ``shard`` documents on average, each with less than a window of ids; neighbours are sought
+    in the seed's shard.
     """
-    docs = keyed(docs)
-    shards = max(1, -(-docs.count() // shard))
-    pieces = tokenized(docs, tokenizer, window).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    rest = F.col("rest").isNotNull()
+    pieces, seen = store(tokenized(keyed(docs), tokenizer, window), "tokens", {
+        "n": F.count(F.when(rest, 1)), "tokens": F.coalesce(F.sum(F.when(rest, F.col("length"))), F.lit(0))})
+    shards = max(1, -(-seen["n"] // shard))
+    corpus = corpus_statistics(pieces, seen["n"], seen["tokens"])
 
     def task(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start"], kind="stable")
         done, open_ = frame[frame["rest"].isna()], frame[frame["rest"].notna()]
         rows = [(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, i, 0) for i, r in enumerate(done.itertuples())]
         number = len(rows)
-        texts = [np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype("<u4") for x, n in zip(open_["rest"], open_["length"])]
+        texts = _texts(open_)
         of = list(open_[["doc_id", "start", "doc_tokens"]].itertuples(index=False))
-        for sequence in fill(texts, window):
+        for sequence in fill(texts, window, corpus):
             offset = 0
             for i, begin, length in sequence:
                 crc = zlib.crc32(texts[i][begin:begin + length].tobytes())
@@ -176,5 +315,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, shard: int = SHARD
         out["sequence_id"] += int(key[0]) << 32
         return out
 
-    packed = pieces.groupBy("shard").applyInPandas(task, PIECES)
+    packed = dealt(pieces, shards, corpus, seen["n"]).groupBy("shard").applyInPandas(task, PIECES)
     return packed.select(unkeyed(), *_names(PIECES)[1:])

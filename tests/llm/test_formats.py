@@ -142,3 +142,32 @@ def test_fill_takes_neighbours():
     assert out == [[(0, 0, 10), (2, 0, 10)], [(1, 0, 10), (3, 0, 10)]]
     assert list(fill([], 20)) == []
     assert list(fill([a, a, a], 16)) == [[(0, 0, 10), (1, 0, 6)], [(1, 6, 4), (2, 0, 10)]]
+
+
+def test_pack_seeks_neighbours_in_the_whole_corpus(spark):
+    """Forty topics with words of their own, far more documents than a shard holds."""
+    import random
+    draw = random.Random(3)
+    topics = [[f"{draw.choice('bdfgklmnprstvz')}{draw.choice('aeiou')}{draw.randrange(10_000)}" for _ in range(40)] for _ in range(40)]
+    rows = [(i, " ".join(draw.choices(topics[i % 40], k=30))) for i in range(1_600)]
+    pieces = pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, shard=160).orderBy("sequence_id", "offset").collect()
+    assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+    assert len({p.sequence_id >> 32 for p in pieces}) >= 8
+    pairs = [(a.doc_id % 40, b.doc_id % 40) for a, b in zip(pieces, pieces[1:]) if a.sequence_id == b.sequence_id]
+    assert sum(a == b for a, b in pairs) > 0.7 * len(pairs)
+
+
+def test_neighbours_are_those_of_all_terms():
+    """Against plain BM25 over every term of the seed, with frequent and rare terms."""
+    import numpy as np
+    from airq.llm.packing import Index, corpus_of
+    draw = np.random.default_rng(1)
+    texts = [(draw.zipf(1.3, 120) % 900).astype("<u4") for _ in range(80)]
+    corpus = corpus_of(texts)
+    score = np.zeros(80)
+    for i, text in enumerate(texts):
+        terms, often = np.unique(text, return_counts=True)
+        shared = np.isin(terms, texts[7])
+        score[i] = corpus.weights(terms[shared], often[shared], len(text)).sum()
+    got = Index(texts).neighbours(7)
+    assert len(got) == (score > 0).sum() and np.allclose(score[got], np.sort(score[score > 0])[::-1])
