@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from airq.operators.nearest import k_nearest, within_radius
 from airq.operators.ranks import benjamini_hochberg, exact_quantiles, slice_count
@@ -10,6 +12,9 @@ from airq.session import materialize
 
 MIN_CELLS = 30
 PERMUTATIONS = 999
+#: Shifts of an arithmetic permutation; side of the tiles in which permuted neighbours are summed.
+HALF_ROUNDS = 6
+TILE = 32
 
 QUEEN = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 
@@ -107,28 +112,24 @@ def permutation_p(cells: DataFrame, value: str, method: str, permutations: int =
                   seed: int = 42, chunk: int = 111) -> DataFrame:
     """Pseudo p-values from global permutations: (row, col, statistic, p_value).
 
-    A permutation gives the value of one cell to another: per replicate the
-    cells are ordered by a seeded hash inside hash slices, and the cell at
-    position k receives the value of the cell of rank k. Replicates are worked
-    off in chunks, so that intermediate data is bounded by chunk * cells.
+    A permutation gives the value of one cell to another: the cells are numbered
+    and the new number follows from the old one by arithmetic, so no replicate is
+    sorted. Replicates are worked off in chunks whose counts are stored, so that
+    intermediate data is bounded by chunk * cells.
     """
     known = materialize(cells.where(F.col(value).isNotNull()).select(
         "row", "col", F.col(value).alias("x")), "tested-cells")
-    numbered = number_rows(known, ["row", "col"])
-    numbered = numbered.withColumn("_m", numbered.agg(
-        F.struct(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")
-                 ).alias("s")).scalar())
-    numbered = materialize(numbered, "numbered-cells")
     stat = local_moran(known, "x") if method == "lisa" else getis_ord(known, "x")
-    observed = materialize(stat.select(
-        "row", "col", F.col("moran_i" if method == "lisa" else "gi").alias("o")), "observed")
+    observed = stat.select("row", "col", F.col("moran_i" if method == "lisa" else "gi").alias("o"))
+    numbered = materialize(number_rows(known, ["row", "col"]).join(observed, ["row", "col"]), "numbered-cells")
+    m = numbered.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")).first()
     exceed = None
     for start in range(0, permutations, chunk):
         reps = F.sequence(F.lit(start), F.lit(min(start + chunk, permutations) - 1))
-        part = _exceedances(numbered, observed, reps, method, seed)
+        part = materialize(_exceedances(numbered, m, reps, method, seed), "exceedances")
         exceed = part if exceed is None else exceed.unionByName(part)
     counts = exceed.groupBy("row", "col").agg(F.sum("hits").alias("hits"))
-    return observed.join(counts, ["row", "col"], "left").select(
+    return numbered.join(counts, ["row", "col"], "left").select(
         "row", "col", F.col("o").alias("statistic"),
         ((F.coalesce("hits", F.lit(0)) + 1) / F.lit(permutations + 1)).alias("p_value"))
 
@@ -149,34 +150,66 @@ def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
         "pos", F.col("_before") + F.col("_i") - 1).drop("_s", "_i", "_before")
 
 
-def _exceedances(numbered: DataFrame, observed: DataFrame, reps: Column, method: str,
-                 seed: int) -> DataFrame:
-    """Per cell the number of replicates whose statistic is at least as extreme."""
-    each = numbered.withColumn("rep", F.explode(reps))
-    slices = slice_count(numbered)
-    key = F.xxhash64(F.lit(seed), "rep", "pos")
-    each = each.withColumn("_h", key).withColumn("_s", F.pmod(F.shiftrightunsigned("_h", 7), F.lit(slices)))
-    sizes = each.groupBy("rep", "_s").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.select("rep", "_s", (F.sum("_c").over(
-        Window.partitionBy("rep").orderBy("_s")) - F.col("_c")).alias("_before"))
-    inside = Window.partitionBy("rep", "_s").orderBy("_h", "pos")
-    shuffled = each.withColumn("_i", F.row_number().over(inside)).join(
-        before, ["rep", "_s"]).select("rep", (F.col("_before") + F.col("_i") - 1).alias("pos"),
-                                      F.col("x").alias("px"))
-    placed = numbered.drop("x").withColumn("rep", F.explode(reps)).join(shuffled, ["rep", "pos"])
-    placed = placed.select("rep", "row", "col", F.col("_m.n").alias("n"), F.col("_m.mean").alias("mean"),
-                           F.col("_m.sd").alias("sd"), "px")
-    z = (F.col("px") - F.col("mean")) / (F.col("sd") + F.lit(1e-10))
-    placed = placed.withColumn("v", z if method == "lisa" else F.col("px"))
-    summed = neighbour_sums(placed, "v", ["rep"])
+def permuted(df: DataFrame, n: int, seed: int, to: str = "to") -> DataFrame:
+    """Add ``to``, the image of ``pos`` (0..n-1) under the random permutation number ``rep``.
+
+    A Feistel network on pairs (left, right) of a field of a * b >= n numbers, in
+    which left and right are shifted in turn by a hash of the other. What falls
+    on one of the fewer than a numbers past the end is sent on until it does not.
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+
+    def shift(k: int, one: Column, other: Column) -> Column:
+        return F.pmod(one + F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "rep", other), F.lit(a if k % 2 else b)),
+                      F.lit(a if k % 2 else b))
+
+    def again(x: Column) -> Column:
+        left, right = F.floor(x / b), F.pmod(x, F.lit(b))
+        for k in range(HALF_ROUNDS):
+            left, right = (shift(k, left, right), right) if k % 2 else (left, shift(k, right, left))
+        return left * b + right
+
+    df = df.withColumns({"_l": F.floor(F.col("pos") / b), "_r": F.pmod(F.col("pos"), F.lit(b))})
+    for k in range(HALF_ROUNDS):
+        one, other = ("_l", "_r") if k % 2 else ("_r", "_l")
+        df = df.withColumn(one, shift(k, F.col(one), F.col(other)))
+    x = F.col("_l") * b + F.col("_r")
+    on = F.aggregate(F.sequence(F.lit(1), F.lit(64)), x, lambda y, _: F.when(y < n, y).otherwise(again(y)))
+    return df.withColumn(to, F.when(x < n, x).otherwise(on)).drop("_l", "_r")
+
+
+def _exceedances(numbered: DataFrame, moments: Row, reps: Column, method: str, seed: int) -> DataFrame:
+    """Per cell the number of replicates whose statistic is at least as extreme.
+
+    Permuted cells are dealt to tiles with a border of one cell, so that
+    neighbours are summed inside a task.
+    """
+    n, mean, sd = (F.lit(moments[k]) for k in ("n", "mean", "sd"))
+    moved = permuted(numbered.select("pos", "x").withColumn("rep", F.explode(reps)), moments["n"], seed)
+    places = numbered.select(F.col("pos").alias("to"), "row", "col", "o")
+    z = (F.col("x") - mean) / (sd + F.lit(1e-10))
+    placed = moved.join(places, "to").select("rep", "row", "col", "o", (z if method == "lisa" else F.col("x")).alias("v"))
+    tile = lambda c: F.floor(c / TILE)
+    around = lambda c: F.explode(F.array_distinct(F.array(tile(F.col(c) - 1), tile(F.col(c)), tile(F.col(c) + 1))))
+    keys = ["_tr", "_tc", "_b"]
+    placed = placed.withColumn("_b", F.col("rep") % 8).withColumn("_tr", around("row")).withColumn("_tc", around("col"))
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in [(0, 0), *QUEEN]])
+    given = placed.repartition(*keys).withColumn("_f", F.explode(offsets)).select(
+        *keys, "rep", (F.col("row") + F.col("_f.i")).alias("row"), (F.col("col") + F.col("_f.j")).alias("col"),
+        ((F.col("_f.i") == 0) & (F.col("_f.j") == 0)).alias("own"), "o", "v")
+    given = given.where((tile(F.col("row")) == F.col("_tr")) & (tile(F.col("col")) == F.col("_tc")))
+    summed = given.groupBy(*keys, "rep", "row", "col").agg(
+        F.max(F.when(F.col("own"), F.col("v"))).alias("v"), F.max(F.when(F.col("own"), F.col("o"))).alias("o"),
+        F.coalesce(F.sum(F.when(~F.col("own"), F.col("v"))), F.lit(0.0)).alias("nbr_sum"),
+        F.count(F.when(~F.col("own"), 1)).alias("nbr_count")).where(F.col("v").isNotNull())
     w = F.col("nbr_count")
     if method == "lisa":
         stat = F.when(w > 0, F.col("v") * F.col("nbr_sum") / F.greatest(w, F.lit(1))).otherwise(0.0)
     else:
-        spread = F.col("sd") * F.sqrt((F.col("n") * w - w * w) / (F.col("n") - 1) + F.lit(1e-10))
-        stat = (F.col("nbr_sum") - F.col("mean") * w) / spread
-    judged = summed.withColumn("s", stat).join(observed, ["row", "col"])
-    return judged.groupBy("row", "col").agg(
+        spread = sd * F.sqrt((n * w - w * w) / (n - 1) + F.lit(1e-10))
+        stat = (F.col("nbr_sum") - mean * w) / spread
+    return summed.withColumn("s", stat).groupBy("row", "col").agg(
         F.count(F.when(F.abs("s") >= F.abs("o"), 1)).alias("hits"))
 
 

@@ -266,12 +266,12 @@ def significant_blocks(spark, sf_dir):
 @query("permutation_hotspots")
 def permutation_hotspots(spark, sf_dir):
     """Permutation test per class; random draws have no SQL counterpart."""
-    tested = A.hotspot_analysis(_blocks(spark, sf_dir), "v", "lisa", alpha=0.2, permutations=99)
+    tested = A.hotspot_analysis(_blocks(spark, sf_dir), "v", "lisa")
     return rounded(A.hotspot_summary(tested), "mean_statistic", "max_statistic", "min_statistic",
                    "mean_p_value")
 
 
 @query("permutation_getis_ord")
 def permutation_getis_ord(spark, sf_dir):
-    tested = A.hotspot_analysis(_blocks(spark, sf_dir), "v", "getis_ord", alpha=0.2, permutations=99)
+    tested = A.hotspot_analysis(_blocks(spark, sf_dir), "v", "getis_ord")
     return tested.groupBy("cluster_type").agg(F.count(F.lit(1)).alias("cells"))

@@ -230,6 +230,46 @@ def test_permutation_is_a_permutation(spark):
     assert sorted(r.pos for r in numbered.collect()) == list(range(100))
 
 
+def test_arithmetic_permutation(spark):
+    for n in (1, 2, 31, 50):
+        rows = A.permuted(spark.range(n).select(F.col("id").alias("pos")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(299)))), n, 42).collect()
+        by_rep = {}
+        for r in rows:
+            by_rep.setdefault(r.rep, {})[r.pos] = r.to
+        assert all(sorted(p.values()) == list(range(n)) for p in by_rep.values())
+        # Every number is as likely an image as any other, also beside that of its neighbour.
+        if n == 50:
+            assert 10 < np.mean([p[7] < 25 for p in by_rep.values()]) * 50 < 40
+            assert np.mean([abs(p[7] - p[8]) for p in by_rep.values()]) == pytest.approx(17, abs=3)
+
+
+def test_permuted_sums_cross_tiles(spark):
+    """Cells on both sides of tile borders and of zero; p-values of noise spread over 0..1."""
+    v = np.random.default_rng(2).normal(50, 1, (40, 70))
+    v[30:34, 30:34] += 15
+    df = spark.createDataFrame([(r - 5, c - 5, float(v[r, c])) for r in range(40) for c in range(70)], "row bigint, col bigint, v double")
+    for method in ("lisa", "getis_ord"):
+        p = A.permutation_p(df, "v", method, permutations=19).toPandas().set_index(["row", "col"]).p_value
+        assert len(p) == v.size and p.min() == pytest.approx(1 / 20) and p.loc[(26, 26)] == p.min()
+        assert p.mean() == pytest.approx(0.5, abs=0.1)
+
+
+def test_registered_permutation_queries_use_the_full_settings(spark, monkeypatch):
+    from airq.plans import spatial
+    seen, plain = [], A.permutation_p
+
+    def few(cells, value, method, permutations, seed):
+        seen.append(permutations)
+        return plain(cells, value, method, 19, seed)
+
+    cut, full = [], A.benjamini_hochberg
+    monkeypatch.setattr(A, "permutation_p", few)
+    monkeypatch.setattr(A, "benjamini_hochberg", lambda df, p, alpha: cut.append(alpha) or full(df, p, alpha))
+    for query in (spatial.permutation_hotspots, spatial.permutation_getis_ord):
+        query(spark, "/root/testdata/sf0.001").collect()
+    assert seen == [999, 999] and cut == [0.05, 0.05]
+
+
 def test_scattered_neighbours(spark):
     pts = spark.createDataFrame([("a", 0.0, 0.0, 1.0), ("b", 0.0, 0.0, 2.0), ("c", 0.5, 0.0, 4.0), ("d", 9.0, 9.0, 8.0)],
                                 "id string, x double, y double, v double")
