@@ -15,8 +15,6 @@ from airq.sources import domain
 
 MODEL_FEATURES = ["temperature_c", "relative_humidity_pct", "wind_u_mps", "wind_v_mps", "NDVI",
                   "elevation_m", "road_density", "night_lights", "day_of_year"]
-# Two hundred rounds of boosting for every fold take minutes; the registered runs take fewer. Forests are full ones.
-SMALL_BOOST = {"maxIter": 10, "maxDepth": 3}
 
 
 @query("fold_index", sql="""
@@ -128,7 +126,7 @@ def _train(spark, sf_dir):
 def grouped_cross_validation(spark, sf_dir):
     """Forest and boosted trees on station folds; random draws have no SQL form."""
     oof = M.grouped_cv(_train(spark, sf_dir), MODEL_FEATURES, "station_id", {
-        "forest": lambda: M.forest(), "boosted": lambda: M.boosted_trees(**SMALL_BOOST)})
+        "forest": lambda: M.forest(), "boosted": lambda: M.boosted_trees()})
     return rounded(FO.aggregate_metrics(oof), "mean_fold_mae", "mean_fold_rmse", "mean_fold_r2",
                    "pooled_oof_mae", "pooled_oof_rmse", "pooled_oof_r2", digits=4)
 
@@ -137,7 +135,7 @@ def grouped_cross_validation(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     train = _train(spark, sf_dir)
     fitted = {"forest": M.fit(train, M.forest(), MODEL_FEATURES),
-              "boosted": M.fit(train, M.boosted_trees(**SMALL_BOOST), MODEL_FEATURES)}
+              "boosted": M.fit(train, M.boosted_trees(), MODEL_FEATURES)}
     return rounded(M.feature_importance(fitted, MODEL_FEATURES, spark), "importance", "relative_share")
 
 

@@ -183,3 +183,17 @@ def test_uncertainty_deferral(spark, ready):
     none = spark.createDataFrame([], "distance_km double")
     score = U.uncertainty_score(r, gaps, U.distance_uncertainty(none)).first()
     assert (score.status, score.uncertainty_score, score.n_components) == ("PARTIAL", 0.0, 1)
+
+
+def test_registered_models_have_all_their_rounds(spark, monkeypatch):
+    from airq.plans import modelling
+    made = []
+    monkeypatch.setattr(modelling, "_train", lambda spark, sf_dir: None)
+    monkeypatch.setattr(modelling, "rounded", lambda df, *columns, **digits: df)
+    monkeypatch.setattr(modelling.FO, "aggregate_metrics", lambda oof: oof)
+    monkeypatch.setattr(modelling.M, "grouped_cv", lambda df, features, group, estimators: made.append(estimators["boosted"]()))
+    monkeypatch.setattr(modelling.M, "fit", lambda df, estimator, features: made.append(estimator))
+    monkeypatch.setattr(modelling.M, "feature_importance", lambda *args: None)
+    modelling.grouped_cross_validation(spark, "")
+    modelling.feature_importance(spark, "")
+    assert [m.getMaxIter() for m in made if hasattr(m, "getMaxIter")] == [200, 200]
