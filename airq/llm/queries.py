@@ -12,12 +12,15 @@ from airq.llm.common import store, table
 from airq.llm.decontaminate import contamination
 from airq.llm.fertility import fertility_rules
 from airq.llm.line_dedup import dedup_lines
+from airq.llm.mixing import mix_sources
 from airq.llm.near_dedup import near_duplicates
 from airq.llm.ordinal_quality import grade_quality
 from airq.llm.packing import pack
+from airq.llm.prefix_trie import prefix_trie
 from airq.llm.substring_dedup import remove_repeats
 from airq.llm.toxicity import score_toxicity
 from airq.llm.warc_zstd import read_archives, resolved, train_dictionary, write_archives
+from airq.llm.whitening import whiten
 
 #: Where the public vocabularies lie, on the driver and on every executor.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -80,7 +83,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=8)
+    each = whitened.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_decontaminate, op4_substring_dedup, op5_packing,
-                                 op6_quality_classifier, op7_toxicity, op8_near_dedup, op9_warc, op10_quality_rules)}
+                                 op6_quality_classifier, op7_toxicity, op8_near_dedup, op9_warc, op10_quality_rules,
+                                 op11_mixing, op12_whitening, op13_prefix_trie)}
 ORACLES = {"op1_chat_format": sql.CHAT_FORMAT, "op3_decontaminate": sql.DECONTAMINATE, "op4_substring_dedup": sql.SUBSTRING_DEDUP,
-           "op8_near_dedup": sql.NEAR_DEDUP, "op9_warc": sql.WARC}
+           "op8_near_dedup": sql.NEAR_DEDUP, "op9_warc": sql.WARC, "op11_mixing": sql.MIXING,
+           "op13_prefix_trie": sql.PREFIX_TRIE}
