@@ -101,8 +101,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] | DataFrame = (5, 2, 1),
             found = found.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("weight", F.coalesce("weight", F.lit(0)))
         else:
             found = found.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int")).cast("long"))
-        found, total = _targets(store(found, "weighed")[0], most)
-        sources = apportioned(found.withColumn("id", F.col("sid")).withColumn("mix", F.lit(0)).withColumn("seats", F.lit((2 * total + block) // (2 * block)).cast("long")),
+        # Stored with the one group of all sources, so that the optimizer sees a key to join on.
+        found, total = _targets(store(found.withColumn("mix", F.lit(0)), "weighed")[0], most)
+        sources = apportioned(found.withColumn("id", F.col("sid")).withColumn("seats", F.lit((2 * total + block) // (2 * block)).cast("long")),
                               "mix", "target", "seats", "mix")
         shards = F.greatest(F.ceil(F.col("words") / shard_words), F.ceil(F.col("n") / shard_rows), F.lit(1)).cast("long")
         sources, _ = store(sources.select("sid", F.col("source").alias("_source"), F.col("words").alias("source_size"), "target", F.col("won").alias("blocks"), shards.alias("shards")), "quotas")
