@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from airq.operators.nearest import k_nearest, within_radius
-from airq.operators.ranks import benjamini_hochberg, exact_quantiles, slice_count
+from airq.operators.ordering import numbered
+from airq.operators.ranks import benjamini_hochberg, exact_quantiles
 from airq.session import materialize
 
 MIN_CELLS = 30
@@ -15,6 +16,10 @@ PERMUTATIONS = 999
 #: Shifts of an arithmetic permutation; side of the tiles in which permuted neighbours are summed.
 HALF_ROUNDS = 6
 TILE = 32
+#: Fixed values of the hash: a prime and the factors of replicate, round, seed and number.
+PRIME, REP_STEP, ROUND_STEP, SEED_STEP, OTHER_STEP = 2_147_483_647, 1_103_515_245, 104_729, 7_919, 40_503_767
+#: Statistics that differ by less count as equal, because sums of doubles depend on their order.
+SAME = 1e-9
 
 QUEEN = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 
@@ -121,73 +126,71 @@ def permutation_p(cells: DataFrame, value: str, method: str, permutations: int =
         "row", "col", F.col(value).alias("x")), "tested-cells")
     stat = local_moran(known, "x") if method == "lisa" else getis_ord(known, "x")
     observed = stat.select("row", "col", F.col("moran_i" if method == "lisa" else "gi").alias("o"))
-    numbered = materialize(number_rows(known, ["row", "col"]).join(observed, ["row", "col"]), "numbered-cells")
-    m = numbered.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")).first()
+    cells_ = materialize(numbered(known, [F.col("row").asc(), F.col("col").asc()]).join(observed, ["row", "col"]), "numbered-cells")
+    m = cells_.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")).first()
     exceed = None
     for start in range(0, permutations, chunk):
         reps = F.sequence(F.lit(start), F.lit(min(start + chunk, permutations) - 1))
-        part = materialize(_exceedances(numbered, m, reps, method, seed), "exceedances")
+        part = materialize(_exceedances(cells_, m, reps, method, seed), "exceedances")
         exceed = part if exceed is None else exceed.unionByName(part)
     counts = exceed.groupBy("row", "col").agg(F.sum("hits").alias("hits"))
-    return numbered.join(counts, ["row", "col"], "left").select(
+    return cells_.join(counts, ["row", "col"], "left").select(
         "row", "col", F.col("o").alias("statistic"),
         ((F.coalesce("hits", F.lit(0)) + 1) / F.lit(permutations + 1)).alias("p_value"))
 
 
-def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``pos`` = 0..n-1 in a fixed order, without a single-task sort.
-
-    Rows are hashed into slices; slice sizes are summed over at most 4096
-    rows and the position inside a slice is added.
-    """
-    slices = slice_count(df)
-    sliced = df.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(slices)))
-    sizes = sliced.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.select("_s", (F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_s"))
-                                 - F.col("_c")).alias("_before"))
-    inside = Window.partitionBy("_s").orderBy(*order)
-    return sliced.withColumn("_i", F.row_number().over(inside)).join(before, "_s").withColumn(
-        "pos", F.col("_before") + F.col("_i") - 1).drop("_s", "_i", "_before")
-
-
 def permuted(df: DataFrame, n: int, seed: int, to: str = "to") -> DataFrame:
     """Add ``to``, the image of ``pos`` (0..n-1) under the random permutation number ``rep``.
 
     A Feistel network on pairs (left, right) of a field of a * b >= n numbers, in
     which left and right are shifted in turn by a hash of the other. What falls
     on one of the fewer than a numbers past the end is sent on until it does not.
+    The hash is a square modulo a prime, so that SQL can deal the same cards.
     """
     a = max(1, math.isqrt(max(n - 1, 0)) + 1)
     b = max(1, -(-n // a))
 
-    def shift(k: int, one: Column, other: Column) -> Column:
-        return F.pmod(one + F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "rep", other), F.lit(a if k % 2 else b)),
-                      F.lit(a if k % 2 else b))
+    def key(k: int) -> Column:
+        return (F.col("rep").cast("long") * REP_STEP + (seed * SEED_STEP + k * ROUND_STEP)) % PRIME
+
+    def hashed(k: int, other: Column) -> Column:
+        return (key(k) + other.cast("long") * OTHER_STEP) % PRIME
+
+    def shift(k: int, one: Column, mixed: Column) -> Column:
+        size = F.lit(a if k % 2 else b)
+        return (one + (mixed * mixed + key(k)) % PRIME) % size
+
+    def half_round(k: int, pair: Column) -> Column:
+        one, other = ("l", "r") if k % 2 else ("r", "l")
+        mixed = F.transform(F.array(pair), lambda p: F.struct(p[one].alias(one), p[other].alias(other), hashed(k, p[other]).alias("m")))[0]
+        return F.transform(F.array(mixed), lambda p: F.struct(
+            *[(shift(k, p[one], p["m"]) if c == one else p[other]).alias(c) for c in ("l", "r")]))[0]
 
     def again(x: Column) -> Column:
-        left, right = F.floor(x / b), F.pmod(x, F.lit(b))
+        """One more pass; the lambda evaluates each hash once."""
+        pair = F.struct(F.floor(x / b).alias("l"), (x % F.lit(b)).alias("r"))
         for k in range(HALF_ROUNDS):
-            left, right = (shift(k, left, right), right) if k % 2 else (left, shift(k, right, left))
-        return left * b + right
+            pair = half_round(k, pair)
+        return F.transform(F.array(pair), lambda p: p["l"] * b + p["r"])[0]
 
-    df = df.withColumns({"_l": F.floor(F.col("pos") / b), "_r": F.pmod(F.col("pos"), F.lit(b))})
+    df = df.withColumns({"_l": F.floor(F.col("pos") / b), "_r": F.col("pos") % F.lit(b)})
     for k in range(HALF_ROUNDS):
         one, other = ("_l", "_r") if k % 2 else ("_r", "_l")
-        df = df.withColumn(one, shift(k, F.col(one), F.col(other)))
+        df = df.withColumn("_m", hashed(k, F.col(other))).withColumn(one, shift(k, F.col(one), F.col("_m")))
     x = F.col("_l") * b + F.col("_r")
     on = F.aggregate(F.sequence(F.lit(1), F.lit(64)), x, lambda y, _: F.when(y < n, y).otherwise(again(y)))
-    return df.withColumn(to, F.when(x < n, x).otherwise(on)).drop("_l", "_r")
+    return df.withColumn(to, F.when(x < n, x).otherwise(on)).drop("_l", "_r", "_m")
 
 
-def _exceedances(numbered: DataFrame, moments: Row, reps: Column, method: str, seed: int) -> DataFrame:
+def _exceedances(known: DataFrame, moments: Row, reps: Column, method: str, seed: int) -> DataFrame:
     """Per cell the number of replicates whose statistic is at least as extreme.
 
     Permuted cells are dealt to tiles with a border of one cell, so that
     neighbours are summed inside a task.
     """
     n, mean, sd = (F.lit(moments[k]) for k in ("n", "mean", "sd"))
-    moved = permuted(numbered.select("pos", "x").withColumn("rep", F.explode(reps)), moments["n"], seed)
-    places = numbered.select(F.col("pos").alias("to"), "row", "col", "o")
+    moved = permuted(known.select("pos", "x").withColumn("rep", F.explode(reps)), moments["n"], seed)
+    places = known.select(F.col("pos").alias("to"), "row", "col", "o")
     z = (F.col("x") - mean) / (sd + F.lit(1e-10))
     placed = moved.join(places, "to").select("rep", "row", "col", "o", (z if method == "lisa" else F.col("x")).alias("v"))
     tile = lambda c: F.floor(c / TILE)
@@ -210,7 +213,7 @@ def _exceedances(numbered: DataFrame, moments: Row, reps: Column, method: str, s
         spread = sd * F.sqrt((n * w - w * w) / (n - 1) + F.lit(1e-10))
         stat = (F.col("nbr_sum") - mean * w) / spread
     return summed.withColumn("s", stat).groupBy("row", "col").agg(
-        F.count(F.when(F.abs("s") >= F.abs("o"), 1)).alias("hits"))
+        F.count(F.when(F.abs("s") >= F.abs("o") - SAME, 1)).alias("hits"))
 
 
 def analytic_p(statistics: DataFrame, statistic: str) -> DataFrame:
@@ -226,13 +229,8 @@ def analytic_p(statistics: DataFrame, statistic: str) -> DataFrame:
     return statistics.withColumn("p_value", poly * F.exp(-a * a))
 
 
-def hotspot_analysis(cells: DataFrame, value: str, method: str = "lisa", alpha: float = 0.05,
-                     permutations: int = PERMUTATIONS, seed: int = 42) -> DataFrame:
-    """Classify cells as HOTSPOT / COLDSPOT / NOT_SIGNIFICANT after FDR control."""
-    if method not in ("lisa", "getis_ord"):
-        raise ValueError(f"unknown method {method!r}")
-    # Written, because the cut is found in one pass and applied in another.
-    tested = materialize(permutation_p(cells, value, method, permutations, seed), "tested")
+def classified(tested: DataFrame, alpha: float) -> DataFrame:
+    """Add ``significant`` and ``cluster_type`` after FDR control; reads ``tested`` twice."""
     tested = benjamini_hochberg(tested, "p_value", alpha)
     return tested.withColumn("cluster_type", (
         F.when(F.col("significant") & (F.col("statistic") > 0), "HOTSPOT")
@@ -240,6 +238,24 @@ def hotspot_analysis(cells: DataFrame, value: str, method: str = "lisa", alpha:
         .otherwise("NOT_SIGNIFICANT")))
 
 
+def hotspot_analysis(cells: DataFrame, value: str, method: str = "lisa", alpha: float = 0.05,
+                     permutations: int = PERMUTATIONS, seed: int = 42) -> DataFrame:
+    """Classify cells as HOTSPOT / COLDSPOT / NOT_SIGNIFICANT after FDR control.
+
+    Fewer than 30 cells are too few to test: no replicate is run, and statistic,
+    p-value and class are NULL.
+    """
+    if method not in ("lisa", "getis_ord"):
+        raise ValueError(f"unknown method {method!r}")
+    known = cells.where(F.col(value).isNotNull())
+    if known.limit(MIN_CELLS).count() < MIN_CELLS:
+        none = F.lit(None)
+        return known.select("row", "col", none.cast("double").alias("statistic"), none.cast("double").alias("p_value"),
+                            F.lit(False).alias("significant"), none.cast("string").alias("cluster_type"))
+    # Written, because the cut is found in one pass and applied in another.
+    return classified(materialize(permutation_p(cells, value, method, permutations, seed), "tested"), alpha)
+
+
 def hotspot_summary(classified: DataFrame) -> DataFrame:
     """Counts per class; fewer than 30 cells are reported as DEFERRED."""
     kind = F.col("cluster_type")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airq.functions import aqi
-from airq.operators import autocorr as A, grid as G, nearest as N, reports as RP, zones as Z
+from airq.operators import autocorr as A, grid as G, nearest as N, reports as RP, scattered as S, zones as Z
 from airq.operators.grid import Grid
 from airq.operators.ranks import benjamini_hochberg
 from airq.plans.registry import query, r6, rounded
-from airq.plans.sql_parts import aqi_sql, category_sql, part
+from airq.plans.sql_parts import aqi_sql, category_sql, part, permutation_sql
 from airq.session import materialize
 from airq.sources import domain, sinks
 
@@ -263,15 +263,55 @@ def significant_blocks(spark, sf_dir):
     return out.select("row", "col", r6("p_value").alias("p_value"), "significant")
 
 
-@query("permutation_hotspots")
+_BLOCK_TEST = """
+WITH RECURSIVE cells AS (SELECT row_number() OVER (ORDER BY row, col) - 1 AS pos, row, col, v AS x FROM blocks),
+pairs AS (SELECT a.pos, b.pos AS other FROM cells a JOIN cells b ON b.row BETWEEN a.row - 1 AND a.row + 1
+  AND b.col BETWEEN a.col - 1 AND a.col + 1 AND a.pos <> b.pos),
+"""
+
+
+@query("permutation_hotspots", parts=["blocks"], sql=f"""
+{_BLOCK_TEST.strip()}
+{permutation_sql("cells", "pairs", ("lisa",)).strip()}
+SELECT count(*) AS n_cells, count(*) FILTER (cluster_type = 'HOTSPOT') AS n_significant_hotspots,
+  count(*) FILTER (cluster_type = 'COLDSPOT') AS n_significant_coldspots, ROUND(avg(statistic), 6) AS mean_statistic,
+  ROUND(max(statistic), 6) AS max_statistic, ROUND(min(statistic), 6) AS min_statistic, ROUND(avg(p_value), 6) AS mean_p_value,
+  CASE WHEN count(*) < 30 THEN 'DEFERRED' ELSE 'COMPUTED' END AS status FROM classes
+""")
 def permutation_hotspots(spark, sf_dir):
-    """Permutation test per class; random draws have no SQL counterpart."""
+    """Permutation test per class, with the same permutations in SQL."""
     tested = A.hotspot_analysis(_blocks(spark, sf_dir), "v", "lisa")
     return rounded(A.hotspot_summary(tested), "mean_statistic", "max_statistic", "min_statistic",
                    "mean_p_value")
 
 
-@query("permutation_getis_ord")
+@query("permutation_getis_ord", parts=["blocks"], sql=f"""
+{_BLOCK_TEST.strip()}
+{permutation_sql("cells", "pairs", ("getis_ord",)).strip()}
+SELECT cluster_type, count(*) AS cells FROM classes GROUP BY cluster_type
+""")
 def permutation_getis_ord(spark, sf_dir):
     tested = A.hotspot_analysis(_blocks(spark, sf_dir), "v", "getis_ord")
     return tested.groupBy("cluster_type").agg(F.count(F.lit(1)).alias("cells"))
+
+
+_SCATTERED = """
+WITH RECURSIVE cells AS (SELECT row_number() OVER (ORDER BY latitude, longitude, pm25) - 1 AS pos, latitude, longitude, pm25 AS x FROM stations),
+far AS (SELECT a.pos, b.pos AS other, sqrt((a.longitude - b.longitude) ** 2 + (a.latitude - b.latitude) ** 2) AS d FROM cells a JOIN cells b ON a.pos <> b.pos),
+reach AS (SELECT quantile_cont(d, 0.5) * 1.5::DOUBLE AS reach FROM (SELECT min(d) AS d FROM far GROUP BY pos)),
+pairs AS (SELECT pos, other FROM far, reach WHERE d <= reach),
+"""
+
+
+@query("hotspots_of_scattered_cells", parts=["stations"], sql=f"""
+{_SCATTERED.strip()}
+{permutation_sql("cells", "pairs", ("lisa", "getis_ord")).strip()}
+SELECT method, latitude, longitude, ROUND(statistic, 5) AS statistic, ROUND(p_value, 6) AS p_value, significant, cluster_type
+FROM classes JOIN cells USING (pos) WHERE (SELECT count(*) FROM cells) >= 30
+""")
+def hotspots_of_scattered_cells(spark, sf_dir):
+    """Both statistics on places that form no grid, with 999 replicates."""
+    cells = domain.stations(spark, sf_dir).select("latitude", "longitude", F.col("pm25").alias("PM2.5"))
+    classes, _ = S.scattered_hotspots(cells)
+    return classes.select("method", "latitude", "longitude", F.round("statistic", 5).alias("statistic"),
+                          r6("p_value").alias("p_value"), "significant", "cluster_type")

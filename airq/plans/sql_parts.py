@@ -77,6 +77,48 @@ def epa_category_sql(a: str) -> str:
       WHEN {a} >= 51 THEN 'MODERATE' WHEN {a} >= 0 THEN 'GOOD' END"""
 
 
+def permutation_sql(cells: str, pairs: str, methods: tuple[str, ...], replicates: int = 999, seed: int = 42) -> str:
+    """CTEs that test numbered cells (pos, x) with neighbours (pos, other); the last is ``tested`` (method, pos, statistic, p_value).
+
+    The permutation is restated from its definition: a Feistel network whose hash is a
+    square modulo a prime, repeated for numbers past the end.
+    """
+    body = "SELECT rep, pos, step, n, a, b, y // b AS l, y % b AS r FROM walk, dims WHERE step = 0 OR y >= n"
+    for k in range(6):
+        one, other, size = ("l", "r", "a") if k % 2 else ("r", "l", "b")
+        key = f"((rep * 1103515245 + {seed * 7919 + k * 104729}) % 2147483647)"
+        body = f"SELECT *, ({key} + {other} * 40503767) % 2147483647 AS m FROM ({body})"
+        body = f"SELECT rep, pos, step, n, a, b, {other}, ({one} + (m * m + {key}) % 2147483647) % {size} AS {one} FROM ({body})"
+    lisa = "CASE WHEN w > 0 THEN (v - mu) / (sd + 1e-10::DOUBLE) * ((s - w * mu) / (sd + 1e-10::DOUBLE)) / w ELSE 0.0::DOUBLE END"
+    spread = "sd * sqrt((n * w - w * w) / (n - 1)::DOUBLE{})"
+    gi = f"CASE WHEN {spread.format('')} < 1e-10 THEN 0.0::DOUBLE ELSE (s - mu * w) / ({spread.format('')}) END"
+    again = f"CASE WHEN sd < 1e-10 THEN 0.0::DOUBLE ELSE (s - mu * w) / ({spread.format(' + 1e-10::DOUBLE')}) END"
+    tested = "\nUNION ALL\n".join(f"""SELECT '{m}' AS method, o.pos, any_value(o.o) AS statistic,
+  (count(*) FILTER (abs({lisa if m == 'lisa' else again}) >= abs(o.o) - 1e-9::DOUBLE) + 1) / {replicates + 1}.0::DOUBLE AS p_value
+FROM moved_sums s JOIN moments ON TRUE JOIN (SELECT pos, {lisa if m == 'lisa' else gi} AS o FROM own_sums, moments) o ON o.pos = s.pos GROUP BY o.pos""" for m in methods)
+    return f"""
+moments AS (SELECT count(*) AS n, avg(x) AS mu, stddev_samp(x) AS sd FROM {cells}),
+dims AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM moments)),
+walk AS (
+  SELECT range AS rep, pos, pos AS y, 0 AS step FROM {cells}, range({replicates})
+  UNION ALL
+  SELECT rep, pos, l * b + r AS y, step + 1 FROM ({body})),
+moved AS (SELECT rep, y AS pos, c.x AS v FROM walk JOIN {cells} c USING (pos), dims WHERE step > 0 AND y < dims.n),
+moved_sums AS (
+  SELECT m.rep, m.pos, any_value(m.v) AS v, count(o.v) AS w, coalesce(sum(o.v), 0.0::DOUBLE) AS s FROM moved m
+  LEFT JOIN {pairs} p ON p.pos = m.pos LEFT JOIN moved o ON o.rep = m.rep AND o.pos = p.other GROUP BY m.rep, m.pos),
+own_sums AS (
+  SELECT c.pos, any_value(c.x) AS v, count(o.x) AS w, coalesce(sum(o.x), 0.0::DOUBLE) AS s FROM {cells} c
+  LEFT JOIN {pairs} p ON p.pos = c.pos LEFT JOIN {cells} o ON o.pos = p.other GROUP BY c.pos),
+tested AS ({tested}),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY method ORDER BY p_value) AS k, count(*) OVER (PARTITION BY method) AS m FROM tested),
+cuts AS (SELECT method, max(p_value) FILTER (p_value <= 0.05::DOUBLE * k / m) AS cut FROM ranked GROUP BY method),
+classes AS (
+  SELECT tested.*, coalesce(p_value <= cut, FALSE) AS significant, CASE WHEN p_value <= cut AND statistic > 0 THEN 'HOTSPOT'
+    WHEN p_value <= cut AND statistic < 0 THEN 'COLDSPOT' ELSE 'NOT_SIGNIFICANT' END AS cluster_type
+  FROM tested JOIN cuts USING (method))"""
+
+
 part("obs", """
 SELECT event_id * 2 + copy AS ordinal, 'S' || user_id AS station_id, event_type AS source,
   n_name AS country,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from airq.operators import autocorr as A, grid as G, nearest as N, raster as R, roads as RD, zones as Z
 from airq.operators.grid import Grid
+from airq.operators.ordering import numbered
+from airq.operators.scattered import scattered_hotspots
 
 
 def cells(spark, coords):
@@ -226,8 +228,8 @@ def test_permutation_test_finds_the_planted_block(spark):
 
 
 def test_permutation_is_a_permutation(spark):
-    numbered = A.number_rows(spark.range(100).select(F.floor(F.col("id") / 10).alias("row"), (F.col("id") % 10).alias("col")), ["row", "col"])
-    assert sorted(r.pos for r in numbered.collect()) == list(range(100))
+    rows = numbered(spark.range(100).select(F.floor(F.col("id") / 10).alias("row"), (F.col("id") % 10).alias("col")), [F.col("row").asc(), F.col("col").asc()])
+    assert sorted(r.pos for r in rows.collect()) == list(range(100))
 
 
 def test_arithmetic_permutation(spark):
@@ -270,6 +272,47 @@ def test_registered_permutation_queries_use_the_full_settings(spark, monkeypatch
     assert seen == [999, 999] and cut == [0.05, 0.05]
 
 
+def test_few_cells_are_deferred_without_replicates(spark, monkeypatch):
+    monkeypatch.setattr(A, "permutation_p", None)
+    few = spark.createDataFrame([(r, c, 1.0 * r * c) for r in range(5) for c in range(5)], "row bigint, col bigint, v double")
+    out = A.hotspot_analysis(few, "v")
+    assert out.count() == 25 and {(r.p_value, r.cluster_type, r.significant) for r in out.collect()} == {(None, None, False)}
+    assert A.hotspot_summary(out).first().status == "DEFERRED"
+
+
+def test_scattered_hotspots(spark):
+    """Cells on a turned grid: neighbours and statistics as on the grid, a planted block is found."""
+    v = np.random.default_rng(8).normal(50, 1, (9, 9))
+    v[3:6, 3:6] += 12
+    turn = lambda r, c: (28 + 0.01 * (r * 0.8 - c * 0.6), 77 + 0.01 * (r * 0.6 + c * 0.8))
+    rows = [(*turn(r, c), float(v[r, c])) for r in range(9) for c in range(9)] + [(None, 77.0, 1.0), (28.0, 77.0, None)]
+    table = spark.createDataFrame(rows, "latitude double, longitude double, `PM2.5` double")
+    classes, report = scattered_hotspots(table, permutations=199, alpha=0.2)
+    got = {(r.method, round(r.latitude, 9), round(r.longitude, 9)): r for r in classes.collect()}
+    grid = spark.createDataFrame([(r, c, float(v[r, c])) for r in range(9) for c in range(9)], "row bigint, col bigint, v double")
+    moran = {(r["row"], r["col"]): r.moran_i for r in A.local_moran(grid, "v").collect()}
+    gi = {(r["row"], r["col"]): r.gi for r in A.getis_ord(grid, "v").collect()}
+    for method, want in (("lisa", moran), ("getis_ord", gi)):
+        for (r, c), s in want.items():
+            lat, lon = turn(r, c)
+            assert got[method, round(lat, 9), round(lon, 9)].statistic == pytest.approx(s, abs=1e-6)
+    centre = got["lisa", *[round(x, 9) for x in turn(4, 4)]]
+    assert (centre.p_value, centre.cluster_type) == (pytest.approx(1 / 200), "HOTSPOT")
+    assert {(r.method, r.status, r.n_cells) for r in report.collect()} == {("lisa", "COMPUTED", 81), ("getis_ord", "COMPUTED", 81)}
+
+
+def test_scattered_hotspots_deferred(spark):
+    rows = [(28.0 + i, 77.0, 1.0) for i in range(29)]
+    table = spark.createDataFrame(rows, "latitude double, longitude double, `PM2.5` double")
+    classes, report = scattered_hotspots(table)
+    assert classes.count() == 0 and {(r.status, r.reason) for r in report.collect()} == {("DEFERRED", "insufficient_cells: 29 < 30")}
+    classes, report = scattered_hotspots(table.drop("latitude"), methods=("lisa",))
+    assert classes.count() == 0 and report.first().reason == "missing_columns: latitude"
+    same = spark.createDataFrame([(28.0, 77.0, float(i % 2)) for i in range(40)], "latitude double, longitude double, `PM2.5` double")
+    classes, _ = scattered_hotspots(same, permutations=9)
+    assert classes.count() == 80
+
+
 def test_scattered_neighbours(spark):
     pts = spark.createDataFrame([("a", 0.0, 0.0, 1.0), ("b", 0.0, 0.0, 2.0), ("c", 0.5, 0.0, 4.0), ("d", 9.0, 9.0, 8.0)],
                                 "id string, x double, y double, v double")
