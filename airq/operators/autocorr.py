@@ -150,36 +150,34 @@ def permuted(df: DataFrame, n: int, seed: int, to: str = "to") -> DataFrame:
     a = max(1, math.isqrt(max(n - 1, 0)) + 1)
     b = max(1, -(-n // a))
 
-    def key(k: int) -> Column:
-        return (F.col("rep").cast("long") * REP_STEP + (seed * SEED_STEP + k * ROUND_STEP)) % PRIME
+    def key(k: int | Column) -> Column:
+        return (F.col("rep").cast("long") * REP_STEP + (k * ROUND_STEP + seed * SEED_STEP)) % PRIME
 
-    def hashed(k: int, other: Column) -> Column:
+    def hashed(k: int | Column, other: Column) -> Column:
         return (key(k) + other.cast("long") * OTHER_STEP) % PRIME
 
-    def shift(k: int, one: Column, mixed: Column) -> Column:
-        size = F.lit(a if k % 2 else b)
+    def shift(k: int | Column, one: Column, mixed: Column, size: Column) -> Column:
         return (one + (mixed * mixed + key(k)) % PRIME) % size
 
-    def half_round(k: int, pair: Column) -> Column:
-        one, other = ("l", "r") if k % 2 else ("r", "l")
-        mixed = F.transform(F.array(pair), lambda p: F.struct(p[one].alias(one), p[other].alias(other), hashed(k, p[other]).alias("m")))[0]
-        return F.transform(F.array(mixed), lambda p: F.struct(
-            *[(shift(k, p[one], p["m"]) if c == one else p[other]).alias(c) for c in ("l", "r")]))[0]
+    def half_round(pair: Column, k: Column) -> Column:
+        odd = k % 2 == 1
+        one, other = F.when(odd, pair["l"]).otherwise(pair["r"]), F.when(odd, pair["r"]).otherwise(pair["l"])
+        moved = shift(k, one, hashed(k, other), F.when(odd, F.lit(a)).otherwise(F.lit(b)))
+        return F.struct(F.when(odd, moved).otherwise(pair["l"]).alias("l"), F.when(odd, pair["r"]).otherwise(moved).alias("r"))
 
     def again(x: Column) -> Column:
-        """One more pass; the lambda evaluates each hash once."""
+        """One more pass."""
         pair = F.struct(F.floor(x / b).alias("l"), (x % F.lit(b)).alias("r"))
-        for k in range(HALF_ROUNDS):
-            pair = half_round(k, pair)
-        return F.transform(F.array(pair), lambda p: p["l"] * b + p["r"])[0]
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(HALF_ROUNDS - 1).cast("long")), pair, half_round, lambda p: p["l"] * b + p["r"])
 
     df = df.withColumns({"_l": F.floor(F.col("pos") / b), "_r": F.col("pos") % F.lit(b)})
     for k in range(HALF_ROUNDS):
         one, other = ("_l", "_r") if k % 2 else ("_r", "_l")
-        df = df.withColumn("_m", hashed(k, F.col(other))).withColumn(one, shift(k, F.col(one), F.col("_m")))
+        df = df.withColumn("_m", hashed(k, F.col(other))).withColumn(one, shift(k, F.col(one), F.col("_m"), F.lit(a if k % 2 else b)))
     x = F.col("_l") * b + F.col("_r")
     on = F.aggregate(F.sequence(F.lit(1), F.lit(64)), x, lambda y, _: F.when(y < n, y).otherwise(again(y)))
-    return df.withColumn(to, F.when(x < n, x).otherwise(on)).drop("_l", "_r", "_m")
+    # Never NULL, and declared so: a join would push its test of NULL, with all rounds in it, below them.
+    return df.withColumn(to, F.coalesce(F.when(x < n, x).otherwise(on), F.lit(-1))).drop("_l", "_r", "_m")
 
 
 def _exceedances(known: DataFrame, moments: Row, reps: Column, method: str, seed: int) -> DataFrame:
