@@ -283,6 +283,59 @@ def asof_by_region(spark, sf_dir):
         F.max("offset_days").cast("bigint").alias("max_offset"))
 
 
+_CELL_SQL = """
+WITH comp AS (SELECT DISTINCT l_suppkey % 97 AS k, CAST(l_shipdate AS DATE) AS c FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 15),
+t AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 5 ELSE l_suppkey % 97 END AS k, CAST(l_receiptdate_ AS DATE) AS d, l_orderkey, l_linenumber
+  FROM (SELECT *, l_shipdate + to_days(CAST(l_partkey % 20 AS INT)) AS l_receiptdate_ FROM lineitem)),
+m AS (SELECT t.*, (SELECT max(c) FROM comp WHERE comp.k = t.k AND c <= d AND d - c <= 32) AS past,
+    (SELECT arg_min(c, abs(d - c) * 100000 + (c - DATE '1990-01-01')) FROM comp WHERE comp.k = t.k AND abs(d - c) <= 5) AS near,
+    (SELECT max(c) FROM comp WHERE comp.k = t.k AND c <= d AND d - c < 16) AS held FROM t)
+"""
+
+
+def _cell_composites(spark, sf_dir):
+    li = domain.table(spark, sf_dir, "lineitem")
+    return li.where("l_linenumber = 1 and l_quantity < 15").select((F.col("l_suppkey") % 97).alias("cell"), F.to_date("l_shipdate").alias("composite"))
+
+
+def _cell_targets(spark, sf_dir):
+    """A third of all rows are of one cell."""
+    li = domain.table(spark, sf_dir, "lineitem")
+    cell = F.when(F.col("l_orderkey") % 3 == 0, F.lit(5)).otherwise(F.col("l_suppkey") % 97)
+    return li.select(cell.alias("cell"), F.date_add(F.to_date("l_shipdate"), (F.col("l_partkey") % 20).cast("int")).alias("date"), "l_orderkey", "l_linenumber")
+
+
+@query("asof_by_cell", sql=f"""
+{_CELL_SQL.strip()}
+SELECT CAST(k AS BIGINT) AS cell, strftime(d, '%Y-%m-%d') AS date, CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  strftime(past, '%Y-%m-%d') AS matched, CAST(d - past AS INT) AS offset_days FROM m
+""")
+def asof_by_cell(spark, sf_dir):
+    """Keyed as-of join as a merge: one row per target, a third of them of one cell."""
+    out = asof.asof_composite(_cell_targets(spark, sf_dir), _cell_composites(spark, sf_dir), "date", "composite", by=["cell"])
+    return out.select(F.col("cell").cast("long").alias("cell"), day("date"), F.col("l_orderkey").cast("long").alias("l_orderkey"),
+                      F.col("l_linenumber").cast("long").alias("l_linenumber"), F.date_format("composite_date", "yyyy-MM-dd").alias("matched"), "offset_days")
+
+
+@query("interval_by_cell", sql=f"""
+{_CELL_SQL.strip()}
+SELECT CAST(k AS BIGINT) AS cell, strftime(held, '%Y-%m-%d') AS matched, count(*) AS rows, CAST(max(d - held) AS INT) AS max_offset FROM m GROUP BY ALL
+""")
+def interval_by_cell(spark, sf_dir):
+    out = asof.interval_composite(_cell_targets(spark, sf_dir), _cell_composites(spark, sf_dir), "date", "composite", by=["cell"])
+    return out.groupBy(F.col("cell").cast("long").alias("cell"), F.date_format("composite_date", "yyyy-MM-dd").alias("matched")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("offset_days").alias("max_offset"))
+
+
+@query("tolerance_by_cell", sql=f"""
+{_CELL_SQL.strip()}
+SELECT CAST(k AS BIGINT) AS cell, CAST(d - near AS INT) AS offset_days, d >= near AS no_future, count(*) AS rows FROM m WHERE near IS NOT NULL GROUP BY ALL
+""")
+def tolerance_by_cell(spark, sf_dir):
+    out = asof.tolerance_match(_cell_targets(spark, sf_dir), _cell_composites(spark, sf_dir), "date", "composite", 5, by=["cell"], how="inner")
+    return out.groupBy(F.col("cell").cast("long").alias("cell"), "offset_days", "no_future").agg(F.count(F.lit(1)).alias("rows"))
+
+
 # --------------------------------------------------------------------- rasters
 
 

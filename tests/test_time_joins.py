@@ -59,3 +59,21 @@ def test_keyed_asof(spark):
     t = spark.createDataFrame([("a", dt.date(2025, 1, 6)), ("b", dt.date(2025, 1, 6)), ("z", dt.date(2025, 1, 6))], "k string, d date")
     got = {r.k: r.offset_days for r in asof.asof_composite(t, comp, "d", "c", by=["k"]).collect()}
     assert got == {"a": 5, "b": 1, "z": None}
+
+
+@pytest.mark.parametrize("back, ahead", [(32, 0), (4, 4)])
+def test_merge_as_of_carries_over_partitions(spark, back, ahead):
+    """Against brute force: keys that span many range partitions, gaps, NULL keys and dates, repeated rows."""
+    import random
+    draw = random.Random(4)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    composites = [(draw.choice(["a", "b", "c", None]), draw.choice([day(draw.randrange(900)), None])) for _ in range(60)] + [("a", day(3))] * 3
+    targets = [(i, "a" if i % 2 else draw.choice(["b", "c", "d", None]), draw.choice([day(draw.randrange(900)), day(5), None])) for i in range(400)]
+    left = spark.createDataFrame(targets, "i int, k string, date date").repartition(7)
+    right = spark.createDataFrame(composites, "k string, composite date")
+    out = asof._merged(left, "date", right, "composite", ["k"], back, ahead, "m", "o", "left").collect()
+    assert len(out) == len(targets)
+    got = {r.i: (r.m, r.o) for r in out}
+    for i, k, d in targets:
+        near = sorted((abs((d - c).days), c) for kk, c in composites if c and d and kk == k and kk is not None and -ahead <= (d - c).days <= back)
+        assert got[i] == ((near[0][1], (d - near[0][1]).days) if near else (None, None)), (i, k, d)
