@@ -64,15 +64,20 @@ def leakage_suite(df: DataFrame, scope: str = "global", features: list[str] | No
     """(check, violations, status) of all checks.
 
     ``splits`` (fold, group, split) lets the group check run; without it that
-    check counts nothing and is N/A. A row without a date cannot be shown to
-    come before what it predicts, so it is a violation.
+    check counts nothing and is N/A. A row has information from the future when the
+    composite it uses starts after its date; a row without a date cannot be shown not to.
     """
     leaked = len(leaked_features(features))
     marks = synthetic_marker_scan(df, ["station_id", "country", "city"]).agg(
         F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"))
     overlap = F.lit(None).cast("bigint") if splits is None else split_overlap(splits, group).agg(
         F.count(F.lit(1)).alias("n")).scalar()
-    row = df.agg(F.count(F.when(F.col("date").isNull(), 1)).alias("bad_dates")).withColumns({
+    late = F.col("date").isNull()
+    if "NDVI_source_date" in df.columns:
+        late = late | F.coalesce(F.col("NDVI_source_date") > F.col("date"), F.lit(False))
+    if "NDVI_offset_days" in df.columns:
+        late = late | F.coalesce(F.col("NDVI_offset_days") < 0, F.lit(False))
+    row = df.agg(F.count(F.when(late, 1)).alias("bad_dates")).withColumns({
         "dups": duplicate_keys(df, ["station_id", "date"]).scalar(),
         "marks": marks.scalar(), "overlap": overlap,
         "copies": copies_of_target(df, features or FEATURES).scalar(),

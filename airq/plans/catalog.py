@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from airq.plans import (geometry, layers, modelling, nested, observations, readside,  # noqa: F401
+from airq.plans import (geometry, layers, modelling, nested, observations, products, readside,  # noqa: F401
                         spatial, tables)
 from airq.plans.registry import ORACLES, QUERIES
 

@@ -334,10 +334,13 @@ c AS (
   SELECT 'target_leakage' AS "check", count(*) FILTER (regexp_matches(lower(f), 'pm25|target|aqi|concentration')) AS violations
     FROM (SELECT unnest({_LEAKY!r}) AS f) x
   UNION ALL SELECT 'duplicate_station_date', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM p GROUP BY station_id, date) x
-  UNION ALL SELECT 'future_information', count(*) FILTER (date IS NULL) FROM p
+  UNION ALL SELECT 'future_information', count(*) FILTER (date IS NULL OR d = 11) FROM p
   UNION ALL SELECT 'same_group_in_train_and_test', count(*) FROM (
     SELECT station_id, g.range FROM p, range(3) g GROUP BY 1, 2 HAVING bool_or(d % 3 = g.range) AND bool_or(d % 3 <> g.range)) x
-  UNION ALL SELECT 'features_from_target', 2::BIGINT FROM (SELECT count("PM2.5") AS n FROM training) x WHERE n > 0
+  UNION ALL SELECT 'features_from_target', sum(CASE WHEN n > 0 AND n = same THEN 1 ELSE 0 END)::BIGINT FROM (
+    SELECT f, count(v) AS n, count(*) FILTER (v = t) AS same FROM (
+      SELECT "PM2.5" AS t, unnest(['pm25_lag', 'shadow', 'AOD', 'NDVI']) AS f, unnest(["PM2.5", "PM2.5", "AOD", "NDVI"]) AS v FROM training) x
+    WHERE v IS NOT NULL AND t IS NOT NULL GROUP BY f) x
   UNION ALL SELECT 'synthetic_contamination', count(*) FILTER (country LIKE 'Sample_%') FROM p
   UNION ALL SELECT 'scope_contamination', count(*) FILTER (longitude BETWEEN 77.0 AND 77.4 AND latitude BETWEEN 28.4 AND 28.8) FROM p)
 SELECT "check", violations, CASE WHEN "check" = 'synthetic_contamination' THEN CASE WHEN violations > 0 THEN 'PRESENT' ELSE 'NONE' END
@@ -350,6 +353,7 @@ def leakage_suite(spark, sf_dir):
     target = F.col(f"`{TARGET}`")
     bad = t.unionByName(t.where(d == 7)).withColumns({"pm25_lag": target, "shadow": target, "_d": d}).withColumns({
         "country": F.when(F.col("_d") == 5, F.concat(F.lit("Sample_"), "country")).otherwise(F.col("country")),
+        "NDVI_source_date": F.date_add("date", F.when(F.col("_d") == 11, 1).otherwise(-3)),
         "date": F.when(F.col("_d") != 13, F.col("date"))})
     splits = FO.split_rows(bad.select("station_id", (F.col("_d") % 3).alias("fold")), 3)
     return L.leakage_suite(bad, features=_LEAKY, splits=splits)
