@@ -1,8 +1,9 @@
 """Packing by lexical retrieval: a window is filled with unused documents that are close to its seed by BM25.
 
-Document frequencies and lengths are counted over all documents. Documents are dealt to shards by their words: sketches
-of their BM25 weights go down a tree of principal directions, so a seed and its neighbours mostly share a shard. Each
-shard has its inverted index, so shards are packed at the same time and a lost one is packed again alone.
+Document frequencies and lengths are counted over all documents, whole ones. What is left of each after its whole windows
+is dealt to shards by its words: sketches of BM25 weights go down a tree of principal directions, so that neighbours tend
+to share a shard. Each shard has its inverted index, so shards are packed at the same time and a lost one is packed again
+alone. A seed does not see the neighbours in other shards; one shard for all (``shard`` above the number of documents) does.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from airq.llm.common import keyed, mix, store, unkeyed
 
 #: Documents of a shard on average.
 SHARD = 2_048
-#: Numbers of a sketch; one of so many documents gives its sketch to the tree, at most SKETCHES in all.
+#: Numbers of a sketch; one of so many documents at most gives its sketch to the tree, about SKETCHES in all at most.
 SKETCH, ONE_OF, SKETCHES = 256, 64, 1 << 16
+#: Leaves of the tree; beyond, each is parted by a hash of the ids, so that tree and sample stay bounded.
+LEAVES = 2_048
 #: A cut of the tree lies so near the middle of its sample, as a share.
 NEAR = 0.1
 #: Share of a shard's documents from which a term's weights are a dense row.
@@ -46,20 +49,24 @@ def _encoder(path: str):
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     coder = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: coder.encode(text, allowed_special="all")
+    return lambda text: coder.encode_to_numpy(text, allowed_special="all")
 
 
 TOKENS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rest binary"
 
 
 def tokenized(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
-    """Whole windows of long documents as finished pieces, and each document's rest with its ids (32 bits each)."""
+    """Whole windows of long documents as finished pieces, and each document's rest with its ids.
+
+    A task ends with a row of ``start`` -1 that counts, for each token id, its whole documents that hold it.
+    """
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(tokenizer)
+        encode, held = _encoder(tokenizer), np.zeros(0, "<i8")
         for frame in frames:
-            rows = []
+            rows, found = [], []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                ids = np.array([*encode(text), END], "<u4")
+                ids = np.append(encode(text), END).astype("<u4")
+                found.append(np.unique(ids))
                 cut = len(ids) // window * window
                 rows += [(doc_id, at, window, zlib.crc32(ids[at:at + window].tobytes()), len(ids), None) for at in range(0, cut, window)]
                 if cut < len(ids):
@@ -68,10 +75,22 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
                     yield pd.DataFrame(rows, columns=_names(TOKENS))
                     rows = []
             yield pd.DataFrame(rows, columns=_names(TOKENS))
+            held = _added(held, np.bincount(np.concatenate(found)) if found else held)
+        yield pd.DataFrame([(None, -1, 0, 0, 0, held.astype("<i8").tobytes())], columns=_names(TOKENS))
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(task, TOKENS)
 
 
+def _added(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Sum of two arrays of counts, of which one may be shorter."""
+    if one is other:
+        return one
+    out = np.zeros(max(len(one), len(other)), np.int64)
+    out[:len(one)] += one
+    out[:len(other)] += other
+    return out
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -98,18 +117,16 @@ def _texts(frame: pd.DataFrame) -> list[np.ndarray]:
 
 
 def corpus_statistics(pieces: DataFrame, n: int, tokens: int) -> Corpus:
-    """Counts of the rests' token ids; as many numbers as the vocabulary has entries reach the driver."""
+    """Sums of the tasks' counts; as many numbers as the vocabulary has entries reach the driver."""
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(0, np.int64)
         for frame in frames:
-            found = [np.unique(t) for t in _texts(frame)]
-            more = np.bincount(np.concatenate(found)) if found else held[:0]
-            held, more = (held, more) if len(held) >= len(more) else (more, held)
-            held[:len(more)] += more
+            for counts in frame["rest"]:
+                held = _added(held, np.frombuffer(counts, "<i8"))
         terms = np.flatnonzero(held)
         yield pd.DataFrame({"term": terms, "held": held[terms]})
 
-    rows = pieces.where("rest is not null").select("length", "rest").mapInPandas(task, "term long, held long")
+    rows = pieces.where("start = -1").select("rest").mapInPandas(task, "term long, held long")
     rows = rows.groupBy("term").agg(F.sum("held").alias("held")).toPandas()
     held = np.zeros(int(rows["term"].max()) + 1 if len(rows) else 0)
     held[rows["term"].to_numpy(np.int64)] = rows["held"]
@@ -176,24 +193,27 @@ def leaf_of(nodes: list[tuple], rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def dealt(pieces: DataFrame, shards: int, corpus: Corpus, n: int) -> DataFrame:
-    """``pieces`` with the shard of each rest; finished windows are dealt by a hash."""
-    by_hash = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+def sample_rate(n: int) -> int:
+    """One of so many documents gives its sketch: SKETCHES are expected at most, however many documents there are."""
+    return max(ONE_OF, -(-n // SKETCHES))
+
+
+def dealt(open_: DataFrame, shards: int, corpus: Corpus, n: int) -> DataFrame:
+    """The rests ``open_``, ``n`` in number, each with its shard."""
     if shards == 1:
-        return pieces.withColumn("shard", by_hash)
-    vocabulary = len(corpus.idf)
+        return open_.withColumn("shard", F.lit(0))
+    vocabulary, leaves = len(corpus.idf), min(shards, LEAVES)
+    parts = -(-shards // leaves)
 
     def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signs = _signs(vocabulary)
         for frame in frames:
             yield pd.DataFrame({"sketch": [x.tobytes() for x in sketches(_texts(frame), frame["doc_id"].to_numpy(), corpus, signs)]})
 
-    rate = max(1, min(max(ONE_OF, n // SKETCHES), n // (32 * shards)))
-    open_ = pieces.where("rest is not null")
-    chosen = open_.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(rate)) == 0).select("doc_id", "length", "rest")
+    chosen = open_.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(sample_rate(n))) == 0).select("doc_id", "length", "rest")
     sample = chosen.mapInPandas(sketched, "sketch binary").toPandas()["sketch"]
     sample = np.frombuffer(b"".join(map(bytes, sample)), np.float32).reshape(-1, SKETCH + 1)
-    nodes = tree(sample[np.lexsort(sample.T)], shards)
+    nodes = tree(sample[np.lexsort(sample.T)], leaves)
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signs = _signs(vocabulary)
@@ -201,7 +221,8 @@ def dealt(pieces: DataFrame, shards: int, corpus: Corpus, n: int) -> DataFrame:
             frame["shard"] = leaf_of(nodes, sketches(_texts(frame), frame["doc_id"].to_numpy(), corpus, signs))
             yield frame
 
-    return open_.mapInPandas(task, f"{TOKENS}, shard int").unionByName(pieces.where("rest is null").withColumn("shard", by_hash))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(parts)).cast("int")
+    return open_.mapInPandas(task, f"{TOKENS}, shard int").withColumn("shard", F.col("shard") * parts + part)
 
 
 class Index:
@@ -291,29 +312,27 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, shard: int = SHARD
     not read. A shard holds ``shard`` documents on average, each with less than a window of ids; neighbours are sought
     in the seed's shard.
     """
-    rest = F.col("rest").isNotNull()
+    rest, whole = F.col("rest").isNotNull() & (F.col("start") >= 0), F.col("start") == 0
     pieces, seen = store(tokenized(keyed(docs), tokenizer, window), "tokens", {
-        "n": F.count(F.when(rest, 1)), "tokens": F.coalesce(F.sum(F.when(rest, F.col("length"))), F.lit(0))})
-    shards = max(1, -(-seen["n"] // shard))
+        "n": F.count(F.when(whole, 1)), "tokens": F.coalesce(F.sum("length"), F.lit(0)), "rests": F.count(F.when(rest, 1))})
+    shards = max(1, -(-seen["rests"] // shard))
     corpus = corpus_statistics(pieces, seen["n"], seen["tokens"])
 
     def task(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start"], kind="stable")
-        done, open_ = frame[frame["rest"].isna()], frame[frame["rest"].notna()]
-        rows = [(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, i, 0) for i, r in enumerate(done.itertuples())]
-        number = len(rows)
-        texts = _texts(open_)
-        of = list(open_[["doc_id", "start", "doc_tokens"]].itertuples(index=False))
-        for sequence in fill(texts, window, corpus):
+        rows, texts = [], _texts(frame)
+        of = list(frame[["doc_id", "start", "doc_tokens"]].itertuples(index=False))
+        for number, sequence in enumerate(fill(texts, window, corpus)):
             offset = 0
             for i, begin, length in sequence:
                 crc = zlib.crc32(texts[i][begin:begin + length].tobytes())
                 rows.append((of[i].doc_id, of[i].start + begin, length, crc, of[i].doc_tokens, number, offset))
                 offset += length
-            number += 1
         out = pd.DataFrame(rows, columns=_names(PIECES))
-        out["sequence_id"] += int(key[0]) << 32
+        out["sequence_id"] = (out["sequence_id"] + (int(key[0]) << 31)) * 2
         return out
 
-    packed = dealt(pieces, shards, corpus, seen["n"]).groupBy("shard").applyInPandas(task, PIECES)
-    return packed.select(unkeyed(), *_names(PIECES)[1:])
+    packed = dealt(pieces.where(rest), shards, corpus, seen["rests"]).groupBy("shard").applyInPandas(task, PIECES)
+    # Whole windows are sequences already; they get odd numbers and need no shuffle.
+    done = pieces.where("rest is null").withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
+    return done.select(*_names(PIECES)).unionByName(packed).select(unkeyed(), *_names(PIECES)[1:])

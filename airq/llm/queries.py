@@ -26,6 +26,17 @@ from airq.llm.whitening import whiten
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
 
+def _vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, by the installed package unless a folder is named."""
+    if "PUBLIC_TOKENIZERS" not in os.environ:
+        try:
+            import public_tokenizers
+            return str(public_tokenizers.path(name))
+        except ImportError:
+            pass
+    return f"{TOKENIZERS}/{name}"
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(
@@ -54,7 +65,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +91,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility_rules(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return fertility_rules(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

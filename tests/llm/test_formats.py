@@ -171,3 +171,37 @@ def test_neighbours_are_those_of_all_terms():
         score[i] = corpus.weights(terms[shared], often[shared], len(text)).sum()
     got = Index(texts).neighbours(7)
     assert len(got) == (score > 0).sum() and np.allclose(score[got], np.sort(score[score > 0])[::-1])
+
+
+def test_sample_of_the_tree_is_bounded():
+    """However many documents there are, about 65,536 sketches reach the driver, and the tree has at most 2,048 leaves."""
+    from airq.llm import packing
+    for n in (3_000, 100_000, 4_200_000, 15_000_000, 10 ** 9, 10 ** 12):
+        assert n / packing.sample_rate(n) <= packing.SKETCHES
+    assert packing.sample_rate(100_000) == packing.ONE_OF and packing.LEAVES * 32 <= packing.SKETCHES
+
+
+def test_statistics_count_whole_documents(spark):
+    from airq.llm.packing import corpus_statistics, tokenized
+    texts = ["one two three", "two " * 40, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tokenizer = "/opt/tokenizers/byte_bpe_50k.json"
+    pieces = tokenized(docs, tokenizer, 8).cache()
+    from tokenizers import Tokenizer
+    plain = [{*Tokenizer.from_file(tokenizer).encode(t or "", add_special_tokens=False).ids, 0} for t in texts]
+    corpus = corpus_statistics(pieces, 4, 100)
+    import numpy as np
+    held = np.array([sum(t in p for p in plain) for t in range(len(corpus.idf))])
+    assert np.allclose(corpus.idf, np.log1p((4 - held + 0.5) / (held + 0.5)))
+
+
+def test_shards_beyond_the_leaves(spark, monkeypatch):
+    from airq.llm import packing
+    monkeypatch.setattr(packing, "LEAVES", 2)
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common word {i}") for i in range(300)], "doc_id long, text string")
+    rows = pack(docs, "/opt/tokenizers/byte_bpe_50k.json", window=32, shard=40).collect()
+    ids = {r.doc_id: 0 for r in rows}
+    for r in rows:
+        ids[r.doc_id] += r.length
+    assert len(ids) == 300 and all(ids[r.doc_id] == r.doc_tokens for r in rows)
+    assert len({r.sequence_id >> 32 for r in rows if r.sequence_id % 2 == 0}) > 2
