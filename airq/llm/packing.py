@@ -27,6 +27,10 @@ LEAVES = 2_048
 NEAR = 0.1
 #: Share of a shard's documents from which a term's weights are a dense row.
 OFTEN = 1 / 8
+#: Documents of a shard up to which the sums over frequent terms are held for every two of them.
+CROWDED = 6_000
+#: Neighbours that are put in order before the others.
+FIRST = 32
 K1, B = 1.2, 0.75
 #: Separates documents within a sequence.
 END = 0
@@ -63,10 +67,12 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, held = _encoder(tokenizer), np.zeros(0, "<i8")
         for frame in frames:
-            rows, found = [], []
+            rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
                 ids = np.append(encode(text), END).astype("<u4")
-                found.append(np.unique(ids))
+                if (top := int(ids.max())) >= len(held):
+                    held = np.append(held, np.zeros(max(top + 1, 2 * len(held)) - len(held), np.int64))
+                held[ids] += 1  # once for each id, however often it stands there
                 cut = len(ids) // window * window
                 rows += [(doc_id, at, window, zlib.crc32(ids[at:at + window].tobytes()), len(ids), None) for at in range(0, cut, window)]
                 if cut < len(ids):
@@ -75,7 +81,6 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
                     yield pd.DataFrame(rows, columns=_names(TOKENS))
                     rows = []
             yield pd.DataFrame(rows, columns=_names(TOKENS))
-            held = _added(held, np.bincount(np.concatenate(found)) if found else held)
         yield pd.DataFrame([(None, -1, 0, 0, 0, held.astype("<i8").tobytes())], columns=_names(TOKENS))
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(task, TOKENS)
@@ -83,8 +88,6 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
 
 def _added(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Sum of two arrays of counts, of which one may be shorter."""
-    if one is other:
-        return one
     out = np.zeros(max(len(one), len(other)), np.int64)
     out[:len(one)] += one
     out[:len(other)] += other
@@ -133,21 +136,22 @@ def corpus_statistics(pieces: DataFrame, n: int, tokens: int) -> Corpus:
     return Corpus(held, n, tokens)
 
 
-def sketches(texts: list[np.ndarray], ids: np.ndarray, corpus: Corpus, signs: np.ndarray) -> np.ndarray:
-    """Unit vectors of random sums of the weights, and a last number by the id that parts equal ones."""
+def sketches(texts: list[np.ndarray], ids: np.ndarray, corpus: Corpus) -> np.ndarray:
+    """Unit vectors of random sums of the weights, and a last number by the id that parts equal ones.
+
+    Each token id adds its weight, with a sign, to one of the sums.
+    """
+    terms = mix(np.arange(len(corpus.idf), dtype=np.uint64), 0x51C7)
+    place, sign = (terms % np.uint64(SKETCH)).astype(np.int64), np.where(terms >> np.uint64(63), 1.0, -1.0)
     out = np.zeros((len(texts), SKETCH + 1), np.float32)
     for i, text in enumerate(texts):
-        terms, often = np.unique(text, return_counts=True)
-        out[i, :-1] = corpus.weights(terms, often, len(text)).astype(np.float32) @ signs[terms]
+        held, often = np.unique(text, return_counts=True)
+        out[i, :-1] = np.bincount(place[held], corpus.weights(held, often, len(text)) * sign[held], SKETCH)
     out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9)
     out[:, -1] = mix(ids.astype(np.int64).view(np.uint64), 0xDEA1) / np.float64(1 << 64)
     return out
 
 
-def _signs(terms: int) -> np.ndarray:
-    return (np.random.default_rng(5).integers(0, 2, (terms, SKETCH), np.int8) * 2 - 1).astype(np.float32)
-
-
 def tree(sample: np.ndarray, leaves: int) -> list[tuple]:
     """Nodes (direction, cut, leaves on the left, left child, right child), cut along principal directions.
 
@@ -202,13 +206,12 @@ def dealt(open_: DataFrame, shards: int, corpus: Corpus, n: int) -> DataFrame:
     """The rests ``open_``, ``n`` in number, each with its shard."""
     if shards == 1:
         return open_.withColumn("shard", F.lit(0))
-    vocabulary, leaves = len(corpus.idf), min(shards, LEAVES)
+    leaves = min(shards, LEAVES)
     parts = -(-shards // leaves)
 
     def sketched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signs = _signs(vocabulary)
         for frame in frames:
-            yield pd.DataFrame({"sketch": [x.tobytes() for x in sketches(_texts(frame), frame["doc_id"].to_numpy(), corpus, signs)]})
+            yield pd.DataFrame({"sketch": [x.tobytes() for x in sketches(_texts(frame), frame["doc_id"].to_numpy(), corpus)]})
 
     chosen = open_.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(sample_rate(n))) == 0).select("doc_id", "length", "rest")
     sample = chosen.mapInPandas(sketched, "sketch binary").toPandas()["sketch"]
@@ -216,9 +219,8 @@ def dealt(open_: DataFrame, shards: int, corpus: Corpus, n: int) -> DataFrame:
     nodes = tree(sample[np.lexsort(sample.T)], leaves)
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signs = _signs(vocabulary)
         for frame in frames:
-            frame["shard"] = leaf_of(nodes, sketches(_texts(frame), frame["doc_id"].to_numpy(), corpus, signs))
+            frame["shard"] = leaf_of(nodes, sketches(_texts(frame), frame["doc_id"].to_numpy(), corpus))
             yield frame
 
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(parts)).cast("int")
@@ -244,19 +246,35 @@ class Index:
         row = np.repeat(self.row, self.held)
         self.dense[row[row >= 0], self.owner[row >= 0]] = self.weight[row >= 0]
         self.unused = np.ones(n, bool)
-
-    def neighbours(self, seed: int) -> np.ndarray:
+        # What frequent terms add between all documents of the shard, from one product; a crowded shard asks seed by seed.
+        self.common = None
+        if n <= CROWDED:
+            asked = np.zeros((len(self.dense), n), np.float32)
+            asked[row[row >= 0], self.owner[row >= 0]] = 1
+            self.common = asked.T @ self.dense
+
+    def _common(self, seed: int, rows: np.ndarray) -> np.ndarray:
+        """Sums over the seed's frequent terms."""
+        if self.common is not None:
+            return self.common[seed].astype(float)
+        return self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(float)
+
+    def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents that share a term of the seed, best first by all its terms, equals in order."""
         at = np.searchsorted(self.vocabulary, self.terms[seed])
         rows = self.row[at]
-        score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float32).astype(float)
+        score = self._common(seed, rows)
         rare = at[(rows < 0) & (self.held[at] > 1)]
         if len(rare):
             held = self.held[rare]
             where = np.repeat(self.begin[rare] - np.cumsum(held) + held, held) + np.arange(held.sum())
             score += np.bincount(self.owner[where], self.weight[where], len(score))
         found = np.flatnonzero((score > 0) & self.unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        score = score[found]
+        # Most windows need few neighbours, so those are put in order first.
+        first = score >= np.partition(score, -FIRST)[-FIRST] if len(found) > 4 * FIRST else np.ones(len(found), bool)
+        for part in (first, ~first):
+            yield from found[part][np.argsort(-score[part], kind="stable")]
 
 
 def fill(texts: list[np.ndarray], window: int, corpus: Corpus | None = None) -> Iterator[list[tuple[int, int, int]]]:
@@ -277,7 +295,7 @@ def fill(texts: list[np.ndarray], window: int, corpus: Corpus | None = None) ->
         seed, begin = rest
         index.unused[seed] = False
         pieces, room, rest = [(seed, begin, min(window, len(texts[seed]) - begin))], window - min(window, len(texts[seed]) - begin), None
-        near = iter(index.neighbours(seed) if room else ())
+        near = index.neighbours(seed) if room else iter(())
         while room:
             one = next(near, None)
             if one is None:

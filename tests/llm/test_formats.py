@@ -169,7 +169,7 @@ def test_neighbours_are_those_of_all_terms():
         terms, often = np.unique(text, return_counts=True)
         shared = np.isin(terms, texts[7])
         score[i] = corpus.weights(terms[shared], often[shared], len(text)).sum()
-    got = Index(texts).neighbours(7)
+    got = list(Index(texts).neighbours(7))
     assert len(got) == (score > 0).sum() and np.allclose(score[got], np.sort(score[score > 0])[::-1])
 
 
