@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airq.llm.common import NO_ID, store, table
+from airq.llm.common import NO_ID, SPACES, remove, store, table
 from airq.llm.decontaminate import contamination
 from airq.llm.line_dedup import dedup_lines
 from airq.llm.near_dedup import near_duplicates
@@ -33,12 +33,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one line of each group of similar lines, the first one.
 
-    Rows of a repeated doc_id whose lines go all get the text of the one document they count as.
+    Rows of a repeated doc_id whose lines go all get the text of the one document they count as. A document that is left
+    without a word goes as a whole, since all that it said stands elsewhere; one that had none to begin with stays.
     """
     cleaned = dedup_lines(docs).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("of"), F.col("text").alias("cleaned"))
     cleaned, _ = store(cleaned, "cleaned")
     rows = docs.join(cleaned, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == cleaned["of"], "left")
     changed = cleaned["of"].isNotNull()
+    rows = rows.where(~changed | cleaned["cleaned"].rlike(f"[^{SPACES[1:-2]}]"))
     new = {"text": cleaned["cleaned"], "n_chars": F.char_length(cleaned["cleaned"]).cast("long")}
     return rows.select(*[F.when(changed, new[c]).otherwise(docs[c]).alias(c) if c in new else docs[c] for c in docs.columns])
 
@@ -67,7 +69,13 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = store(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, seen = store(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            remove(spark, before)
+        before = seen["path"]
+    # The last stage has read its documents when it returns.
+    pieces = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, before)
+    return pieces
