@@ -56,6 +56,8 @@ def test_stages_match_brute_force(spark, docs, tmp_path):
             want = {}
             for k, r in before.items():
                 _, text, _, removed = lines[-1 if k is None else k]
+                if removed and not brute.SPACE_WORD.search(text):
+                    continue
                 want[k] = r | ({"text": text, "n_chars": len(text)} if removed else {})
         elif name == "near_dedup":
             near = brute.near({-1 if k is None else k: t for k, t in texts.items()}, 5)
@@ -79,7 +81,7 @@ def test_stages_take_odd_tables(spark, index):
     got = stage(spark, spark.createDataFrame(rows, schema), SF).collect()
     want = [tuple(r) for r in rows]
     if name == "line_dedup":
-        want[1] = (2, "", None, None, 0, None, None, None, None)
+        del want[1]  # nothing is left of it
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     empty = stage(spark, spark.createDataFrame([], schema), SF)
     assert empty.columns == [c.split()[0] for c in schema.split(", ")] and empty.count() == 0
