@@ -11,9 +11,9 @@ from airq.operators.dedupe import latest
 from airq.operators.grid import Grid, make_tiles
 from airq.plans.registry import day, query, r6, rounded
 from airq.plans.sql_parts import aqi_sql, category_sql, part
-from airq.session import materialize
+from airq.session import materialize, new_shared_path
 from airq.sources import domain
-from airq.streaming.daily import clean_stream, daily_stream, run_to_table
+from airq.streaming.daily import clean_stream, daily_stream, end_input, run_to_table
 
 # Pixel space: the raster is 64 columns wide and as tall as the data.
 PIXEL_GRID = Grid(0.0, 0.0, 1.0, 1.0, 2 ** 40, 64, 64.0, float(2 ** 40))
@@ -246,17 +246,49 @@ def per_tile_results(spark, sf_dir):
 
 
 @query("streamed_daily_means", sql="""
-WITH s AS (SELECT DISTINCT ON (user_id, ts) * FROM events), m AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events)
+WITH s AS (SELECT DISTINCT ON (user_id, ts) * FROM events ORDER BY user_id, ts, event_id)
 SELECT 'S' || user_id AS station_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, ROUND(avg(value), 6) AS pm25_daily, count(*) AS observation_count
-FROM s, m WHERE CAST(ts AS DATE) + 1 <= mark GROUP BY 1, 2, mark
+FROM s GROUP BY 1, 2
 """)
 def streamed_daily_means(spark, sf_dir):
-    """The event table read as a stream; days behind the watermark come out."""
-    schema = domain.table(spark, sf_dir, "events").schema
-    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    obs = ev.select(
+    """All events arrive as files, with repeated rows of other values; every day comes out, as in batch."""
+    obs = domain.table(spark, sf_dir, "events").select(
         F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("station_id"),
         F.col("ts").cast("timestamp").alias("timestamp"), F.lit(28.5).alias("latitude"),
-        F.lit(77.1).alias("longitude"), F.col("value").alias("PM2.5"), F.lit("ug/m3").alias("units"))
-    out = run_to_table(spark, daily_stream(clean_stream(obs)), "daily-stream")
+        F.lit(77.1).alias("longitude"), F.col("value").alias("PM2.5"), F.lit("ug/m3").alias("units"), F.col("event_id").alias("ordinal"))
+    folder = new_shared_path(spark, "arrivals")
+    copies = obs.where(F.col("ordinal") % 7 == 0).withColumns({"PM2.5": F.col("`PM2.5`") + 1.0, "ordinal": F.col("ordinal") + 10 ** 12})
+    copies.unionByName(obs).write.parquet(folder)
+    end_input(spark, folder, obs)
+    stream = spark.readStream.schema(obs.schema).parquet(folder)
+    out = run_to_table(spark, daily_stream(clean_stream(stream, ordinal="ordinal")), "daily-stream")
     return rounded(out, "pm25_daily").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+# ------------------------------------------------------------------- one answer
+
+
+@query("station_detail", parts=["daily"], sql="""
+WITH most AS (SELECT station_id FROM daily GROUP BY 1 ORDER BY count(*) DESC, station_id LIMIT 1)
+SELECT strftime(date, '%Y-%m-%d') AS date, ROUND(pm25_daily, 6) AS pm25_daily, observation_count FROM daily JOIN most USING (station_id)
+""")
+def station_detail(spark, sf_dir):
+    """Daily series of the station with the most days."""
+    daily = materialize(domain.daily(spark, sf_dir), "daily")
+    top = daily.groupBy("station_id").count().orderBy(F.desc("count"), "station_id").first()
+    return rounded(SV.station_series(daily, top["station_id"] if top else ""), "pm25_daily").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query("coverage_of_scopes", parts=["log"], sql="""
+WITH r AS (SELECT source, CASE WHEN count(*) FILTER (outcome = 'ok') > 0 THEN 'present' ELSE 'missing' END AS status, CASE WHEN source = 'pm25' THEN 'delhi' ELSE 'india' END AS built
+  FROM log GROUP BY source)
+SELECT 'india' AS asked, source, status, built AS built_for_scope FROM r WHERE built = 'india'
+UNION ALL SELECT 'global', NULL, 'not_run', built FROM (SELECT DISTINCT built FROM r) x
+""")
+def coverage_of_scopes(spark, sf_dir):
+    """The coverage report for a scope that it was built for and for one that it was not."""
+    log = domain.acquisition_log(spark, sf_dir)
+    report = log.groupBy("source").agg(F.when(F.count(F.when(F.col("outcome") == "ok", 1)) > 0, "present").otherwise("missing").alias("status")).withColumn(
+        "built_for_scope", F.when(F.col("source") == "pm25", "delhi").otherwise("india"))
+    answers = [SV.coverage_for_scope(report, scope).select(F.lit(scope).alias("asked"), "source", "status", "built_for_scope") for scope in ("india", "global")]
+    return answers[0].unionByName(answers[1])
