@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -44,13 +47,16 @@ def fit(df: DataFrame, estimator: Estimator, features: list[str], target: str =
 
 def grouped_cv(df: DataFrame, features: list[str], group: str,
                estimators: dict[str, Callable[[], Estimator]], target: str = TARGET,
-               strategy: str = "auto", k: int = 5, keep: list[str] | None = None) -> DataFrame:
+               strategy: str = "auto", k: int = 5, keep: list[str] | None = None,
+               parallelism: int = 4) -> DataFrame:
     """Out-of-fold predictions of every model, one fit per fold and model.
 
     No group is ever in train and test of one fold, because a fold is a set of
     whole groups. Returns model, fold, the kept columns, observed_PM25,
     predicted_PM25 and residual. The folded rows and the predictions of each
-    fold are stored tables, so a lost executor costs no fit.
+    fold are stored tables, so a lost executor costs no fit. ``parallelism`` fits
+    run at the same time: a boosted fit is a long row of small jobs, which leave
+    most executors idle. More of them hold more copies of the training rows.
     """
     keep = keep or [group, "date"]
     ready = assign_folds(df.where(all_present([target, *features])), group, strategy, k)
@@ -59,14 +65,20 @@ def grouped_cv(df: DataFrame, features: list[str], group: str,
     folds = [r["fold"] for r in ready.select("fold").distinct().orderBy("fold").collect()]
     if len(folds) < 2:
         raise ValueError("cross-validation needs at least two groups")
-    out = None
-    for fold in folds:
+
+    def predicted(fold: int, name: str) -> DataFrame:
         train, test = ready.where(F.col("fold") != fold), ready.where(F.col("fold") == fold)
-        for name, make in estimators.items():
-            part = materialize(make().fit(train.select("_label", "_features")).transform(test).select(
-                F.lit(name).alias("model"), "fold", *keep, F.col("_label").alias("observed_PM25"),
-                F.col("_prediction").alias("predicted_PM25")), "predictions")
-            out = part if out is None else out.unionByName(part)
+        model = estimators[name]().fit(train.select("_label", "_features"))
+        return materialize(model.transform(test).select(
+            F.lit(name).alias("model"), "fold", *keep, F.col("_label").alias("observed_PM25"),
+            F.col("_prediction").alias("predicted_PM25")), "predictions")
+
+    # Long fits first, so that none is left alone at the end.
+    names = sorted(estimators, key=lambda name: estimators[name]().hasParam("maxIter"), reverse=True)
+    wanted = [(fold, name) for name in names for fold in folds]
+    with ThreadPool(min(parallelism, len(wanted))) as pool:
+        parts = pool.starmap(inheritable_thread_target(df.sparkSession)(predicted), wanted, chunksize=1)
+    out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("residual", F.col("observed_PM25") - F.col("predicted_PM25"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from airq.plans import (geometry, layers, modelling, nested, observations, products, readside,  # noqa: F401
-                        spatial, tables)
+from airq.plans import (geometry, layers, model_checks, modelling, nested, observations, products,  # noqa: F401
+                        readside, spatial, tables)
 from airq.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

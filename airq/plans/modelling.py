@@ -293,15 +293,18 @@ def parent_consistency_report(spark, sf_dir):
     return rounded(out, "mean_abs_diff", "max_abs_diff", "mean_rel_diff_percent")
 
 
-@query("downscale_residual")
-def downscale_residual(spark, sf_dir):
+def _refined(spark, sf_dir):
     """Residual forest, children predicted and shifted to their parents."""
     model = DS.fit_residual_model(_residual_rows(spark, sf_dir))
     kids = _children(spark, sf_dir).withColumns({
         "NDVI": F.when(F.col("child").isNotNull(), F.col("discount")), "elevation_m": F.col("value") * 10.0,
         "road_density": F.col("value"), "night_lights": F.col("price") / 1000.0})
     assert set(RESIDUAL_FEATURES) <= set(kids.columns)
-    out = DS.apply_parent_consistency(DS.downscale(kids, model), ["parent_row", "parent_col"])
-    return out.groupBy("prediction_status").agg(
+    return DS.apply_parent_consistency(DS.downscale(kids, model), ["parent_row", "parent_col"])
+
+
+@query("downscale_residual")
+def downscale_residual(spark, sf_dir):
+    return _refined(spark, sf_dir).groupBy("prediction_status").agg(
         F.count(F.lit(1)).alias("cells"), F.count(F.when(F.col("pm25_final") < 0, 1)).alias("negative_after_shift"),
         r6(F.avg("pm25_final")).alias("mean_pm25"))

@@ -151,6 +151,22 @@ def test_grouped_cv_and_prediction(spark, ready):
     assert shares.agg(F.sum("relative_share")).first()[0] == pytest.approx(1.0)
 
 
+def test_folds_fitted_together_give_what_they_give_alone(spark, ready):
+    feats = ["AOD", "temperature_c", "day_of_year"]
+    make = {"forest": lambda: M.forest(numTrees=3, maxDepth=2), "boosted": lambda: M.boosted_trees(maxIter=2)}
+    alone, together = (
+        {(r.model, r.station_id, r.date): (r.fold, r.predicted_PM25) for r in M.grouped_cv(
+            ready, feats, "station_id", make, k=3, parallelism=n).collect()} for n in (1, 5))
+    assert len(alone) == 2 * ready.select("station_id", "date").distinct().count()
+    assert alone.keys() == together.keys()
+    assert all(alone[k] == pytest.approx(together[k]) for k in alone)
+
+    def broken():
+        raise RuntimeError("no such model")
+    with pytest.raises(RuntimeError, match="no such model"):
+        M.grouped_cv(ready, feats, "station_id", {"forest": broken}, k=3)
+
+
 def test_downscale_preserves_parents(spark):
     kids = spark.createDataFrame([(0, 0, 10.0, 8.0, 0.25), (0, 0, 10.0, None, 0.25), (0, 0, 10.0, 16.0, 0.5), (0, 1, None, 3.0, 0.25)],
                                  "pr int, pc int, parent_pm25 double, pm25_final double, area_km2 double")
