@@ -2,41 +2,20 @@
 
 ``median`` and ``percentile`` collect a group's distinct values in one task,
 and an unpartitioned window sorts everything in one task. Here equal values are
-counted first, the counted values are cut into slices of about equal size by an
-approximate quantile sketch (bounded state), and only slice totals, at most a
-few thousand rows per group, are accumulated in order. The sketch decides where
-the slices are cut, never what the result is, so results are exact.
+counted first and the counted values are put in order by range partitions,
+which cut a group that holds most values like any other. Each partition is
+summed on its own and begins where the ones before it end; only one total per
+group and partition meets in a task. The number of partitions is Spark's.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airq.session import materialize
 
 
-def slice_count(df: DataFrame) -> int:
-    """A power of two of at least the shuffle width, between 64 and 4096."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = 64
-    while slices < min(width, 4096):
-        slices *= 2
-    return slices
-
-
-def _slice_of(edges: Column, value: Column, slices: int) -> Column:
-    """Number of edges not above the value, found by bisection."""
-    steps = [1 << k for k in range(int(math.log2(slices)) - 1, -1, -1)]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]), F.lit(0),
-        lambda at, step: F.when(F.try_element_at(edges, at + step) <= value, at + step)
-        .otherwise(at))
-
-
-def distinct_value_ranks(df: DataFrame, value: str, by: list[str] | None = None,
-                         slices: int | None = None) -> DataFrame:
+def distinct_value_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """One row per distinct (group, value) with its exact position.
 
     Columns: the group columns, ``value``, ``n`` (rows with that value),
@@ -50,33 +29,24 @@ def distinct_value_ranks(df: DataFrame, value: str, by: list[str] | None = None,
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("n"))
     )
-    # Read three times below; the counts are written once instead of derived thrice.
-    counted = materialize(counted, "value-counts")
-    slices = slices or slice_count(df)
-    fractions = F.expr("array(" + ", ".join(f"{i / slices!r}D" for i in range(1, slices)) + ")")
-    edges = counted.agg(F.percentile_approx("_v", fractions, F.lit(slices * 20)).alias("cuts"))
-    sliced = (
-        counted.withColumn("_edges", edges.scalar())
-        .withColumn("_slice", _slice_of(F.col("_edges"), F.col("_v"), slices))
-        .drop("_edges")
-    )
+    ranged = counted.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by], F.col("_v").asc())
+    # Partition numbers must not change between the two passes below.
+    held = materialize(ranged.withColumn("_part", F.spark_partition_id()), "value-counts")
+    parts = held.groupBy(*by, "_part").agg(F.sum("n").alias("_part_n"))
     group = [F.col(c) for c in by] or [F.lit(0)]
-    totals = sliced.groupBy(*by, "_slice").agg(F.sum("n").alias("_slice_n"))
-    # At most `slices` rows per group reach these two windows.
-    ordered = Window.partitionBy(*group).orderBy("_slice")
-    totals = totals.select(
-        *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_slice").alias("_k_slice"),
-        (F.sum("_slice_n").over(ordered) - F.col("_slice_n")).alias("_before"),
-        F.sum("_slice_n").over(Window.partitionBy(*group)).alias("total"),
-    )
-    within = Window.partitionBy(*by, "_slice").orderBy("_v")
-    local = sliced.withColumn("_in_slice", F.sum("n").over(within) - F.col("n"))
-    match = F.col("_slice") == F.col("_k_slice")
+    before = Window.partitionBy(*group).orderBy("_part")
+    starts = parts.select(
+        *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_part").alias("_k_part"),
+        (F.sum("_part_n").over(before) - F.col("_part_n")).alias("_before"),
+        F.sum("_part_n").over(Window.partitionBy(*group)).alias("total"))
+    within = Window.partitionBy("_part", *by).orderBy("_v")
+    local = held.withColumn("_in_part", F.sum("n").over(within) - F.col("n"))
+    match = F.col("_part") == F.col("_k_part")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return local.join(totals, match).select(
+    return local.join(starts, match).select(
         *by, F.col("_v").alias(value), "n",
-        (F.col("_before") + F.col("_in_slice")).alias("below"), "total")
+        (F.col("_before") + F.col("_in_part")).alias("below"), "total")
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float],
@@ -103,19 +73,6 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float],
         for n in probabilities])
 
 
-def exact_median(df: DataFrame, value: str) -> Column:
-    """Exact median of a column as a scalar subquery."""
-    return exact_quantiles(df, value, {"median": 0.5}).scalar()
-
-
-def approximate_quantiles(df: DataFrame, value: str, probabilities: dict[str, float],
-                          by: list[str] | None = None, accuracy: int = 10000) -> DataFrame:
-    """Sketch-based quantiles, for callers that accept a bounded rank error."""
-    return df.where(~F.isnan(value)).groupBy(*(by or [])).agg(*[
-        F.percentile_approx(value, F.lit(float(p)), F.lit(accuracy)).alias(name)
-        for name, p in probabilities.items()])
-
-
 def average_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Average rank per distinct (group, value), ties sharing their mean rank."""
     return distinct_value_ranks(df, value, by).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from airq.operators import qc
 from airq.operators.daily import daily_mean, daily_report
 from airq.operators.dedupe import keep_first, latest
-from airq.operators.ranks import average_ranks, benjamini_hochberg, exact_quantiles
+from airq.operators.ranks import average_ranks, benjamini_hochberg, distinct_value_ranks, exact_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,35 @@ def test_average_ranks(spark):
     assert got == {1.0: 1.0, 2.0: 2.0, 3.0: 4.0}
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_positions_across_range_partitions(spark, skewed, by):
+    """Positions equal a plain count, for a hot value, a hot group and a NULL group cut into many partitions."""
+    values, groups = skewed
+    rows = [(None if g == "g3" else str(g), float(v)) for g, v in zip(groups, values)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = distinct_value_ranks(df, "v", by).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    held = {}
+    for g, v in rows:
+        held.setdefault(g if by else "all", []).append(v)
+    assert len(got) == sum(len(set(vs)) for vs in held.values())
+    for r in got:
+        vs = np.array(held[r.g if by else "all"])
+        assert (r.n, r.below, r.total) == ((vs == r.v).sum(), (vs < r.v).sum(), len(vs))
+
+
+def test_ranks_of_nothing(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),)], "v double")
+    assert distinct_value_ranks(df, "v").collect() == []
+    assert exact_quantiles(df, "v", {"m": 0.5}).first().m is None
+
+
 def test_benjamini_hochberg(spark):
     ps = [0.01, 0.04, 0.03, 0.039, 0.6]
     df = spark.createDataFrame([(p,) for p in ps], "p double")
