@@ -105,6 +105,29 @@ def split_overlap(splits: DataFrame, group: str) -> DataFrame:
         F.countDistinct("split").alias("_n")).where(F.col("_n") > 1).drop("_n")
 
 
+def split_sizes(folded: DataFrame, group: str) -> DataFrame:
+    """(fold, split, rows, groups, shared) of every side of every fold, without writing rows once a fold.
+
+    ``shared`` is the number of groups on both sides of the fold: those that have
+    rows in this fold and in another. All follows from one count per (group,
+    fold); the train side is what the test side leaves of the totals. Rows
+    without a group are a group of their own. Sides without rows are left out.
+    """
+    homes = materialize(folded.groupBy(group, "fold").agg(F.count(F.lit(1)).alias("_n")), "homes")
+    # A group has at most one row per fold here.
+    spread = homes.withColumn("_homes", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    tests = spread.groupBy("fold").agg(
+        F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_groups"),
+        F.count(F.when(F.col("_homes") > 1, 1)).alias("shared"))
+    whole = homes.groupBy(group).agg(F.sum("_n").alias("_n")).agg(
+        F.struct(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("groups")).alias("t"))
+    sides = tests.withColumn("_t", whole.scalar()).withColumn("_side", F.explode(F.array(
+        F.struct(F.lit("test").alias("split"), F.col("_rows").alias("rows"), F.col("_groups").alias("groups")),
+        F.struct(F.lit("train").alias("split"), (F.col("_t.rows") - F.col("_rows")).alias("rows"),
+                 (F.col("_t.groups") - F.col("_groups") + F.col("shared")).alias("groups")))))
+    return sides.select("fold", "_side.*", "shared").where("rows > 0")
+
+
 def fold_metrics(predictions: DataFrame, keys: list[str], observed: str = "observed_PM25",
                  predicted: str = "predicted_PM25") -> DataFrame:
     """MAE, RMSE and R2 per key; R2 is NULL below three rows or without variance."""

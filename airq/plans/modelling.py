@@ -34,19 +34,30 @@ def fold_index(spark, sf_dir):
 WITH f AS (SELECT country, row_number() OVER (ORDER BY country) - 1 AS fold FROM (SELECT DISTINCT country FROM training) x),
 n AS (SELECT count(*) AS k FROM f)
 SELECT CAST(g.range AS INT) AS fold, CASE WHEN f.fold = g.range THEN 'test' ELSE 'train' END AS split, count(*) AS rows,
-  count(DISTINCT t.country) AS groups, 0::BIGINT AS overlapping_groups
+  count(DISTINCT t.country) AS groups,
+  (SELECT count(*) FROM f AS x JOIN f AS y ON x.country = y.country AND x.fold <> y.fold) AS overlapping_groups
 FROM training t JOIN f USING (country) CROSS JOIN range((SELECT k FROM n)) g GROUP BY 1, 2
 """)
 def country_splits(spark, sf_dir):
-    """All rows in all folds, with the number of groups on both sides of a fold."""
+    """Rows and groups of both sides of every fold, with the number of groups on both sides."""
     rows = materialize(domain.training(spark, sf_dir).select("country", "station_id", "date"), "rows")
     folded = FO.assign_folds(rows, "country", "leave_one_group_out")
-    n = folded.agg(F.max("fold").alias("f")).first()["f"] + 1
-    splits = FO.split_rows(folded, n)
-    bad = FO.split_overlap(splits, "country").agg(F.count(F.lit(1)).alias("n"))
-    return splits.groupBy("fold", "split").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("country").alias("groups")
-    ).withColumn("overlapping_groups", bad.scalar())
+    sizes = materialize(FO.split_sizes(folded, "country"), "splits")
+    bad = sizes.where("split = 'test'").agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("n"))
+    return sizes.drop("shared").withColumn("overlapping_groups", bad.scalar())
+
+
+@query("splits_by_day", parts=["training"], sql="""
+WITH t AS (SELECT station_id, CAST(dayofyear(date) % 5 AS INT) AS own FROM training),
+s AS (SELECT CAST(g.range AS INT) AS fold, CASE WHEN own = g.range THEN 'test' ELSE 'train' END AS split, station_id FROM t CROSS JOIN range(5) g
+  WHERE g.range IN (SELECT own FROM t)),
+b AS (SELECT fold, station_id FROM s GROUP BY 1, 2 HAVING count(DISTINCT split) = 2)
+SELECT fold, split, count(*) AS rows, count(DISTINCT station_id) AS groups, (SELECT count(*) FROM b WHERE b.fold = s.fold) AS shared FROM s GROUP BY 1, 2
+""")
+def splits_by_day(spark, sf_dir):
+    """Folds by day that pay no heed to stations: how many stations are on both sides."""
+    rows = domain.training(spark, sf_dir).select("station_id", (F.dayofyear("date") % 5).cast("int").alias("fold"))
+    return FO.split_sizes(rows, "station_id")
 
 
 @query("balanced_station_folds", parts=["training"], sql="""

@@ -167,6 +167,46 @@ def nearest_three_stations(spark, sf_dir):
     return out.select("grid_id", "rank", "station_id", r6("distance").alias("distance"))
 
 
+def _customers(spark, sf_dir):
+    """Positions of all customers; some far from every station, some on the other side of the earth."""
+    key = F.col("c_custkey")
+    far = F.when(key % 101 == 0, 180.0).when(key % 17 == 0, 3.0).otherwise(0.0)
+    return domain.table(spark, sf_dir, "customer").select(
+        key.alias("customer"), (F.lit(77.0) + (key * 37 % 4200) / 10000.0 - far).alias("longitude"),
+        (F.lit(28.4) + (key * 91 % 4200) / 10000.0).alias("latitude"))
+
+
+part("customer_points", """
+SELECT c_custkey AS customer, 77.0::DOUBLE + (c_custkey * 37 % 4200) / 10000.0::DOUBLE
+    - CASE WHEN c_custkey % 101 = 0 THEN 180.0::DOUBLE WHEN c_custkey % 17 = 0 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS longitude,
+  28.4::DOUBLE + (c_custkey * 91 % 4200) / 10000.0::DOUBLE AS latitude FROM customer
+""")
+
+
+@query("nearest_station_of_customers", parts=["stations", "customer_points"], sql="""
+WITH d AS (SELECT customer, station_id, 2.0::DOUBLE * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(
+    power(sin((radians(s.latitude) - radians(c.latitude)) / 2), 2) + cos(radians(c.latitude)) * cos(radians(s.latitude))
+    * power(sin((radians(s.longitude) - radians(c.longitude)) / 2), 2)))) AS km FROM customer_points c, stations s)
+SELECT customer, arg_min(station_id, (km, station_id)) AS station_id, ROUND(min(km), 5) AS distance_km FROM d GROUP BY 1
+""")
+def nearest_station_of_customers(spark, sf_dir):
+    """The asking side grows with the data; of stations at one distance the smallest id is taken."""
+    out = N.nearest_station(_customers(spark, sf_dir), domain.stations(spark, sf_dir), "customer", "station_id")
+    return out.select("customer", "station_id", F.round("distance_km", 5).alias("distance_km"))
+
+
+@query("idw_at_customers", parts=["stations", "customer_points"], sql="""
+WITH d AS (SELECT customer, station_id, pm25, sqrt((c.longitude - s.longitude) ** 2 + (c.latitude - s.latitude) ** 2) AS dist FROM customer_points c, stations s),
+g AS (SELECT customer, min(dist) AS closest, arg_min(pm25, (dist, station_id)) AS own,
+  sum(pm25 / (dist ** 2 + 1e-10)) FILTER (dist < 0.5::DOUBLE) / sum(1.0::DOUBLE / (dist ** 2 + 1e-10)) FILTER (dist < 0.5::DOUBLE) AS weighted FROM d GROUP BY 1)
+SELECT customer, CASE WHEN closest < 1e-6 THEN 'station' WHEN weighted IS NOT NULL THEN 'weighted' ELSE 'nearest' END AS idw_method,
+  ROUND(CASE WHEN closest < 1e-6 THEN own ELSE coalesce(weighted, own) END, 6) AS idw FROM g
+""")
+def idw_at_customers(spark, sf_dir):
+    out = N.idw(_customers(spark, sf_dir), domain.stations(spark, sf_dir), "customer", "pm25")
+    return out.select("customer", "idw_method", r6("idw").alias("idw"))
+
+
 @query("station_neighbours", parts=["stations"], sql="""
 SELECT a.station_id, count(b.station_id) AS neighbours, ROUND(coalesce(sum(b.pm25), 0.0::DOUBLE), 8) AS nbr_sum
 FROM stations a LEFT JOIN stations b ON a.station_id <> b.station_id

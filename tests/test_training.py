@@ -105,6 +105,20 @@ def test_folds(spark, ready):
     assert FO.choose_strategy(40, "leave_one_group_out") == "leave_one_group_out"
 
 
+def test_split_sizes_equal_written_splits(spark):
+    rows = [("a", 0), ("a", 0), ("a", 1), ("b", 1), (None, 2), (None, 0), ("c", 2)]
+    folded = spark.createDataFrame(rows, "g string, fold int")
+    got = {(r.fold, r.split): (r.rows, r.groups, r.shared) for r in FO.split_sizes(folded, "g").collect()}
+    written = [(k, "test" if f == k else "train", g) for g, f in rows for k in range(3)]
+    for fold, split in {(k, s) for k, s, _ in written}:
+        mine = [g for k, s, g in written if (k, s) == (fold, split)]
+        both = {g for k, s, g in written if k == fold and s == "test"} & {g for k, s, g in written if k == fold and s == "train"}
+        assert got.pop((fold, split)) == (len(mine), len(set(mine)), len(both))
+    assert not got
+    assert [(r.split, r.rows) for r in FO.split_sizes(folded.where("fold = 2"), "g").collect()] == [("test", 2)]
+    assert FO.split_sizes(folded.where("fold > 5"), "g").count() == 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_folds_are_dealt_as_by_a_heap(spark, seed):
     import heapq
