@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -271,14 +272,20 @@ def violation_report(checks: dict[str, Column], df: DataFrame) -> DataFrame:
 
 
 def alignment_checks(features: DataFrame, children: DataFrame, stations: DataFrame, parents: DataFrame) -> DataFrame:
-    """Uniqueness, parents and no look-ahead, as violation counts.
+    """Uniqueness, parents, no target among the features and no look-ahead, as violation counts.
 
-    ``parents`` (row, col) are the cells that exist; a child whose parent is not among them is a violation.
+    ``parents`` (row, col) are the cells that exist; a child whose parent is not among them is a violation. Cells of
+    both grids, days of a cell and days of a station must each be there once.
     """
-    keys = duplicate_keys(features, ["grid_id", "date"]).select(
-        F.lit("no_duplicate_grid_date").alias("check"), F.col("duplicates").alias("violations"))
-    station = duplicate_keys(stations, ["station_id", "date"]).select(
-        F.lit("no_duplicate_station_date").alias("check"), F.col("duplicates").alias("violations"))
+    def once(df: DataFrame, keys: list[str], check: str) -> DataFrame:
+        return duplicate_keys(df, keys).select(F.lit(check).alias("check"), F.col("duplicates").alias("violations"))
+
+    unique = [once(parents, ["row", "col"], "parent_ids_unique"), once(children, ["row", "col"], "child_ids_unique"),
+              once(features, ["grid_id", "date"], "no_duplicate_grid_date"),
+              once(stations, ["station_id", "date"], "no_duplicate_station_date")]
+    # A matter of the schema: one row, whatever the number of cells.
+    named = features.sparkSession.range(1).select(
+        F.lit("target_not_in_features").alias("check"), F.lit(features.columns.count(TARGET)).cast("bigint").alias("violations"))
     there = parents.select(F.col("row").alias("parent_row"), F.col("col").alias("parent_col"))
     orphans = children.join(there, ["parent_row", "parent_col"], "left_anti").agg(
         F.lit("all_target_cells_have_parent").alias("check"), F.count(F.lit(1)).alias("violations"))
@@ -287,7 +294,7 @@ def alignment_checks(features: DataFrame, children: DataFrame, stations: DataFra
         "no_future_viirs": F.coalesce(F.col("viirs_offset_days") >= 0, F.lit(True)),
         "missing_is_null_not_nodata": F.coalesce(F.col("value") != -9999.0, F.lit(True)),
     }, features)
-    return (keys.unionByName(station).unionByName(orphans).withColumn("passed", F.col("violations") == 0)
+    return (reduce(DataFrame.unionByName, [*unique, named, orphans]).withColumn("passed", F.col("violations") == 0)
             .unionByName(future))
 
 
@@ -310,11 +317,15 @@ def require_predictions(predictions: DataFrame, value: str = "predicted_PM25") -
         raise ValueError("no cell has a prediction; nothing may be published")
 
 
-def final_checks(cells: DataFrame, zones: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+def final_checks(cells: DataFrame, zones: DataFrame, n_rows: int, n_cols: int,
+                 concentration: DataFrame | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Consistency of the published products, as violation counts.
 
     ``cells`` has row, col, pm25, aqi and aqi_category; ``zones`` has the
     bounding rows and columns. The area has ``n_rows`` by ``n_cols`` cells.
+    ``concentration`` (row, col) is the product that the index was made from:
+    a cell that only one of both has is a violation. ``hot`` (row, col) are the
+    cells that were marked: each must have a concentration in ``cells``.
     """
     has_value = F.col("pm25").isNotNull()
     in_area = (F.col("row") >= 0) & (F.col("row") < n_rows) & (F.col("col") >= 0) & (F.col("col") < n_cols)
@@ -326,4 +337,18 @@ def final_checks(cells: DataFrame, zones: DataFrame, n_rows: int, n_cols: int) -
     zone = violation_report({"zones_in_area": (
         (F.col("min_row") >= 0) & (F.col("max_row") < n_rows)
         & (F.col("min_col") >= 0) & (F.col("max_col") < n_cols))}, zones)
-    return cell.unionByName(zone)
+    out = cell.unionByName(zone)
+
+    def counted(check: str, violations: DataFrame) -> DataFrame:
+        return violations.agg(F.lit(check).alias("check"), F.count(F.lit(1)).alias("violations")).withColumn(
+            "passed", F.col("violations") == 0)
+
+    if concentration is not None:
+        sides = cells.select("row", "col", F.lit(1).alias("_side")).unionByName(
+            concentration.select("row", "col", F.lit(2).alias("_side")))
+        lone = sides.groupBy("row", "col").agg(F.bit_or("_side").alias("_sides")).where("_sides <> 3")
+        out = out.unionByName(counted("one_grid_for_both_products", lone))
+    if hot is not None:
+        valued = cells.where(has_value).select("row", "col")
+        out = out.unionByName(counted("hot_cells_have_a_concentration", hot.join(valued, ["row", "col"], "left_anti")))
+    return out

@@ -110,19 +110,23 @@ c AS (
   UNION ALL SELECT 'every_category_has_an_index', count(*) FILTER (category IS NOT NULL AND aqi IS NULL) FROM cell
   UNION ALL SELECT 'index_in_range', count(*) FILTER (aqi NOT BETWEEN 0 AND 500) FROM cell
   UNION ALL SELECT 'cells_in_area', count(*) FILTER (row >= n_rows OR col >= {_AREA_COLS}) FROM cell, area
+  UNION ALL SELECT 'one_grid_for_both_products', count(*) FILTER ((row + col) % 109 = 0) FROM cell
+  UNION ALL SELECT 'hot_cells_have_a_concentration', count(*) FROM hot WHERE (row + col) % 101 = 0
   UNION ALL SELECT 'zones_in_area', count(*) FILTER (bottom >= n_rows OR side >= {_AREA_COLS}) FROM z, area)
 SELECT "check", violations, violations = 0 AS passed FROM c
 """)
 def final_checks(spark, sf_dir):
     """All cells and zones; gaps and wrong values are planted, and the area is declared too narrow."""
     cells = materialize(_aqi_cells(spark, sf_dir), "index-cells")
-    zones = Z.hotspot_zones(Z.label_zones(Z.hotspot_mask(cells), domain.PIXEL_COLS), 0.25)
+    hot = Z.hotspot_mask(cells)
+    zones = Z.hotspot_zones(Z.label_zones(hot, domain.PIXEL_COLS), 0.25)
     row, col = F.col("row"), F.col("col")
     planted = cells.withColumns({
         "pm25": F.when((row + col) % 101 != 0, F.col("pm25")),
         "aqi": F.when((row + 2 * col) % 103 != 0, F.col("aqi") + F.when((row + 3 * col) % 107 == 0, 1000).otherwise(0))})
     last = domain.table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("k")).first()["k"]
-    return RP.final_checks(planted, zones, last // domain.PIXEL_COLS + 1, _AREA_COLS)
+    return RP.final_checks(planted, zones, last // domain.PIXEL_COLS + 1, _AREA_COLS,
+                           concentration=cells.where((row + col) % 109 != 0), hot=hot)
 
 
 # -------------------------------------------------- nearest stations and IDW

@@ -300,14 +300,17 @@ WITH f AS (SELECT *, dayofmonth(date) AS d FROM cell_days UNION ALL SELECT *, da
 c AS (
   SELECT 'no_duplicate_grid_date' AS "check", CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM f GROUP BY cell_row, cell_col, date) x
   UNION ALL SELECT 'no_duplicate_station_date', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM daily GROUP BY station_id, date) x
-  UNION ALL SELECT 'all_target_cells_have_parent', count(*) FILTER ((row // 2 + col // 2) % 37 = 0) FROM pixels
+  UNION ALL SELECT 'parent_ids_unique', count(*) FILTER ((r + c) % 41 = 0 AND (r + c) % 37 <> 0) FROM (SELECT DISTINCT row // 2 AS r, col // 2 AS c FROM pixels) x
+  UNION ALL SELECT 'child_ids_unique', count(*) FILTER ((row + col) % 43 = 0) FROM pixels
+  UNION ALL SELECT 'target_not_in_features', count(*) FROM (DESCRIBE cell_days) x WHERE column_name = 'PM2.5'
+  UNION ALL SELECT 'all_target_cells_have_parent', count(*) FILTER ((row // 2 + col // 2) % 37 = 0) FROM (FROM pixels UNION ALL FROM pixels WHERE (row + col) % 43 = 0) x
   UNION ALL SELECT 'no_future_ndvi', count(*) FILTER (d % 16 = 0) FROM f
   UNION ALL SELECT 'no_future_viirs', count(*) FILTER (d % 3 = 0) FROM f
   UNION ALL SELECT 'missing_is_null_not_nodata', count(*) FILTER (d = 4) FROM f)
 SELECT "check", violations, violations = 0 AS passed FROM c
 """)
 def alignment_checks(spark, sf_dir):
-    """Repeated cells, missing parents, look-ahead and nodata are planted; station days are clean."""
+    """Repeated cells and days, missing parents, look-ahead and nodata are planted; station days are clean."""
     d = F.dayofmonth("date")
     days = domain.cell_days(spark, sf_dir)
     feats = days.unionByName(days.where(d == 9)).select(
@@ -317,6 +320,8 @@ def alignment_checks(spark, sf_dir):
     children = assign_parent(domain.pixels(spark, sf_dir), 2)
     parents = children.select(F.col("parent_row").alias("row"), F.col("parent_col").alias("col")).distinct().where(
         (F.col("row") + F.col("col")) % 37 != 0)
+    children = children.unionByName(children.where((F.col("row") + F.col("col")) % 43 == 0))
+    parents = parents.unionByName(parents.where((F.col("row") + F.col("col")) % 41 == 0))
     return RP.alignment_checks(feats, children, domain.daily(spark, sf_dir), parents)
 
 
