@@ -66,6 +66,18 @@ def test_random_and_spiral_zones(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_a_long_column_and_equal_zones_of_two_days(spark):
+    """A column of 1,500 single cells shrinks by a factor a round; groups do not mix, a NULL-free name is the first cell."""
+    column = spark.range(1500).select(F.col("id").alias("row"), F.lit(3).cast("bigint").alias("col"))
+    named = Z.label_zones(column, 8, max_rounds=12)
+    assert [tuple(r) for r in named.groupBy("zone").count().collect()] == [(3, 1500)]
+    with pytest.raises(RuntimeError):
+        Z.label_zones(column, 8, max_rounds=1)
+    days = column.where("row < 40").withColumn("day", F.explode(F.array(F.lit(1), F.lit(2)))).where("day = 1 or row <> 20")
+    got = Z.hotspot_zones(Z.label_zones(days, 8, by=["day"]), 0.25, by=["day"])
+    assert {(r.day, r.hotspot_id, r.n_cells) for r in got.collect()} == {(1, 1, 40), (2, 1, 20), (2, 2, 19)}
+
+
 def test_zone_numbers_follow_scan_order(spark):
     labelled = Z.label_zones(cells(spark, [(5, 0), (0, 9), (0, 2)]), 16)
     out = Z.hotspot_zones(labelled, 0.25).orderBy("hotspot_id").collect()
